@@ -1,18 +1,50 @@
-"""The corpus pipeline: documents through the training-data operators, one stage after the other."""
+"""The corpus pipeline: documents through five training-data operators, one stage after the other.
+
+Each stage gets all documents that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from tapeline.llm import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tapeline.llm import byte_bpe, language_id, mixing, simhash, suffix_dedup
 from tapeline.llm.common import cut, table
 
 
+def language(spark, docs, sf_dir):
+    """Documents whose language can't be told go: no letter, or no language with a score of 0.4."""
+    return language_id.keep_known(docs, least_score=0.4)
+
+
 def near_duplicates(spark, docs, sf_dir):
     """One document of each SimHash group stays: the one of smallest doc_id."""
-    return simhash.simhash_dedup(docs)
+    return simhash.simhash_dedup(docs, budget=2)
+
+
+def repeated_bytes(spark, docs, sf_dir):
+    """Bytes of 100-byte strings that start earlier go; a character that is cut apart goes as a whole."""
+    found = suffix_dedup.suffix_dedup(docs, length=100, as_text=True).select("doc_id", F.col("kept").alias("text"))
+    rest = docs.drop("text", "n_chars").join(found, "doc_id")
+    return rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixed(spark, docs, sf_dir):
+    """Each document as often as the mix takes its words; the part of a copy that is left over is drawn by a hash."""
+    taken = mixing.mix(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("times"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col("times") + draw).cast("int")
+    repeated = docs.join(taken, "doc_id").withColumn("copies", copies).where("copies > 0")
+    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def tokens(spark, docs, sf_dir):
+    """Token counts and digests of the ids and of the decoded bytes, a row for each copy."""
+    return byte_bpe.bpe_digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
-#: SQL can't express the trained classifier.
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_bytes", repeated_bytes), ("mixed", mixed), ("tokens", tokens)]
+#: SQL can't express the trained classifier, the fingerprints and the tokenizer.
 ORACLE_SQL = None
 
 
