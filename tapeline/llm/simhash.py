@@ -168,7 +168,7 @@ def _children(fps: DataFrame, pairs: DataFrame, depth: int, budget: int) -> Data
     )
 
 
-def near_links(fps: DataFrame, budget: int = 2, task_rows: int = 8192) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 2, task_rows: int = 32768) -> DataFrame:
     """a, b: links that join all fingerprints (column fp, different ones) within ``budget`` bits; their components are
     those of all links."""
     zero = F.lit(0).cast("long")
@@ -185,7 +185,7 @@ def near_links(fps: DataFrame, budget: int = 2, task_rows: int = 8192) -> DataFr
     return tasks.groupBy("depth", "left", "right").applyInArrow(_links(budget), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42, task_rows: int = 8192) -> DataFrame:
+def simhash_groups(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42, task_rows: int = 32768) -> DataFrame:
     """doc_id, fp, component_id: fingerprint and the smallest doc_id that links of at most ``budget`` bits reach.
 
     Texts without words, or null, share fingerprint 0 and so one group. Rows of equal doc_id are rows of their own. A
