@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, ids_of, mix, pick, ready, shared_dir
 
-MEMO = 400_000
+MEMO = 600_000
 SHARD = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, payload binary, bounds binary, ids binary, seeds binary, prints binary, places binary"
 
 
@@ -96,40 +97,94 @@ def look_up(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, places: np.
     return np.where(prints[at] == own, places[at].astype(np.int64), -1)
 
 
+#: Runs of letters and digits, and of other ASCII characters, in text whose ASCII letters are lower case.
+RUNS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
+BAR = b"|"
+CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
+
+
+def plain(run: bytes) -> bool:
+    """Whether a run's ids don't depend on its neighbours: its characters are all letters or digits, in lower case
+    too, or all ASCII punctuation. Other characters could join the punctuation beside them."""
+    if run[0] >= 0x80 or run[:1].isalnum():
+        return run.isascii() or (text := run.decode()).isalnum() and text.lower().isalnum()
+    return not CONTROL.search(run)
+
+
 class Encoder:
-    """Ids of whole texts. White space ends every token of these vocabularies and is dropped, so that a text's ids are
-    those of its words, one after the other; the ids of words already seen are kept, in a table of bounded size."""
+    """Ids of whole texts, from those of their runs; the ids of runs already seen are kept, in a table of bounded size.
+
+    The vocabulary is one for lower case that drops white space and merges within runs of letters and runs of
+    punctuation, so the ids of most texts are those of their runs, one after the other. Texts with apostrophes
+    (contractions cross runs), with ``<|`` (special tokens are in lower case) or with a run that isn't ``plain`` are
+    encoded by words instead: white space ends every token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, one in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(one.ids, "<u4").tobytes()
+        self.runs: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.unsafe: set[bytes] = set()  # of runs
+        (self.bar,) = self._ids(BAR)
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, memo: dict[bytes, bytes], parts: set[bytes], by_run: bool) -> None:
+        if len(memo) + len(parts) > MEMO:
+            memo.clear()
+            if by_run:
+                self.unsafe.clear()
+        if by_run:
+            self.unsafe.update(x for x in parts if not plain(x))
+        # many parts are one text, with a bar between them; those that have a bar themselves are texts of their own
+        together = [x for x in parts if BAR not in x]
+        for i in range(0, len(together), 4096):
+            some = together[i : i + 4096]
+            ids = self._ids(b" | ".join(some))
+            cut = 4 * np.flatnonzero(ids == self.bar)
+            data = ids.tobytes()
+            memo.update((x, data[a:b]) for x, a, b in zip(some, [0, *(cut + 4)], [*cut, len(data)], strict=True))
+        memo.update((x, self._ids(x).tobytes()) for x in parts if BAR in x)
+
+    def _by(self, memo: dict[bytes, bytes], split: list[list[bytes]], by_run: bool) -> list[bytes | None]:
+        """The ids of split texts; None for one with a run that isn't plain."""
+        known = memo.get
+        ids = [list(map(known, parts)) for parts in split]
+        missing = {p for parts, own in zip(split, ids, strict=True) for p, x in zip(parts, own, strict=True) if x is None}
+        if missing:
+            if len(memo) + len(missing) > MEMO:  # the table starts anew, with these texts' parts
+                missing, ids = set().union(*split), [[None] * len(parts) for parts in split]
+            self._learn(memo, missing, by_run)
+            new = memo.__getitem__
+            ids = [[new(p) if x is None else x for p, x in zip(parts, own, strict=True)] for parts, own in zip(split, ids, strict=True)]
+        bad = self.unsafe if by_run else ()
+        return [None if bad and not bad.isdisjoint(parts) else b"".join(own) for parts, own in zip(split, ids, strict=True)]
+
+    def _groups(self, texts: list[bytes]):
+        """A few texts at a time, so that what is learnt at once is bounded too."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            group.append(i)
+            size += len(text)
+            if size > 1 << 20 or i == len(texts) - 1:
+                yield group
+                group, size = [], 0
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        last, out, begin = np.array([end], "<u4").tobytes(), [], 0
-        while begin < len(texts):
-            split, words = [], set()
-            while begin < len(texts) and (not split or len(words) < MEMO // 4):
-                split.append(texts[begin].split())
-                words.update(split[-1])
-                begin += 1
-            self.learn(words)
-            known = self.memo.__getitem__
-            out += [b"".join(map(known, x)) + last for x in split]
-        return out
+        last, out = np.array([end], "<u4").tobytes(), [b""] * len(texts)
+        for group in self._groups(texts):
+            easy = [i for i in group if b"'" not in texts[i] and b"<|" not in texts[i]]
+            for i, ids in zip(easy, self._by(self.runs, [RUNS.findall(texts[i].lower()) for i in easy], True), strict=True):
+                out[i] = ids
+            hard = [i for i in set(group) - set(easy)] + [i for i in easy if out[i] is None]
+            for i, ids in zip(hard, self._by(self.words, [texts[i].split() for i in hard], False), strict=True):
+                out[i] = ids
+        return [x + last for x in out]
 
 
 @functools.lru_cache(2)
