@@ -93,11 +93,18 @@ def powers(step: np.uint64, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of stretches of codes (uint64)."""
 
+    kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))  # powers, for arrays of up to a million
+
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        self.inverse = powers(STEP_INVERSE, n + 1)
+        steps, inverse = Rolling.kept
+        if len(inverse) <= n:
+            steps, inverse = powers(STEP, max(n, 1 << 17) + 1), powers(STEP_INVERSE, max(n, 1 << 17) + 1)
+            if n <= 1 << 20:
+                Rolling.kept = steps, inverse
+        self.inverse = inverse[: n + 1]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers(STEP, n), out=self.sums[1:])
+        np.cumsum(codes * steps[:n], out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])

@@ -30,6 +30,7 @@ from .suffix_groups import suffix_arrays
 
 GRAM = 32
 PART_BYTES = 1 << 20
+GROUP = 1 << 17
 #: What an answer to a chunk has: anchors that occur more than once, crowded ones, windows of these that do, marks.
 PLAIN, CROWDED, TWICE, MARKS = range(4)
 
@@ -48,64 +49,93 @@ def _told(answers: pa.Table, kind: int) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of a chunk in one byte array, in a fixed order, and the windows in them."""
+    """The documents of a chunk in one byte array, in a fixed order, and the runs of windows that share an anchor.
+
+    A run is known by the hash of its anchor (``gram``), its first window, the number of windows, and ``same``, the hash of its bytes and
+    of where the anchor is in them. Hashes are made for a hundred kilobytes at a time, which stay in the cache.
+    """
 
     def __init__(self, docs: pa.Table, length: int):
         ids = docs["doc_id"].combine_chunks().fill_null(NO_ID).to_pylist()
         texts = [x or b"" for x in docs["text"].cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts = np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
-        self.number = docs["chunk"][0].as_py()
+        self.number, self.length, self.short = docs["chunk"][0].as_py(), length, min(GRAM, length)
         self.data, self.start, self.end = joined(self.texts)
-        self.rolling = Rolling(BYTE_CODE[self.data])
-        count = np.maximum(self.end - self.start - length + 1, 0)
-        self.doc = np.repeat(np.arange(len(ids)), count)
-        self.windows = np.arange(count.sum()) + np.repeat(self.start - (np.cumsum(count) - count), count)
-        self.length = length
-        grams = self.rolling.every(min(GRAM, length))
-        self.anchor = leftmost_least(grams, length - min(GRAM, length) + 1)[self.windows] if len(self.windows) else self.windows
-        self.gram = grams[self.anchor]
-
-    def window_hashes(self, some: np.ndarray) -> np.ndarray:
-        at = self.windows[some]
-        return self.rolling.spans(at, at + self.length)
-
-    def segments(self, keep: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Runs of kept windows of one anchor occurrence: first window (its place in ``windows``), count, identity."""
-        some = np.flatnonzero(keep)
-        if not len(some):
-            return some, some, np.zeros(0, np.uint64)
-        a, w = self.anchor[some], self.windows[some]
-        cut = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1] + 1)))
-        first = some[cut]
-        count = np.diff(np.concatenate((np.flatnonzero(cut), [len(some)])))
-        begin = self.windows[first]
-        same = self.rolling.spans(begin, begin + count + self.length - 1)
-        # the anchor's place in the segment is part of what it is
-        return first, count, same ^ (self.anchor[first] - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def kept(self, answers: pa.Table, crowded_only: bool = False) -> np.ndarray:
-        """Windows that may occur twice, by the answers of the first two passes; or those of crowded anchors."""
-        plain, crowded, twice = (_told(answers, kind) for kind in (PLAIN, CROWDED, TWICE))
-        hot = np.flatnonzero(_known(self.gram, crowded))
-        if crowded_only:
-            return hot
-        keep = _known(self.gram, plain)
-        keep[hot] = _known(self.window_hashes(hot), twice)
-        return keep
-
-    def first_ones(self, first: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each segment the place of the earliest equal one of the chunk; the order of windows is that of starts."""
-        order = np.argsort(same, kind="stable")
-        new = np.concatenate(([True], same[order][1:] != same[order][:-1])) if len(order) else np.zeros(0, bool)
-        leader = np.empty(len(order), np.int64)
-        leader[order] = order[new][np.cumsum(new) - 1]
-        return leader, np.flatnonzero(leader == np.arange(len(order)))
+        runs, low = [], 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + GROUP)))
+            runs.append(self._runs(low, high))
+            low = high
+        self.gram, self.anchor, self.begin, self.count, self.doc, self.same = (np.concatenate(x) for x in zip(*runs, strict=True))
+
+    def _rolling(self, low: int, high: int) -> tuple[Rolling, int]:
+        base = int(self.start[low])
+        return Rolling(BYTE_CODE[self.data[base : self.end[high - 1] + 1]]), base
+
+    def _runs(self, low: int, high: int) -> tuple[np.ndarray, ...]:
+        rolling, base = self._rolling(low, high)
+        count = np.maximum(self.end[low:high] - self.start[low:high] - self.length + 1, 0)
+        doc = np.repeat(np.arange(low, high), count)
+        at = np.arange(count.sum()) + np.repeat(self.start[low:high] - base - (np.cumsum(count) - count), count)
+        if not len(at):
+            none = np.zeros(0, np.int64)
+            return none.view(np.uint64), none, none, none, none, none.view(np.uint64)
+        grams = rolling.every(self.short)
+        anchor = leftmost_least(grams, self.length - self.short + 1)[at]
+        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
+        many = np.diff(np.concatenate((first, [len(at)])))
+        begin, anchor = at[first], anchor[first]
+        return grams[anchor], anchor + base, begin + base, many, doc[first], self._identity(rolling, begin, many, anchor)
+
+    def _identity(self, rolling: Rolling, begin: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        return rolling.spans(begin, begin + count + self.length - 1) ^ (anchor - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def crowded_windows(self, answers: pa.Table):
+        """For each part of the documents with crowded anchors: its rolling hash and base, the runs, and for each of
+        their windows the run, start and hash."""
+        hot = np.flatnonzero(_known(self.gram, _told(answers, CROWDED)))
+        while len(hot):
+            low = self.doc[hot[0]]
+            high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + GROUP)))
+            own, hot = hot[self.doc[hot] < high], hot[self.doc[hot] >= high]
+            rolling, base = self._rolling(low, high)
+            run = np.repeat(own, self.count[own])
+            at = np.arange(len(run)) + np.repeat(self.begin[own] - (np.cumsum(self.count[own]) - self.count[own]), self.count[own])
+            yield rolling, base, run, at, rolling.spans(at - base, at - base + self.length)
+
+    def segments(self, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """What may occur twice, by the answers of the first two passes: runs, and of runs with crowded anchors the
+        parts whose windows do. Returns run, first window, count, identity."""
+        plain, twice = np.flatnonzero(_known(self.gram, _told(answers, PLAIN))), _told(answers, TWICE)
+        parts = [(plain, self.begin[plain], self.count[plain], self.same[plain])]
+        for rolling, base, run, at, hashes in self.crowded_windows(answers):
+            keep = np.flatnonzero(_known(hashes, twice))
+            if not len(keep):
+                continue
+            run, at = run[keep], at[keep]
+            first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1))))
+            many = np.diff(np.concatenate((first, [len(at)])))
+            run, begin = run[first], at[first]
+            parts.append((run, begin, many, self._identity(rolling, begin - base, many, self.anchor[run] - base)))
+        run, begin, count, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(begin, kind="stable")
+        return run[order], begin[order], count[order], same[order]
+
+
+def _leaders(same: np.ndarray) -> np.ndarray:
+    """For each value the place of the first equal one."""
+    order = np.argsort(same, kind="stable")
+    new = np.concatenate(([True], same[order][1:] != same[order][:-1])) if len(order) else np.zeros(0, bool)
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[new][np.cumsum(new) - 1]
+    return leader
 
 
 def _send_anchors(length: int):
     def send(docs: pa.Table) -> pa.Table:
         c = Chunk(docs, length)
+        # documents' runs with one anchor follow each other
         new = np.concatenate(([True], c.anchor[1:] != c.anchor[:-1])) if len(c.anchor) else np.zeros(0, bool)
         hashes, n = np.unique(c.gram[new], return_counts=True)
         return pa.table({"hash": hashes.view(np.int64), "chunk": pa.array(np.full(len(n), c.number, np.int32)), "n": pa.array(n, pa.int32())})
@@ -116,12 +146,13 @@ def _send_anchors(length: int):
 def _send_crowded(length: int, buckets: int):
     """Hashes of the windows of crowded anchors, packed by range; a hash that occurs more than once is sent twice."""
 
-    def send(key, docs: pa.Table, first: pa.Table) -> pa.Table:
+    def send(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
-        if not docs.num_rows or not first.num_rows:
+        if not docs.num_rows or not len(_told(answers, CROWDED)):
             return schema.empty_table()
         c = Chunk(docs, length)
-        hashes, n = np.unique(c.window_hashes(c.kept(first, crowded_only=True)), return_counts=True)
+        every = [x[-1] for x in c.crowded_windows(answers)]
+        hashes, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
         hashes = np.repeat(hashes, np.minimum(n, 2))
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else bucket
@@ -140,35 +171,30 @@ def _match_crowded(batch: pa.Table) -> pa.Table:
     return pa.table({"chunk": batch["chunk"], "hashes": pa.array(out, pa.list_(pa.int64()))})
 
 
-SEGMENT = "bucket int, hash long, chunk int, off int, doc long, pos long, at long, seg binary"
+SEGMENT = "bucket int, hash long, chunk int, off int, doc long, pos long, at long, same long, seg binary"
 
 
 def _send_segments(length: int, buckets: int):
     def send(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        fields = [("bucket", pa.int32()), ("hash", pa.int64()), ("chunk", pa.int32()), ("off", pa.int32()), ("doc", pa.int64()), ("pos", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())]
+        names = ["bucket", "hash", "chunk", "off", "doc", "pos", "at", "same", "seg"]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         if not docs.num_rows or not answers.num_rows:
-            return pa.schema(fields).empty_table()
+            return pa.schema(list(zip(names, types, strict=True))).empty_table()
         c = Chunk(docs, length)
-        first, count, same = c.segments(c.kept(answers))
-        _, lead = c.first_ones(first, same)
-        first, count = first[lead], count[lead]
-        begin, doc = c.windows[first], c.doc[first]
+        run, begin, count, same = c.segments(answers)
+        lead = np.unique(_leaders(same))
+        run, begin, count, same = run[lead], begin[lead], count[lead], same[lead]
         view = c.data.tobytes()
         seg = [view[s:e] for s, e in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)]
-        hashes = c.gram[first]
-        return pa.table(
-            [
-                pa.array((hashes % np.uint64(buckets)).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(first), c.number, np.int32)), pa.array((c.anchor[first] - begin).astype(np.int32)),
-                pa.array(c.ids[doc]), pa.array(begin - c.start[doc]), pa.array(begin), pa.array(seg, pa.binary()),
-            ],
-            schema=pa.schema(fields),
-        )
+        hashes, doc = c.gram[run], c.doc[run]
+        parts = [hashes % np.uint64(buckets), hashes.view(np.int64), np.full(len(run), c.number), c.anchor[run] - begin, c.ids[doc], begin - c.start[doc], begin, same.view(np.int64)]
+        return pa.table([*[pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(parts, types[:-1], strict=True)], pa.array(seg, types[-1])], names=names)
 
     return send
 
 
-def _mark(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int) -> list[np.ndarray]:
-    """For different segments, sorted by anchor: which windows of each also start earlier, by the suffix arrays of the
+def _mark(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+    """For different segments, sorted by anchor: which windows (of the first, of the second and so on) also start earlier, by the suffix arrays of the
     anchors' segments."""
     new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     # a separator before each anchor's first segment and after every segment
@@ -185,11 +211,11 @@ def _mark(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndar
     offset = order - start[own]
     good = (own >= 0) & (offset + length <= size[own])
     order, own, offset = order[good], own[good], offset[good]
-    flat = (code - 1).astype(np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view((code - 1).astype(np.uint8), length)
     equal = np.zeros(len(order), bool)
     for i in range(1, len(order), 1 << 15):
         a = order[i - 1 : i - 1 + (1 << 15) + 1]
-        rows = flat[a[:, None] + np.arange(length)]
+        rows = windows[a]
         equal[i : i + len(a) - 1] = (rows[1:] == rows[:-1]).all(axis=1) & (anchor[own[i : i + len(a) - 1]] == anchor[own[i - 1 : i + len(a) - 2]])
     group = np.cumsum(~equal)
     where = pos[own] + offset
@@ -202,56 +228,59 @@ def _mark(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndar
     base = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), bool)
     out[base[own] + offset] = later
-    return np.split(out, base[1:]) if len(base) else []
+    return out
 
 
 def _marks(length: int):
-    """chunk, at, marks for the segments of an anchor's task that have windows to remove."""
+    """chunk, at, marks for the segments that have windows to remove: a bit for each window, or null for all."""
+    width = -(-(length - min(GRAM, length) + 1) // 8)
 
     def marks(batch: pa.Table) -> pa.Table:
-        seg = batch["seg"].combine_chunks()
-        chunk, at, anchor, off, doc, pos = (batch[c].to_numpy() for c in ("chunk", "at", "hash", "off", "doc", "pos"))
-        texts = seg.to_pylist()
-        # equal segments side by side, the earliest first
-        order = sorted(range(len(texts)), key=lambda i: (anchor[i], len(texts[i]), texts[i], off[i], doc[i], pos[i]))
-        leader, lead = np.empty(len(order), np.int64), []
-        for k, i in enumerate(order):
-            j = order[k - 1]
-            if k == 0 or anchor[i] != anchor[j] or texts[i] != texts[j] or off[i] != off[j]:
-                lead.append(i)
-            leader[i] = lead[-1]
-        lead = np.array(lead)
+        chunk, at, anchor, doc, pos, same = (batch[c].to_numpy() for c in ("chunk", "at", "hash", "doc", "pos", "same"))
+        # equal segments side by side, the earliest first; anchors side by side
+        order = np.lexsort((pos, doc, same, anchor))
+        new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (same[order][1:] != same[order][:-1])))
+        lead = order[new]
+        leader = np.empty(len(order), np.int64)
+        leader[order] = np.cumsum(new) - 1
+        texts = batch["seg"].combine_chunks().take(pa.array(lead))
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        texts = texts.to_pylist()
         # anchors with like numbers of bytes are sorted in step
-        size = np.fromiter((len(texts[i]) for i in lead), np.int64, len(lead))
-        new = np.flatnonzero(np.concatenate(([True], anchor[lead][1:] != anchor[lead][:-1])))
-        total = np.add.reduceat(size, new)
-        runs = np.split(np.arange(len(lead)), new[1:])
-        own: dict[int, np.ndarray] = {}
+        head = np.flatnonzero(np.concatenate(([True], anchor[lead][1:] != anchor[lead][:-1])))
+        total = np.add.reduceat(size, head)
+        runs = np.split(np.arange(len(lead)), head[1:])
+        bits = np.zeros((len(lead), width), np.uint8)
         part, held = [], 0
         for r in [*np.argsort(total, kind="stable"), None]:
             if r is not None:
                 part.append(runs[r])
                 held += total[r]
             if part and (r is None or held > PART_BYTES):
-                some = lead[np.concatenate(part)]
-                sizes = np.fromiter((len(texts[i]) for i in some), np.int64, len(some))
-                data = np.frombuffer(b"".join([texts[i] for i in some]), np.uint8)
-                found = _mark(data, np.cumsum(sizes) - sizes, sizes, np.cumsum(np.concatenate(([0], anchor[some][1:] != anchor[some][:-1]))), doc[some], pos[some], length)
-                own |= dict(zip(some.tolist(), found, strict=True))
+                own = np.concatenate(part)
+                some, sizes = lead[own], size[own]
+                data = np.frombuffer(b"".join([texts[i] for i in own]), np.uint8)
+                group = np.cumsum(np.concatenate(([0], anchor[some][1:] != anchor[some][:-1])))
+                later = _mark(data, np.cumsum(sizes) - sizes, sizes, group, doc[some], pos[some], length)
+                many = sizes - length + 1
+                row = np.repeat(np.arange(len(own)), many)
+                wide = np.zeros((len(own), 8 * width), bool)
+                wide[row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)] = later
+                bits[own] = np.packbits(wide, axis=1)
                 part, held = [], 0
-        rows, bits = [], []
-        for i in range(len(texts)):
-            first = leader[i]
-            gone = own[first] if (doc[i], pos[i]) == (doc[first], pos[first]) else np.ones(len(own[first]), bool)
-            if gone.any():
-                rows.append(i)
-                bits.append(np.packbits(gone).tobytes())
-        return pa.table({"chunk": pa.array(chunk[rows], pa.int32()), "at": pa.array(at[rows], pa.int64()), "marks": pa.array(bits, pa.binary())})
+        first = (doc == doc[lead[leader]]) & (pos == pos[lead[leader]])
+        some = np.flatnonzero(first & bits.any(axis=1)[leader])
+        every = np.flatnonzero(~first)
+        rows = np.concatenate((some, every))
+        data = pa.array([x.tobytes() for x in bits[leader[some]]] + [None] * len(every), pa.binary())
+        return pa.table({"chunk": pa.array(chunk[rows], pa.int32()), "at": pa.array(at[rows], pa.int64()), "marks": data})
 
     return marks
 
 
 def _finish(length: int, as_text: bool):
+    width = -(-(length - min(GRAM, length) + 1) // 8)
+
     def finish(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
         types = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary()]
@@ -259,23 +288,27 @@ def _finish(length: int, as_text: bool):
             return pa.schema(list(zip(names, types, strict=True))).empty_table()
         c = Chunk(docs, length)
         marks = answers.filter(pc.equal(answers["kind"], MARKS))
-        first, count, same = c.segments(c.kept(answers))
-        leader, _ = c.first_ones(first, same)
-        got = {at.as_py(): np.unpackbits(np.frombuffer(m.as_py(), np.uint8)) for at, m in zip(marks["at"], marks["marks"], strict=True)}
-        gone = np.zeros(len(c.windows), bool)
-        begin, doc = c.windows[first], c.doc[first]
-        pos = begin - c.start[doc]
-        ids = c.ids[doc]
-        copy = (ids != ids[leader]) | (pos != pos[leader])
-        for i in range(len(first)):
-            if copy[i]:  # an equal segment of this chunk is earlier
-                gone[first[i] : first[i] + count[i]] = True
-            elif (bits := got.get(int(begin[leader[i]]))) is not None:
-                gone[first[i] : first[i] + count[i]] = bits[: count[i]]
+        run, begin, count, same = c.segments(answers)
+        leader = _leaders(same)
+        doc = c.doc[run]
+        # later copies in this chunk go as a whole; rows of the leader's id and place share its marks
+        pos, ids = begin - c.start[doc], c.ids[doc]
+        whole = (ids != ids[leader]) | (pos != pos[leader])
+        at, given = marks["at"].to_numpy(), marks["marks"].combine_chunks()
+        null = given.is_null().to_numpy(zero_copy_only=False)
+        whole |= np.isin(begin[leader], at[null])
         cover = np.zeros(len(c.data) + 1, np.int64)
-        at = c.windows[gone]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + length, -1)
+        np.add.at(cover, begin[whole], 1)
+        np.add.at(cover, begin[whole] + count[whole] + length - 1, -1)
+        rows = np.frombuffer(b"".join(given.filter(pa.array(~null)).to_pylist()), np.uint8).reshape(-1, width)
+        at = at[~null]
+        by = np.argsort(at)
+        some = np.flatnonzero(~whole & _known(begin[leader], at[by]))
+        bits = np.unpackbits(rows[by[np.searchsorted(at[by], begin[leader[some]])]], axis=1) if len(some) else np.zeros((0, 8 * width), np.uint8)
+        row, column = np.nonzero(bits)
+        first = begin[some[row]] + column
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + length, -1)
         removed = np.cumsum(cover[:-1]) > 0
         # windows of two documents never touch, as a byte stands between them
         edge = np.flatnonzero(removed & ~np.concatenate(([False], removed[:-1])))
@@ -315,7 +348,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20,
         .groupBy("chunk", crowded.alias("kind"))
         .agg(F.collect_list("hash").alias("hashes"))
     )
-    packed = groups.cogroup(first.groupBy("chunk")).applyInArrow(_send_crowded(length, n), "bucket int, chunk int, hashes binary")
+    packed = groups.cogroup(first.groupBy("chunk")).applyInArrow(_send_crowded(length, max(1, n // 4)), "bucket int, chunk int, hashes binary")
     second = packed.groupBy("bucket").applyInArrow(_match_crowded, "chunk int, hashes array<long>").withColumn("kind", F.lit(TWICE))
     answers = first.unionByName(second)
     segments = groups.cogroup(answers.groupBy("chunk")).applyInArrow(_send_segments(length, n), SEGMENT)
