@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import BY_DATE, last, numbered, tail
+from .indicators import by_date, last, numbered, tail
 
 D = "decimal(28,8)"
 
@@ -36,8 +36,8 @@ def backtest_signals(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     df = numbered(bars).withColumns(
         {
             "avg20": F.round(F.sum("close").over(last(20)).cast("decimal(20,4)") / F.lit(20).cast("decimal(10,0)"), 6),
-            "entry": F.lead("open").over(BY_DATE),
-            "entry_date": F.lead("trade_date").over(BY_DATE),
+            "entry": F.lead("open").over(by_date()),
+            "entry_date": F.lead("trade_date").over(by_date()),
         }
     )
     on_grid = (F.col("n") >= 20) & ((F.col("n") - 20) % stride == 0) & (F.col("n") < F.col("n_bars") - 2)

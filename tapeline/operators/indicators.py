@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("symbol").orderBy("trade_date")
+def by_date():
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def last(n: int, skip: int = 0):
     """The n bars that end ``skip`` bars before the current one."""
-    return BY_DATE.rowsBetween(-(n - 1) - skip, -skip)
+    return by_date().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def tail(bars: DataFrame, n: int) -> DataFrame:
@@ -25,7 +26,7 @@ def tail(bars: DataFrame, n: int) -> DataFrame:
 
 def numbered(bars: DataFrame) -> DataFrame:
     """Adds n, the bar's place from 0, and n_bars."""
-    return bars.withColumns({"n": F.row_number().over(BY_DATE) - 1, "n_bars": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    return bars.withColumns({"n": F.row_number().over(by_date()) - 1, "n_bars": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
 
 
 def ewm(value: Column, alpha: float, n: Column) -> Column:
@@ -35,7 +36,7 @@ def ewm(value: Column, alpha: float, n: Column) -> Column:
     """
     keep = 1.0 - alpha
     x = F.when(n == 0, value).when(n > 0, value * alpha)
-    return F.sum(x * F.pow(F.lit(keep), -n)).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), n)
+    return F.sum(x * F.pow(F.lit(keep), -n)).over(by_date().rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), n)
 
 
 def full(value: Column, n: int) -> Column:
@@ -48,14 +49,14 @@ def sma(column: str, n: int) -> Column:
 
 
 def true_range(kind: str = "double") -> Column:
-    before = F.lag("close").over(BY_DATE).cast(kind)
+    before = F.lag("close").over(by_date()).cast(kind)
     high, low = F.col("high").cast(kind), F.col("low").cast(kind)
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
 def change_over(n: int) -> Column:
     """Percent change against the close n bars before."""
-    return (F.col("close").cast("double") / F.lag("close", n).over(BY_DATE).cast("double") - 1) * 100
+    return (F.col("close").cast("double") / F.lag("close", n).over(by_date()).cast("double") - 1) * 100
 
 
 def with_indicators(bars: DataFrame, n: int = 260) -> DataFrame:
@@ -66,7 +67,7 @@ def with_indicators(bars: DataFrame, n: int = 260) -> DataFrame:
     alpha = 0.07142857142857142
     df = numbered(tail(bars, n))
     c = F.col("close").cast("double")
-    diff = F.col("close") - F.lag("close").over(BY_DATE)
+    diff = F.col("close") - F.lag("close").over(by_date())
     df = df.withColumns(
         {f"ma{p}": sma("close", p) for p in (5, 10, 20, 60)}
         | {f"return{p}": change_over(p) for p in (5, 20, 60)}
@@ -76,7 +77,7 @@ def with_indicators(bars: DataFrame, n: int = 260) -> DataFrame:
             "true_range": true_range(),
             "ema12": ewm(c, 2.0 / 13, F.col("n")),
             "ema26": ewm(c, 2.0 / 27, F.col("n")),
-            "daily_return": c / F.lag("close").over(BY_DATE).cast("double") - 1,
+            "daily_return": c / F.lag("close").over(by_date()).cast("double") - 1,
             "avg_volume_prev20": F.sum("volume").over(last(20, 1)).cast("double") / 20,
             "amount20": F.sum(F.coalesce("amount", F.lit(0))).over(last(20)).cast("double"),
             "estimate20": F.sum(F.col("volume") * F.col("close") * 100).over(last(20)).cast("double"),
@@ -100,7 +101,7 @@ def with_indicators(bars: DataFrame, n: int = 260) -> DataFrame:
     high, low = F.col("high20").cast("double"), F.col("low20").cast("double")
     return df.withColumns(
         {
-            "prev_hist": F.lag("macd_hist").over(BY_DATE),
+            "prev_hist": F.lag("macd_hist").over(by_date()),
             "rsi14": F.coalesce(100 - 100 / (1 + F.try_divide("avg_gain", F.nullif(F.col("avg_loss"), F.lit(0.0)))), F.lit(100.0)),
             "atr_pct": F.col("atr14") / c * 100,
             "volume_ratio20": F.coalesce(F.try_divide(F.col("volume").cast("double"), F.nullif("avg_volume_prev20", F.lit(0.0))), F.lit(0.0)),
@@ -152,7 +153,7 @@ def rsi_simple(n: int = 14) -> Column:
 
 def with_exact_indicators(bars: DataFrame) -> DataFrame:
     """The decimal family: averages 5, 20 and 60, RSI, ATR, volume ratio with the current bar, previous close high."""
-    change = F.col("close") - F.lag("close").over(BY_DATE)
+    change = F.col("close") - F.lag("close").over(by_date())
     zero = F.lit(0).cast("decimal(13,4)")
     df = numbered(bars).withColumns({"up": F.greatest(change, zero), "down": F.greatest(-change, zero), "exact_range": true_range("decimal(13,4)")})
     df = df.withColumns({f"sma{p}": sma_exact(p) for p in (5, 20, 60)} | {"rsi": rsi_simple(), "atr": atr_simple(), "avg_volume20": avg_volume_incl(), "prev_high": full(F.max("close").over(last(20, 1)), 21)})

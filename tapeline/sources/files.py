@@ -18,8 +18,9 @@ def write_csv_cache(bars: DataFrame, folder: str, source: str) -> None:
 
 
 def read_csv_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached bars; rows that can't be read are dropped."""
-    return spark.read.schema(BAR_SCHEMA + ", data_source string").option("header", True).option("mode", "DROPMALFORMED").csv(folder)
+    """Cached bars; rows without a required value, also one that can't be read, are dropped."""
+    df = spark.read.schema(BAR_SCHEMA + ", data_source string").option("header", True).option("mode", "PERMISSIVE").csv(folder)
+    return df.dropna(subset=["symbol", "trade_date", "open", "high", "low", "close", "volume"])
 
 
 def write_universe(universe: DataFrame, folder: str) -> None:
