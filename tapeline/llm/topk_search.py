@@ -119,7 +119,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = pick(vectors, vec_id="vec_id", embedding="embedding").select(F.col("vec_id").cast("long"), "embedding")
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = cut(rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v"), F.size("embedding").alias("dim")))
-    asked = rows.where(is_query).distinct()
+    # names of its own, as the two sides of a cogroup must not share columns
+    asked = rows.where(is_query).distinct().select(*[F.col(c).alias(c) for c in rows.columns])
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
     hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     key = ["dim", "shard", "block"]
