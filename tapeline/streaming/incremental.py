@@ -1,7 +1,7 @@
 """Streaming: incremental bars into a table of bars, and daily bars from an event stream.
 
 A corrected or late bar overwrites the stored one by key. Parquet has no merge, so each micro-batch writes a new version of
-the affected months only, next to the old one, and moves a pointer row; a repeated batch writes the same version again.
+the months it touches, next to the old ones, and readers take the newest version of each month.
 """
 
 from __future__ import annotations
@@ -30,26 +30,39 @@ def update_counters(base: DataFrame, delta: DataFrame, wanted: DataFrame, window
 
 
 def stream_bars(stream: DataFrame, folder: str, checkpoint: str, window: int = 90):
-    """Writes every micro-batch of a stream of bars as a version of the table in ``folder``; returns the started query.
+    """Writes every micro-batch of a stream of bars as a version of the months it touches; returns the started query.
 
     Batches are numbered by Spark, so a batch that runs again after a failure replaces its own version.
     """
     spark = stream.sparkSession
+    month = F.date_format("trade_date", "yyyy-MM")
 
     def write(batch: DataFrame, number: int) -> None:
-        old = read_bars(spark, folder, batch.schema, before=number)
-        incremental_update(old, batch, window).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        new = tail(batch, window)
+        touched = [r.month for r in new.select(month.alias("month")).distinct().collect()]  # a few months
+        old = read_bars(spark, folder, batch.schema, before=number, months=touched)
+        upsert(old, new, KEYS).withColumn("month", month).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{folder}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_bars(spark, folder: str, schema, before: int | None = None) -> DataFrame:
-    """The newest version of the table (before a batch); empty if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.getPath().getName().startswith("version=")] if fs.exists(path) else []
-    found = [v for v in found if (before is None or v < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={v}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{folder}/version={max(found)}") if found else spark.createDataFrame([], schema)
+def _newest(spark, folder: str, before: int | None) -> dict[str, str]:
+    """The folder of each month's newest complete version; a listing of names, no data."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda path: [f.getPath().getName() for f in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
+    found: dict[str, str] = {}
+    for version in sorted(int(x.split("=")[1]) for x in names(folder) if x.startswith("version=")):
+        inside = names(f"{folder}/version={version}")
+        if (before is None or version < before) and "_SUCCESS" in inside:
+            found |= {x.split("=")[1]: f"{folder}/version={version}/{x}" for x in inside if x.startswith("month=")}
+    return found
+
+
+def read_bars(spark, folder: str, schema, before: int | None = None, months: list[str] | None = None) -> DataFrame:
+    """The table of bars (as it was before a batch, or some months of it); empty if there is none."""
+    found = [path for month, path in sorted(_newest(spark, folder, before).items()) if months is None or month in months]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 def ohlc(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
