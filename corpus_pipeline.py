@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tapeline.llm import byte_bpe, language_id, mixing, simhash, suffix_dedup
-from tapeline.llm.common import cut, table
+from tapeline.llm.common import shared_dir, table
 
 
 def language(spark, docs, sf_dir):
@@ -49,9 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents; each result is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
