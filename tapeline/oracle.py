@@ -77,7 +77,7 @@ SCORED = f"""{TAIL}, lat as (select * from ind where n = n_bars - 1 and n_bars >
   from (select lpad(code, greatest(6, length(code))::int, '0') as symbol, nullif(trim(name), '') as name from raw_universe)
   where length(symbol) = 6 and left(symbol, 3) in ('000', '001', '002', '003', '600', '601', '603', '605') group by symbol
 ), scan as (
-  select s.*, u.name, reasons = '' as eligible, row_number() over (order by reasons = '' desc, score desc, trade_date desc, symbol) as rank_no
+  select s.*, u.name, reasons = '' as eligible, (row_number() over (order by reasons = '' desc, score desc, trade_date desc, symbol))::int as rank_no
   from scored s join universe u using (symbol) where u.is_active and not u.is_st
 )"""
 EXACT = f"""{BASE}, e0 as (
@@ -105,7 +105,7 @@ MULTI = f"""{EXACT}, m1 as (
   from m1
 ), signals as (select *, case when score >= 70 then 'BUY' when score >= 55 then 'WATCH' else 'AVOID' end as action from multi)"""
 BACKTEST = """, b0 as (
-  select *, row_number() over w - 1 as n, count(*) over (partition by symbol) as n_bars, round((sum(close) over (partition by symbol order by trade_date rows 19 preceding))::double / 20, 6) as avg20,
+  select *, (row_number() over w - 1)::int as n, count(*) over (partition by symbol) as n_bars, round((sum(close) over (partition by symbol order by trade_date rows 19 preceding))::double / 20, 6) as avg20,
     lead(open) over w as entry, lead(trade_date) over w as entry_date
   from {bars} window w as (partition by symbol order by trade_date)
 ), sig as (

@@ -340,7 +340,7 @@ def ledger_gated(spark, d):
 
 @query(
     f"{O.LEDGER}, late as (select account_id, symbol, sum(quantity) as frozen from order_feed where side = 'SELL' and trade_date >= date '1998-06-01' group by 1, 2) "
-    "select p.account_id, p.symbol, case when last_buy_date < date '1998-08-01' then greatest(0, quantity - coalesce(frozen, 0)) else available_quantity end as available_quantity from pos p left join late using (account_id, symbol)"
+    "select p.account_id, p.symbol, case when last_buy_date < date '1998-08-01' then greatest(0, quantity - coalesce(frozen, 0)) else available_quantity end::bigint as available_quantity from pos p left join late using (account_id, symbol)"
 )
 def tplus1_available(spark, d):
     pending = order_feed(spark, d).where("side = 'SELL' and trade_date >= date '1998-06-01'")
