@@ -8,8 +8,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeline.llm import byte_bpe, language_id, mixing, simhash, suffix_dedup
-from tapeline.llm.common import shared_dir, table
+from tapeline.llm import byte_bpe, language_id, mixing, near_copies, suffix_dedup
+from tapeline.llm.common import keyed, shared_dir, table
+
+#: The column that holds a row's key inside a stage.
+ROW = "_row_key"
 
 
 def language(spark, docs, sf_dir):
@@ -18,8 +21,8 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each SimHash group stays: the one of smallest doc_id."""
-    return simhash.simhash_dedup(docs, budget=2)
+    """One row of each group of near copies (5-word Jaccard of 0.8 or more) stays: the one of smallest doc_id, null last."""
+    return near_copies.keep_first(keyed(docs, ROW), ROW).select(docs.columns)
 
 
 def repeated_bytes(spark, docs, sf_dir):

@@ -60,6 +60,15 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{at[c]}").alias(new) for new, c in names.items()])
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """Adds a key of each row's content: rows of one key are equal in all columns, but for a chance of 2^-64 per pair.
+
+    It needs no order, so it is the same at each reading, also where doc_id is null or repeated.
+    """
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return df.withColumn(key, F.xxhash64(*parts))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -141,13 +141,13 @@ def _prefix(depth: int):
     return F.col("fp") if depth == 64 else F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def _task(fps: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """The fingerprints of both sides of each pair of nodes."""
+def _task(fps: DataFrame, pairs: DataFrame, depth: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """The fingerprints of both sides of each pair of nodes, and columns more of theirs."""
     side = pairs.select("left", "right", "differ")
-    rows = fps.select("fp", _prefix(depth).alias("left"))
-    first = side.join(rows, "left").select("left", "right", "differ", "fp", F.lit(0).alias("side"))
-    rows = fps.select("fp", _prefix(depth).alias("right"))
-    second = side.where("left <> right").join(rows, "right").select("left", "right", "differ", "fp", F.lit(1).alias("side"))
+    rows = fps.select("fp", *more, _prefix(depth).alias("left"))
+    first = side.join(rows, "left").select("left", "right", "differ", "fp", *more, F.lit(0).alias("side"))
+    rows = fps.select("fp", *more, _prefix(depth).alias("right"))
+    second = side.where("left <> right").join(rows, "right").select("left", "right", "differ", "fp", *more, F.lit(1).alias("side"))
     return first.unionByName(second).withColumn("depth", F.lit(depth))
 
 
@@ -168,21 +168,21 @@ def _children(fps: DataFrame, pairs: DataFrame, depth: int, budget: int) -> Data
     )
 
 
-def near_links(fps: DataFrame, budget: int = 2, task_rows: int = 32768) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 2, task_rows: int = 32768, links=None, more: tuple[str, ...] = ()) -> DataFrame:
     """a, b: links that join all fingerprints (column fp, different ones) within ``budget`` bits; their components are
-    those of all links."""
+    those of all links. ``links`` is another function for the tasks, which also get the columns ``more`` of fps."""
     zero = F.lit(0).cast("long")
     pairs = fps.agg(zero.alias("left"), zero.alias("right"), F.lit(0).alias("differ"), F.count(F.lit(1)).alias("l_rows"), F.count(F.lit(1)).alias("r_rows"))
     large = F.greatest("l_rows", "r_rows") > task_rows
     tasks = None
     for depth in range(0, 65, STEP_BITS):
         small = pairs if depth == 64 else pairs.where(~large)
-        task = _task(fps, small, depth)
+        task = _task(fps, small, depth, more)
         tasks = task if tasks is None else tasks.unionByName(task)
         if depth == 64 or not pairs.where(large).head(1):
             break
         pairs = cut(_children(fps, pairs.where(large), depth, budget))
-    return tasks.groupBy("depth", "left", "right").applyInArrow(_links(budget), "a long, b long")
+    return tasks.groupBy("depth", "left", "right").applyInArrow(links or _links(budget), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42, task_rows: int = 32768) -> DataFrame:
