@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five training-data operators, one stage after the other.
 
-Each stage gets all documents that its predecessor kept, and all but the last return the columns of documents.
+Each stage gets all documents that its predecessor kept, and all but the last return the columns of documents. Rows are told
+apart by their whole content, so a null doc_id or one of several rows is a document like any other.
 """
 
 from __future__ import annotations
@@ -27,17 +28,20 @@ def near_duplicates(spark, docs, sf_dir):
 
 def repeated_bytes(spark, docs, sf_dir):
     """Bytes of 100-byte strings that start earlier go; a character that is cut apart goes as a whole."""
-    found = suffix_dedup.suffix_dedup(docs, length=100, as_text=True).select("doc_id", F.col("kept").alias("text"))
-    rest = docs.drop("text", "n_chars").join(found, "doc_id")
+    rows = keyed(docs, ROW)
+    found = suffix_dedup.suffix_dedup(rows, length=100, as_text=True, key=ROW).select(F.col("key").alias(ROW), F.col("kept").alias("text"))
+    rest = rows.drop("text", "n_chars").dropDuplicates([ROW]).join(found, ROW)
     return rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixed(spark, docs, sf_dir):
     """Each document as often as the mix takes its words; the part of a copy that is left over is drawn by a hash."""
-    taken = mixing.mix(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("times"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(F.col("times") + draw).cast("int")
-    repeated = docs.join(taken, "doc_id").withColumn("copies", copies).where("copies > 0")
+    rows = keyed(docs, ROW)
+    taken = mixing.mix(rows, key=ROW).where("size > 0").select(F.col("key").alias(ROW), (F.col("taken") / F.col("size")).alias("times"))
+    draw = F.pmod(F.xxhash64(ROW, F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    # equal rows share a key, and each draws its own copies of the content
+    copies = taken.withColumn("copies", F.floor(F.col("times") + draw).cast("int")).groupBy(ROW).agg(F.sum("copies").cast("int").alias("copies"))
+    repeated = rows.dropDuplicates([ROW]).join(copies.where("copies > 0"), ROW)
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

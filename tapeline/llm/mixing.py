@@ -128,17 +128,18 @@ def draws(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     return both.join(slots.select("sid", "blocks"), "sid")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 32, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 32, shard_slots: int = 1024, seed: int = 7, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted.
 
     Size: words of the whole text, 0 if null. Null is a source of its own, the last. A source without words has
     target 0. Blocks are taken in at most ``most`` rounds, so no document exceeds that many times its size, and a
     source comes to its target but for a few blocks. Rows of equal doc_id are documents of their own. Empty table: no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored, but for the one that ``key`` names, which passes along as key.
     """
-    docs = pick(docs, doc_id="doc_id", text="text", source="source")
+    more = {"key": key} if key else {}
+    docs = pick(docs, doc_id="doc_id", text="text", source="source", **more)
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    docs = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("text").alias("tie")))
+    docs = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("text").alias("tie"), *more))
     sources = cut(targets(docs, weights, float(most)))
     named = sources.withColumnRenamed("source", "named")
     docs = cut(docs.join(named, docs["source"].eqNullSafe(named["named"])).drop("named", "weight"))
@@ -155,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
         .groupBy("sid", "block")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    own = ["doc_id", "source", "sid", "size", "source_size", "target", "start"]
+    own = ["doc_id", "source", "sid", "size", "source_size", "target", "start", *more]
     pieces = (
         placed.where("size > 0")
         .withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
@@ -163,4 +164,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     )
     taken = pieces.join(slots, ["sid", "block"], "left").groupBy(*own).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", *more)

@@ -59,6 +59,7 @@ class Chunk:
         ids = docs["doc_id"].combine_chunks().fill_null(NO_ID).to_pylist()
         texts = [x or b"" for x in docs["text"].cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = order
         self.ids, self.texts = np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
         self.number, self.length, self.short = docs["chunk"][0].as_py(), length, min(GRAM, length)
         self.data, self.start, self.end = joined(self.texts)
@@ -278,14 +279,14 @@ def _marks(length: int):
     return marks
 
 
-def _finish(length: int, as_text: bool):
+def _finish(length: int, as_text: bool, keyed: bool = False):
     width = -(-(length - min(GRAM, length) + 1) // 8)
 
     def finish(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
         types = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary()]
         if not docs.num_rows:
-            return pa.schema(list(zip(names, types, strict=True))).empty_table()
+            return pa.schema([*zip(names, types, strict=True), *([("key", pa.int64())] if keyed else [])]).empty_table()
         c = Chunk(docs, length)
         marks = answers.filter(pc.equal(answers["kind"], MARKS))
         run, begin, count, same = c.segments(answers)
@@ -320,22 +321,24 @@ def _finish(length: int, as_text: bool):
                 lost[i] = size[i] - left.sum()
                 text = c.data[c.start[i] : c.end[i]][left].tobytes()
             kept.append(text.decode(errors="ignore") if as_text else text)
-        return pa.table([pa.array(c.ids, mask=c.ids == NO_ID), pa.array(size), pa.array(lost), pa.array(spans, pa.int64()), pa.array(kept, types[-1])], names=names)
+        out = pa.table([pa.array(c.ids, mask=c.ids == NO_ID), pa.array(size), pa.array(lost), pa.array(spans, pa.int64()), pa.array(kept, types[-1])], names=names)
+        return out.append_column("key", docs["key"].take(pa.array(c.order, pa.int64()))) if keyed else out
 
     return finish
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20, crowd: int = 256, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20, crowd: int = 256, as_text: bool = False, key: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each whole text, as UTF-8 bytes, without the bytes that a string of
     ``length`` bytes covers which also starts earlier: in a smaller doc_id, or before in the same document.
 
     Strings never cross documents, may overlap, and are judged on the input. Null text: empty. Null doc_id: after all
     others. Rows of one doc_id count as one document, their starts each from their own begin. Empty table: no rows.
     Other columns are ignored, also those named alike. kept is binary, as a cut may divide a character; or, with
-    ``as_text``, a string without the remains of divided characters.
+    ``as_text``, a string without the remains of divided characters. ``key`` names a long column to pass along, as key.
     """
     ready(docs)
-    docs = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    more = {"key": key} if key else {}
+    docs = pick(docs, doc_id="doc_id", text="text", **more).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
     n = chunks_for(docs, "text", chunk_bytes)
     docs = chunked(docs, n)
     groups = docs.groupBy("chunk")
@@ -354,4 +357,6 @@ def suffix_dedup(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20,
     segments = groups.cogroup(answers.groupBy("chunk")).applyInArrow(_send_segments(length, n), SEGMENT)
     marks = segments.groupBy("bucket").applyInArrow(_marks(length), "chunk int, at long, marks binary").withColumn("kind", F.lit(MARKS))
     told = answers.unionByName(marks, allowMissingColumns=True)
-    return groups.cogroup(told.groupBy("chunk")).applyInArrow(_finish(length, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return groups.cogroup(told.groupBy("chunk")).applyInArrow(
+        _finish(length, as_text, bool(key)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{', key long' if key else ''}"
+    )

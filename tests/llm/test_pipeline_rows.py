@@ -54,3 +54,30 @@ def test_near_copies(spark, task_rows):
     kept = {r.doc_id for r in C.near_duplicates(spark, docs.drop("k"), None).collect()}
     assert kept >= set(want) and len(kept) <= len(set(want)) + 1  # 14 bits
     assert near_copies.near_copies(docs.where("false"), "k").count() == 0
+
+
+def odd_ids():
+    """Null ids, and one id of several rows: different texts, and equal rows."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(i, prose(80)) for i in range(20)] + [(None, prose(90)), (None, prose(70)), (3, prose(60)), (3, prose(65))]
+    twin = (4, prose(75))
+    return [*rows, twin, twin, (40, rows[20][1])]
+
+
+def test_odd_ids(spark):
+    rows = odd_ids()
+    docs = frame(spark, rows)
+    # the text of the first null id is also that of 40, which has an id and stays; equal rows are copies
+    two = C.near_duplicates(spark, docs, None)
+    alone = sorted({r for r in rows if r != rows[20]}, key=repr)
+    assert two.columns == docs.columns and sorted(((r.doc_id, r.text) for r in two.collect()), key=repr) == alone
+    # a text without its copy is left as it is, once for each row
+    unique = [r for r in rows if r[1] != rows[20][1]]
+    three = C.repeated_bytes(spark, frame(spark, unique), None)
+    assert sorted(((r.doc_id, r.text) for r in three.collect()), key=repr) == sorted(unique, key=repr)
+    # one source has its own size as its target, so each row is there once, but for blocks that the mix takes twice or not
+    four = sorted(((r.doc_id, r.text) for r in C.mixed(spark, frame(spark, unique), None).collect()), key=repr)
+    assert set(four) <= set(unique) and abs(len(four) - len(unique)) <= 8
+    ids = [i for i, _ in four]
+    assert None in ids and ids.count(3) <= 9
