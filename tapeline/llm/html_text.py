@@ -6,7 +6,10 @@ and are rendered where they are read, without a shuffle.
 
 Layout. Runs of white space are one space. Blocks start on a line of their own; paragraphs, headings, lists, tables and quotations
 also have an empty line around. Items of lists have ``- `` or their number, and are indented by it. Cells of a table are padded
-to the width of their column and separated by two spaces. Hidden: head, scripts, styles, templates, comments,
+to the width of their column and separated by two spaces; what stands in a table but in no cell comes before it. All options of a
+select are shown, the text of a textarea, of math, of svg (its text and foreignObject elements), of map, and the fallback of object.
+Hidden: head, title, scripts, styles, templates, comments, noscript (scripts count as on), the fallback of iframe, audio, video
+and canvas, noembed, noframes, datalist, annotations of math, definitions and descriptions of svg,
 attributes ``hidden`` and ``aria-hidden="true"``, ``display:none`` and ``visibility:hidden``, closed ``details`` but for the summary,
 closed dialogs, and form fields that are hidden.
 """
@@ -25,7 +28,9 @@ from .common import pick, ready
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = set("head script style template noscript noembed noframes iframe object audio video canvas svg math map datalist select textarea title link meta base param source track area colgroup col".split())
+HIDDEN = set("head script style template noscript noembed noframes iframe audio video canvas datalist annotation annotation-xml title link meta base param source track area colgroup col".split())
+#: Parts of an svg that aren't drawn where they stand.
+UNDRAWN = set("defs symbol clippath mask pattern marker lineargradient radialgradient filter title desc metadata".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody tfoot thead tr td th ul xmp".split())
 SPACED = set("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
 ENDS_P = BLOCK - set("dd dt li body html option optgroup caption tbody tfoot thead tr td th legend".split()) | {"li", "dd", "dt"}
@@ -61,6 +66,7 @@ def parse(page: str) -> Node:
     """The tree of a page. Elements deeper than DEEPEST become children of the one at that depth."""
     root = Node("html")
     stack, at, n = [root], 0, len(page)
+    skipped: dict[str, int] = {}  # open elements below a hidden one at DEEPEST
 
     def close(names: set[str], fences: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -80,7 +86,11 @@ def parse(page: str) -> Node:
         end, tag = found[1], found[2]
         if end:
             end = end.lower()
-            if end == "p" and not any(x.tag == "p" for x in stack):
+            if len(stack) <= DEEPEST:
+                skipped.clear()
+            if skipped.get(end):
+                skipped[end] -= 1
+            elif end == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].kids.append(Node("p"))
             elif end not in ("html", "body"):
                 close({end}, {"table"} if end != "table" and end not in ("tbody", "thead", "tfoot", "tr", "td", "th", "caption") else set())
@@ -100,7 +110,13 @@ def parse(page: str) -> Node:
                 while any(x.tag in names for x in stack[max([0, *(k for k, x in enumerate(stack) if x.tag in fences)]) :]):
                     close(names, fences)
             node = Node(tag, rest)
-            if len(stack) <= DEEPEST or tag in VOID:
+            alone = tag in VOID or rest.endswith("/") and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack))
+            if len(stack) <= DEEPEST:
+                skipped.clear()
+            below = len(stack) > DEEPEST and not visible(stack[-1])
+            if below:
+                stack[-1].kids.append(node)
+            elif len(stack) <= DEEPEST or alone:
                 stack[-1].kids.append(node)
             else:
                 del stack[DEEPEST:]
@@ -110,7 +126,9 @@ def parse(page: str) -> Node:
                 text = page[at : stop.start() if stop else n]
                 node.kids.append(html.unescape(text) if tag in ("textarea", "title") else text)
                 at = stop.end() if stop else n
-            elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "math")):
+            elif below:
+                skipped[tag] = skipped.get(tag, 0) + (not alone)
+            elif not alone:
                 stack.append(node)
     if at < n:
         stack[-1].kids.append(html.unescape(page[at:]))
@@ -167,6 +185,13 @@ def _walk(node: Node, flow: Flow) -> None:
         elif kid.tag == "input":
             if (kid.get("type") or "text").lower() in ("submit", "button", "reset"):
                 flow.inline.append(kid.get("value") or "")
+        elif kid.tag == "textarea":
+            flow.inline.append("".join(kid.kids).replace("\0", "").replace("\r\n", "\n").removeprefix("\n").replace("\n", "\0"))
+        elif kid.tag == "svg":
+            _drawn(kid, flow)
+        elif kid.tag == "optgroup":
+            flow.block([kid.get("label") or ""], False)
+            flow.block(_lines(kid), False)
         elif kid.tag == "q":
             flow.inline.append("“")
             _walk(kid, flow)
@@ -177,6 +202,18 @@ def _walk(node: Node, flow: Flow) -> None:
             _walk(kid, flow)
 
 
+def _drawn(node: Node, flow: Flow) -> None:
+    """The texts of an svg, apart from each other."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag not in UNDRAWN and visible(kid):
+            if kid.tag in ("text", "foreignobject"):
+                flow.inline.append(" ")
+                _walk(kid, flow)
+                flow.inline.append(" ")
+            else:
+                _drawn(kid, flow)
+
+
 def _inside(node: Node) -> list[str]:
     flow = Flow()
     _walk(node, flow)
@@ -211,6 +248,8 @@ def _plain(node: Node) -> str:
             out.append(kid.replace("\r\n", "\n"))
         elif kid.tag == "br":
             out.append("\n")
+        elif kid.tag == "svg" and visible(kid):
+            out.append("\n".join(_inside(_holder(kid))))
         elif visible(kid):
             out.append(_plain(kid))
     return "".join(out)
@@ -239,23 +278,49 @@ def _list(node: Node) -> list[str]:
     return out
 
 
+def _holder(kid: Node | str) -> Node:
+    holder = Node("div")
+    holder.kids = [kid]
+    return holder
+
+
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    return any(isinstance(x, Node) and x.tag != "table" and visible(x) and (x.tag in tags or _holds(x, tags)) for x in node.kids)
+
+
+def _cells(node: Node, heads: list[Node], row: list[Node]) -> None:
+    """Cells of a row, also those inside other elements; what is in no cell stands before the table."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if kid.strip():
+                heads.append(_holder(kid))
+        elif kid.tag in ("td", "th"):
+            if visible(kid):
+                row.append(kid)
+        elif visible(kid) and _holds(kid, ("td", "th")):
+            _cells(kid, heads, row)
+        elif visible(kid):
+            heads.append(_holder(kid))
+
+
 def _rows(node: Node, heads: list[Node], rows: list[list[Node]], feet: list[list[Node]]) -> None:
     for kid in node.kids:
         if isinstance(kid, Node) and visible(kid):
             if kid.tag == "caption":
                 heads.append(kid)
             elif kid.tag == "tr":
-                rows.append([x for x in kid.kids if isinstance(x, Node) and x.tag in ("td", "th") and visible(x)])
+                rows.append([])
+                _cells(kid, heads, rows[-1])
             elif kid.tag in ("td", "th"):
                 rows.append([kid])
             elif kid.tag == "tfoot":
                 _rows(kid, heads, feet, feet)
-            else:
+            elif kid.tag in ("tbody", "thead", "table") or _holds(kid, ("caption", "tr", "td", "th", "tbody", "thead", "tfoot")):
                 _rows(kid, heads, rows, feet)
+            else:
+                heads.append(_holder(kid))
         elif isinstance(kid, str) and kid.strip():  # text that isn't in a cell stands before the table
-            holder = Node("div")
-            holder.kids = [kid]
-            heads.append(holder)
+            heads.append(_holder(kid))
 
 
 def _span(cell: Node, name: str) -> int:
