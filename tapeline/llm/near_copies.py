@@ -104,6 +104,14 @@ def _links(budget: int, similarity: float, hubs: bool):
     return links
 
 
+def _most_linked(links: DataFrame) -> DataFrame:
+    """node, root: of each node of a link and its neighbours, the one with most links."""
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    many = ends.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    near = salted_join(ends, many, "b", "a").select("a", "n", "b").unionByName(many.select(F.col("b").alias("a"), "n", "b"))
+    return near.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("root")).withColumnRenamed("a", "node")
+
+
 def near_copies(docs: DataFrame, key: str, width: int = 5, similarity: float = 0.8, budget: int = 14, seed: int = 42, task_rows: int = 16384) -> DataFrame:
     """row, doc_id, component: the column ``key`` and doc_id of each row, and the key of the row that stays of its group.
 
@@ -125,13 +133,15 @@ def near_copies(docs: DataFrame, key: str, width: int = 5, similarity: float = 0
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         texts = docs.join(nodes.join(ends, "fp").select("fp", F.col("first.row").alias("row")), "row").dropDuplicates(["row"]).select("fp", "text")
         sets = cut(texts.mapInArrow(_sets(width, seed), "fp long, shingles array<long>"))
-        both = salted_join(pairs, sets.toDF("a", "in_a"), "a", "b")
-        both = salted_join(both, sets.toDF("b", "in_b"), "b", "a")
+        # sorted and merged: as broadcasts, the sets would go through the driver
+        both = salted_join(pairs, sets.toDF("a", "in_a").hint("merge"), "a", "b")
+        both = salted_join(both, sets.toDF("b", "in_b").hint("merge"), "b", "a")
         common = F.size(F.array_intersect("in_a", "in_b"))
         union = F.size("in_a") + F.size("in_b") - common
         good = cut(both.where(common >= F.lit(similarity) * union).select("a", "b"))
         links = good if links is None else links.unionByName(good)
-        roots = components(links).withColumnRenamed("node", "fp")
+        # after the first pass a star is enough: who shares its most linked neighbour is in its group
+        roots = (_most_linked(links) if hubs else components(links)).withColumnRenamed("node", "fp")
         rooted = cut(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     whole = rooted.groupBy("root").agg(F.min("first")["row"].alias("component"))
     named = cut(salted_join(rooted.select("fp", "root"), whole, "root", "fp").select("fp", "component"))
