@@ -7,13 +7,18 @@
    row, and windows that are unique leave. So a passage that a third of all documents share isn't dragged along with each
    document's own surroundings.
 3. Segments. The windows of one anchor occurrence that are left, with the bytes they cover, go to the task of their
-   anchor; a chunk sends equal segments once, and the task drops equal ones of other chunks. A suffix array
+   anchor; equal segments are sent once by a chunk and become one in the task, by their bytes. A suffix array
    of each anchor's segments (``suffix_groups``) puts equal windows side by side, bytes are compared, and all but
-   the earliest start of a window are marked.
+   the earliest start of a window are marked. The windows of one segment all differ, as their anchor stands elsewhere in
+   each, so an anchor with a single segment is sorted already.
 4. Marks go back to their chunks, which cut out the covered bytes.
 
+Hashes only tell what can't occur twice; bytes decide the rest, so the result is exact.
+
 How it scales. Documents are shuffled once, to chunks of a few MB, and reused by all passes; an anchor has at most one
-row per chunk in pass 1, and its segments in pass 3 are different strings. Tasks sort anchors in parts of about
+row per chunk in pass 1, and its segments in pass 3 are different strings. A crowded anchor's segments are cut where the place
+of the anchor in the window passes a multiple of ``TURN``, and go by a hash of the bytes that all windows of the piece
+have: equal windows still meet, and one anchor becomes many tasks. Tasks sort anchors in parts of about
 a MB. Nothing is collected and nothing is cached: Spark rebuilds what a lost executor held.
 """
 
@@ -25,10 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, NO_ID, Rolling, chunked, chunks_for, joined, leftmost_least, pick, ready
+from .common import BYTE_CODE, NO_ID, Rolling, chunked, chunks_for, joined, leftmost_least, mix, pick, ready
 from .suffix_groups import suffix_arrays
 
 GRAM = 32
+TURN = 16
 PART_BYTES = 1 << 20
 GROUP = 1 << 17
 #: What an answer to a chunk has: anchors that occur more than once, crowded ones, windows of these that do, marks.
@@ -51,8 +57,8 @@ def _told(answers: pa.Table, kind: int) -> np.ndarray:
 class Chunk:
     """The documents of a chunk in one byte array, in a fixed order, and the runs of windows that share an anchor.
 
-    A run is known by the hash of its anchor (``gram``), its first window, the number of windows, and ``same``, the hash of its bytes and
-    of where the anchor is in them. Hashes are made for a hundred kilobytes at a time, which stay in the cache.
+    A run is known by the hash of its anchor (``gram``), its first window and the number of windows. Hashes are made for
+    a hundred kilobytes at a time, which stay in the cache.
     """
 
     def __init__(self, docs: pa.Table, length: int):
@@ -63,12 +69,13 @@ class Chunk:
         self.ids, self.texts = np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
         self.number, self.length, self.short = docs["chunk"][0].as_py(), length, min(GRAM, length)
         self.data, self.start, self.end = joined(self.texts)
+        self.view: bytes | None = None
         runs, low = [], 0
         while low < len(texts):
             high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + GROUP)))
             runs.append(self._runs(low, high))
             low = high
-        self.gram, self.anchor, self.begin, self.count, self.doc, self.same = (np.concatenate(x) for x in zip(*runs, strict=True))
+        self.gram, self.anchor, self.begin, self.count, self.doc = (np.concatenate(x) for x in zip(*runs, strict=True))
 
     def _rolling(self, low: int, high: int) -> tuple[Rolling, int]:
         base = int(self.start[low])
@@ -81,16 +88,13 @@ class Chunk:
         at = np.arange(count.sum()) + np.repeat(self.start[low:high] - base - (np.cumsum(count) - count), count)
         if not len(at):
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, none, none, none.view(np.uint64)
+            return none.view(np.uint64), none, none, none, none
         grams = rolling.every(self.short)
         anchor = leftmost_least(grams, self.length - self.short + 1)[at]
         first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
         many = np.diff(np.concatenate((first, [len(at)])))
         begin, anchor = at[first], anchor[first]
-        return grams[anchor], anchor + base, begin + base, many, doc[first], self._identity(rolling, begin, many, anchor)
-
-    def _identity(self, rolling: Rolling, begin: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        return rolling.spans(begin, begin + count + self.length - 1) ^ (anchor - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return grams[anchor], anchor + base, begin + base, many, doc[first]
 
     def crowded_windows(self, answers: pa.Table):
         """For each part of the documents with crowded anchors: its rolling hash and base, the runs, and for each of
@@ -107,30 +111,36 @@ class Chunk:
 
     def segments(self, answers: pa.Table) -> tuple[np.ndarray, ...]:
         """What may occur twice, by the answers of the first two passes: runs, and of runs with crowded anchors the
-        parts whose windows do. Returns run, first window, count, identity."""
+        parts whose windows do. Returns run, first window, count, key of the task, and for each the first of equal bytes."""
         plain, twice = np.flatnonzero(_known(self.gram, _told(answers, PLAIN))), _told(answers, TWICE)
-        parts = [(plain, self.begin[plain], self.count[plain], self.same[plain])]
+        parts = [(plain, self.begin[plain], self.count[plain], self.gram[plain])]
+        turn = max(1, min(TURN, self.length // 2))
         for rolling, base, run, at, hashes in self.crowded_windows(answers):
             keep = np.flatnonzero(_known(hashes, twice))
             if not len(keep):
                 continue
             run, at = run[keep], at[keep]
-            first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1))))
+            place = (self.anchor[run] - at) // turn
+            first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1]))))
             many = np.diff(np.concatenate((first, [len(at)])))
-            run, begin = run[first], at[first]
-            parts.append((run, begin, many, self._identity(rolling, begin - base, many, self.anchor[run] - base)))
-        run, begin, count, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+            run, begin, place = run[first], at[first], place[first]
+            core = self.anchor[run] - base - place * turn  # from here on all windows of the piece have these bytes
+            parts.append((run, begin, many, mix(rolling.spans(core, core + self.length - turn + 1) + self.gram[run])))
+        run, begin, count, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(begin, kind="stable")
-        return run[order], begin[order], count[order], same[order]
+        run, begin, count, key = run[order], begin[order], count[order], key[order]
+        return run, begin, count, key, _leaders(self.bytes_of(begin, count))
 
+    def bytes_of(self, begin: np.ndarray, count: np.ndarray) -> pa.Array:
+        if self.view is None:
+            self.view = self.data.tobytes()
+        return pa.array([self.view[s:e] for s, e in zip(begin.tolist(), (begin + count + self.length - 1).tolist(), strict=True)], pa.binary())
 
-def _leaders(same: np.ndarray) -> np.ndarray:
-    """For each value the place of the first equal one."""
-    order = np.argsort(same, kind="stable")
-    new = np.concatenate(([True], same[order][1:] != same[order][:-1])) if len(order) else np.zeros(0, bool)
-    leader = np.empty(len(order), np.int64)
-    leader[order] = order[new][np.cumsum(new) - 1]
-    return leader
+
+def _leaders(parts: pa.Array) -> np.ndarray:
+    """For each byte string the place of the first equal one."""
+    code = parts.dictionary_encode().indices.to_numpy()
+    return np.unique(code, return_index=True)[1][code] if len(code) else np.zeros(0, np.int64)
 
 
 def _send_anchors(length: int):
@@ -172,24 +182,22 @@ def _match_crowded(batch: pa.Table) -> pa.Table:
     return pa.table({"chunk": batch["chunk"], "hashes": pa.array(out, pa.list_(pa.int64()))})
 
 
-SEGMENT = "bucket int, hash long, chunk int, off int, doc long, pos long, at long, same long, seg binary"
+SEGMENT = "bucket int, hash long, chunk int, doc long, pos long, at long, seg binary"
 
 
 def _send_segments(length: int, buckets: int):
     def send(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["bucket", "hash", "chunk", "off", "doc", "pos", "at", "same", "seg"]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["bucket", "hash", "chunk", "doc", "pos", "at", "seg"]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         if not docs.num_rows or not answers.num_rows:
             return pa.schema(list(zip(names, types, strict=True))).empty_table()
         c = Chunk(docs, length)
-        run, begin, count, same = c.segments(answers)
-        lead = np.unique(_leaders(same))
-        run, begin, count, same = run[lead], begin[lead], count[lead], same[lead]
-        view = c.data.tobytes()
-        seg = [view[s:e] for s, e in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)]
-        hashes, doc = c.gram[run], c.doc[run]
-        parts = [hashes % np.uint64(buckets), hashes.view(np.int64), np.full(len(run), c.number), c.anchor[run] - begin, c.ids[doc], begin - c.start[doc], begin, same.view(np.int64)]
-        return pa.table([*[pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(parts, types[:-1], strict=True)], pa.array(seg, types[-1])], names=names)
+        run, begin, count, key, leader = c.segments(answers)
+        lead = np.unique(leader)
+        run, begin, count, key = run[lead], begin[lead], count[lead], key[lead]
+        doc = c.doc[run]
+        parts = [key % np.uint64(buckets), key.view(np.int64), np.full(len(run), c.number), c.ids[doc], begin - c.start[doc], begin]
+        return pa.table([*[pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(parts, types[:-1], strict=True)], c.bytes_of(begin, count)], names=names)
 
     return send
 
@@ -237,14 +245,16 @@ def _marks(length: int):
     width = -(-(length - min(GRAM, length) + 1) // 8)
 
     def marks(batch: pa.Table) -> pa.Table:
-        chunk, at, anchor, doc, pos, same = (batch[c].to_numpy() for c in ("chunk", "at", "hash", "doc", "pos", "same"))
+        chunk, at, anchor, doc, pos = (batch[c].to_numpy() for c in ("chunk", "at", "hash", "doc", "pos"))
+        texts = batch["seg"].combine_chunks()
+        same = texts.dictionary_encode().indices.to_numpy()
         # equal segments side by side, the earliest first; anchors side by side
         order = np.lexsort((pos, doc, same, anchor))
         new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (same[order][1:] != same[order][:-1])))
         lead = order[new]
         leader = np.empty(len(order), np.int64)
         leader[order] = np.cumsum(new) - 1
-        texts = batch["seg"].combine_chunks().take(pa.array(lead))
+        texts = texts.take(pa.array(lead))
         size = pc.binary_length(texts).to_numpy().astype(np.int64)
         texts = texts.to_pylist()
         # anchors with like numbers of bytes are sorted in step
@@ -253,7 +263,8 @@ def _marks(length: int):
         runs = np.split(np.arange(len(lead)), head[1:])
         bits = np.zeros((len(lead), width), np.uint8)
         part, held = [], 0
-        for r in [*np.argsort(total, kind="stable"), None]:
+        several = np.flatnonzero(np.diff(np.concatenate((head, [len(lead)]))) > 1)
+        for r in [*several[np.argsort(total[several], kind="stable")], None]:
             if r is not None:
                 part.append(runs[r])
                 held += total[r]
@@ -289,8 +300,7 @@ def _finish(length: int, as_text: bool, keyed: bool = False):
             return pa.schema([*zip(names, types, strict=True), *([("key", pa.int64())] if keyed else [])]).empty_table()
         c = Chunk(docs, length)
         marks = answers.filter(pc.equal(answers["kind"], MARKS))
-        run, begin, count, same = c.segments(answers)
-        leader = _leaders(same)
+        run, begin, count, _, leader = c.segments(answers)
         doc = c.doc[run]
         # later copies in this chunk go as a whole; rows of the leader's id and place share its marks
         pos, ids = begin - c.start[doc], c.ids[doc]
