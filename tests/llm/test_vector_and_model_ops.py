@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,42 @@ def test_mixing(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_draws_are_multinomial(spark):
+    """Counts of a source over the shards spread as its binomial does, and a shard's counts fill it."""
+    sources = spark.createDataFrame([(0, 80_000, 30_000.0), (1, 40_000, 60_000.0), (2, 30_000, 60_000.0)], "sid int, source_size long, target double")
+    rows = mixing.draws(sources, block=10, shard_slots=100, seed=3)[0].collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, {})[r.sid] = r.n
+    assert len(shards) == 150 and all(sum(x.values()) == 100 for x in shards.values())
+    for sid, share in ((0, 0.2), (1, 0.4), (2, 0.4)):
+        n = np.array([x.get(sid, 0) for x in shards.values()])
+        want = 100 * share * (1 - share)
+        assert abs(n.mean() - 100 * share) < 4 * (want / 150) ** 0.5 and 0.6 * want < n.var() < 1.5 * want
+    pair = np.corrcoef([x.get(1, 0) for x in shards.values()], [x.get(2, 0) for x in shards.values()])[0, 1]
+    assert abs(pair + 2 / 3) < 0.2  # multinomial: -sqrt(0.4 * 0.4 / (0.6 * 0.6))
+
+
+def test_mixed_texts(spark):
+    """What the pipeline's stage emits has the words that the mix takes, also of few long texts."""
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    text = lambda k: " ".join(f"w{rng.randrange(999)}" for _ in range(k))
+    rows = [(i, t := text(k), "en", s, len(t)) for i, (k, s) in enumerate([(4000, "a"), (3000, "a"), (5000, "b"), (20, "b"), (700, "c"), (1, "c"), (0, "c"), (900, None)])]
+    rows += [(1, "one two", "en", "a", 7)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    got, texts = {}, {r[0]: r[1] for r in rows}
+    for r in C.mixed(spark, docs, None).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+        assert r.n_chars == len(r.text) and (set(r.text.split()) <= set(texts[r.doc_id].split()) or r.doc_id == 1)
+    assert got == {k: n for k, n in want.items() if n}
+    assert C.mixed(spark, docs.where("false"), None).count() == 0
+
+
 VEC = "vec_id long, embedding array<float>, label int, v string, dim int"
 
 
@@ -185,6 +222,11 @@ def test_html_frame(spark):
     assert html_text.html_text(df.where("false")).count() == 0
 
 
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_pipeline(spark):
     """Each stage of the pipeline on a small table, by what its operator says and by brute force."""
     import base64
@@ -199,21 +241,23 @@ def test_pipeline(spark):
     one = C.language(spark, docs, None).cache()
     assert one.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in one.collect()} == {9001}
     two = C.near_duplicates(spark, one, None).cache()
-    from tapeline.llm import simhash
-
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(one).collect()}
-    assert sorted(r.doc_id for r in two.collect()) == sorted({*groups.values()})
+    sets = {r.doc_id: _shingles(r.text) for r in one.collect()}
+    ids, root = sorted(sets), {i: i for i in sets}
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    assert sorted(r.doc_id for r in two.collect()) == sorted({*root.values()})
     three = C.repeated_bytes(spark, two, None).cache()
     want = {i: kept.decode(errors="ignore") for i, _, _, _, kept in brute([(r.doc_id, r.text) for r in two.collect()], 100)}
     assert {r.doc_id: r.text for r in three.collect()} == want and all(r.n_chars == len(r.text) for r in three.collect())
     four = C.mixed(spark, three, None).cache()
     assert four.columns == docs.columns
-    times = {}
+    words = {}
     for r in four.collect():
-        times[r.doc_id] = times.get(r.doc_id, 0) + 1
-    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix(three).collect()}
-    assert all(taken[i][0] // max(1, taken[i][1]) <= k <= -(-taken[i][0] // taken[i][1]) for i, k in times.items())
-    assert all(t < s or i in times for i, (t, s) in taken.items() if s)
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == {r.doc_id: r.taken for r in mixing.mix(three).collect() if r.taken}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((r.doc_id, hashlib.sha256(",".join(map(str, enc.encode_ordinary(r.text))).encode()).hexdigest()) for r in four.collect())
