@@ -35,14 +35,20 @@ def repeated_bytes(spark, docs, sf_dir):
 
 
 def mixed(spark, docs, sf_dir):
-    """Each document as often as the mix takes its words; the part of a copy that is left over is drawn by a hash."""
+    """The words that the mix takes: a row for each time that it takes the whole text, and one with the stretches taken once more.
+
+    Those are joined by single spaces. Rows without words, or of which nothing is taken, go; equal rows are drawn for separately.
+    """
     rows = keyed(docs, ROW)
-    taken = mixing.mix(rows, key=ROW).where("size > 0").select(F.col("key").alias(ROW), (F.col("taken") / F.col("size")).alias("times"))
-    draw = F.pmod(F.xxhash64(ROW, F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    # equal rows share a key, and each draws its own copies of the content
-    copies = taken.withColumn("copies", F.floor(F.col("times") + draw).cast("int")).groupBy(ROW).agg(F.sum("copies").cast("int").alias("copies"))
-    repeated = rows.dropDuplicates([ROW]).join(copies.where("copies > 0"), ROW)
-    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    taken = mixing.mixed_texts(rows, ROW).withColumnRenamed("key", ROW).withColumnsRenamed({"whole": "_whole", "pieces": "_pieces"})
+    both = rows.dropDuplicates([ROW]).join(taken, ROW)
+    whole = both.where("_whole > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(docs.columns)
+    words = F.regexp_extract_all("text", F.lit(mixing.WORDS), F.lit(0))
+    cut = lambda w: F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(w, p["offset"] + 1, p["words"]))), " ")
+    # the words are the only element of an array, so that a text is split once and not for each of its pieces
+    part = both.where(F.size("_pieces") > 0).withColumn("text", F.element_at(F.transform(F.array(words), cut), 1))
+    part = part.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return whole.unionByName(part)
 
 
 def tokens(spark, docs, sf_dir):
