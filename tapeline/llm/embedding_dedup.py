@@ -133,9 +133,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     assigned = nodes.mapInArrow(_assign(centres, margin), "node long, label string, dim int, copies long, embedding array<double>, cell int, home int, cells array<int>")
     assigned = cut(assigned)
     key = ["label", "dim", "cell"]
-    sizes = cut(assigned.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    cell_key = F.xxhash64(*key)  # equal keys of two cells would only cut them into other blocks
+    sizes = cut(assigned.groupBy(cell_key.alias("cell_key")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
     dealt = (
-        assigned.join(sizes, key)
+        salted_join(assigned.withColumn("cell_key", cell_key), sizes, "cell_key", "node")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
@@ -148,6 +149,6 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = salted_join(rooted.join(counts, "node", "left"), ids, "root", "node")
     named = cut(named.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
-    out = marked.where("node is not null").join(named, "node").select("vec_id", "n_links", "component_id")
+    out = salted_join(marked.where("node is not null"), named, "node", "vec_id").select("vec_id", "n_links", "component_id")
     alone = marked.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

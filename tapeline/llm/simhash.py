@@ -197,7 +197,8 @@ def simhash_groups(docs: DataFrame, budget: int = 2, width: int = 3, seed: int =
     rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(salted_join(rooted.select("fp", "root"), whole, "root", "fp").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # exact copies share a fingerprint, so its rows are spread
+    return salted_join(marked, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, budget: int = 2) -> DataFrame:
