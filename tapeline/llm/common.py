@@ -7,7 +7,6 @@ pass: each byte becomes a random 64-bit number, weighted by a power of an odd mu
 
 from __future__ import annotations
 
-import os
 import uuid
 from pathlib import Path
 
@@ -38,9 +37,12 @@ def ready(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder; the setting is filled in only where it is unset."""
+    """A new folder name under the shared checkpoint folder. Where the setting is missing, a local session gets a
+    temporary folder; a cluster, whose machines have no such folder in common, is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -154,7 +156,3 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     size = np.fromiter((len(x) for x in parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     return np.frombuffer(b" ".join(parts) + b" ", np.uint8), end - size, end
-
-
-def env_path() -> str:
-    return os.environ.get("PYTHONPATH", "")
