@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The longest tail, as of the histories that can be asked for.
+LONGEST = 3000
+
+
 def by_date():
     return Window.partitionBy("symbol").orderBy("trade_date")
 
@@ -32,7 +36,8 @@ def numbered(bars: DataFrame) -> DataFrame:
 def ewm(value: Column, alpha: float, n: Column) -> Column:
     """Exponential average y_n = (1 - alpha) y_(n-1) + alpha x_n from y_0 = x_0, for n from 0; null for null or negative n.
 
-    In closed form over a running window, so no recursion: exact to rounding for thousands of bars.
+    In closed form over a running window, so no recursion: exact to rounding up to ``LONGEST`` bars, beyond which the weights of
+    the fastest average used here would overflow.
     """
     keep = 1.0 - alpha
     x = F.when(n == 0, value).when(n > 0, value * alpha)
@@ -62,8 +67,10 @@ def change_over(n: int) -> Column:
 def with_indicators(bars: DataFrame, n: int = 260) -> DataFrame:
     """Averages, Wilder RSI and ATR, MACD, returns, volume ratio, breakout, range and volatility on the last n bars.
 
-    The exponential averages depend on where the tail starts, so the tail is cut first.
+    The exponential averages depend on where the tail starts, so the tail is cut first; one of over ``LONGEST`` bars is an error.
     """
+    if n > LONGEST:
+        raise ValueError(f"a tail has at most {LONGEST} bars")
     alpha = 0.07142857142857142
     df = numbered(tail(bars, n))
     c = F.col("close").cast("double")

@@ -125,12 +125,27 @@ def replay_gated(orders: DataFrame, capital: str = "1000000", max_positions: int
 
 
 def positions(fills: DataFrame) -> DataFrame:
-    """Open positions: the state after the last order of each account and symbol, and the highest price it was bought at."""
+    """Open positions: the state after the last order of each account and symbol, and its last purchase."""
     last = F.max_by(F.struct("held", "available", "average_cost"), F.struct("trade_date", "order_id"))
     df = fills.groupBy("account_id", "symbol").agg(last.alias("p"), F.max(F.when((F.col("status") == "FILLED") & (F.col("side") == "BUY"), F.col("trade_date"))).alias("last_buy_date"))
     return df.select("account_id", "symbol", F.col("p.held").alias("quantity"), F.col("p.available").alias("available_quantity"), F.col("p.average_cost").alias("average_cost"), "last_buy_date").where("quantity > 0")
 
 
+def position_highs(fills: DataFrame, bars: DataFrame) -> DataFrame:
+    """account_id, symbol, opened, highest_price: the day on which the holding last rose from zero, and the highest of its
+    purchase prices and QFQ closes from that day on.
+
+    Accounts that opened a symbol on the same day share one look at its bars.
+    """
+    keys = ["account_id", "symbol"]
+    bought = fills.where("status = 'FILLED' and side = 'BUY'")
+    opened = bought.where("held = quantity").groupBy(*keys).agg(F.max("trade_date").alias("opened"))
+    paid = bought.join(opened, keys).where("trade_date >= opened").groupBy(*keys, "opened").agg(F.max("price").alias("paid"))
+    closes = bars.where("adjust_type = 'QFQ'").select("symbol", "trade_date", "close")
+    tops = opened.select("symbol", "opened").distinct().join(closes, "symbol").where("trade_date >= opened").groupBy("symbol", "opened").agg(F.max("close").alias("top"))
+    return paid.join(tops, ["symbol", "opened"], "left").select(*keys, "opened", F.greatest("paid", F.col("top").cast("decimal(18,4)")).alias("highest_price"))
+
+
 def cash_flow(fills: DataFrame, capital: str) -> DataFrame:
     """One row an account: cash, realized profit and fees from its fills."""
     good = fills.where("status = 'FILLED'")

@@ -12,8 +12,8 @@ BAR_HEADERS = {
     "日期": "trade_date", "date": "trade_date", "开盘": "open", "open": "open", "收盘": "close", "close": "close", "最高": "high", "high": "high", "最低": "low", "low": "low",
     "成交量": "volume", "volume": "volume", "成交额": "amount", "amount": "amount", "换手率": "turnover_rate", "turnover": "turnover_rate", "涨跌幅": "change_pct",
 }
-CODE_HEADERS = ("code", "代码", "symbol", "证券代码")
-NAME_HEADERS = ("name", "名称", "证券简称", "股票简称")
+CODE_HEADERS = ("code", "证券代码", "A股代码", "代码")
+NAME_HEADERS = ("name", "证券简称", "A股简称", "名称")
 REQUIRED = ("trade_date", "open", "high", "low", "close", "volume")
 NUMBERS = ("open", "high", "low", "close", "volume", "amount", "turnover_rate", "change_pct")
 
@@ -25,7 +25,7 @@ def rename_headers(raw: DataFrame) -> DataFrame:
     return raw.withColumnsRenamed({k: v for k, v in renamed.items() if k != v})
 
 
-def normalize_bars(raw: DataFrame, min_rows: int = 80, sequence: str | None = None) -> DataFrame:
+def normalize_bars(raw: DataFrame, sequence: str, min_rows: int = 80) -> DataFrame:
     """symbol, trade_date and numbers as doubles, by date; raw also has ``symbol`` and ``provider``.
 
     Headers are renamed, bad values become null, missing optional numbers 0. The provider ``tencent`` gives volume as
@@ -46,7 +46,7 @@ def normalize_bars(raw: DataFrame, min_rows: int = 80, sequence: str | None = No
     df = df.withColumn("turnover_rate", F.when((F.col("provider") == "sina") & (largest <= 1.5), F.col("turnover_rate") * 100).otherwise(F.col("turnover_rate")))
     # NaN is missing too
     df = df.dropna(subset=list(REQUIRED))
-    newest = Window.partitionBy("symbol", "trade_date").orderBy(F.desc(sequence) if sequence else F.lit(1))
+    newest = Window.partitionBy("symbol", "trade_date").orderBy(F.desc_nulls_last(sequence))
     df = df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
     df = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_rows") >= min_rows)
     return df.select("symbol", "provider", "trade_date", *NUMBERS)
@@ -55,21 +55,28 @@ def normalize_bars(raw: DataFrame, min_rows: int = 80, sequence: str | None = No
 def normalize_universe(raw: DataFrame, include_st: bool = True) -> DataFrame:
     """symbol, name, exchange, board, is_st, is_active of main-board securities, once each, by symbol.
 
-    The code and name columns are found by their headers; codes are trimmed and padded, those that aren't digits go;
-    a blank name becomes the symbol.
+    The code and name columns are found by their headers, and a missing one is an error; codes are trimmed and padded, those
+    that aren't digits go; a blank name becomes the symbol. An empty result is left to ``require_rows``, as a plan can't know it.
     """
     code = next((c for c in CODE_HEADERS if c in raw.columns), None)
     name = next((c for c in NAME_HEADERS if c in raw.columns), None)
-    if code is None:
-        raise ValueError("no column with codes")
+    if code is None or name is None:
+        raise ValueError(f"no column with codes or names: {', '.join(raw.columns)}")
     symbol = clean_code(F.col(code))
-    given = F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name else F.lit(None).cast("string")
+    given = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
     df = raw.select(symbol.alias("symbol"), given.alias("given")).where(F.col("symbol").rlike(r"^\d{6}$") & is_main_board(F.col("symbol")))
     df = df.groupBy("symbol").agg(F.max("given").alias("given")).withColumn("name", F.coalesce("given", "symbol")).drop("given")
     df = df.withColumns({"exchange": exchange_name(F.col("symbol")), "board": F.lit("MAIN"), "is_st": is_st(F.col("name")), "is_active": is_active(F.col("name"))})
     return df if include_st else df.where(~F.col("is_st"))
 
 
+def require_rows(universe: DataFrame) -> DataFrame:
+    """The universe, or an error if it has no row; reads one row."""
+    if not universe.head(1):
+        raise ValueError("no main-board security is left")
+    return universe
+
+
 def active_universe(universe: DataFrame, limit: int | None = None) -> DataFrame:
     """Active main-board securities that aren't ST, by symbol, optionally the first few."""
     df = universe.where("is_active and not is_st and board = 'MAIN'").orderBy("symbol")

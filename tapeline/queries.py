@@ -14,10 +14,12 @@ from .operators import score as S  # noqa: N812
 from .operators.indicators import latest, with_exact_indicators, with_indicators
 from .operators.normalize import normalize_universe
 from .plans import scan as P  # noqa: N812
-from .sources.fixtures import bars, order_feed, raw_universe
+from .sources.fixtures import UNIVERSE, WIDE, bars, order_feed, raw_universe, wide_universe
 from .streaming import incremental
 
 CAPITAL = "100000000"
+#: The same with a universe of which most securities have no bars.
+WIDE_SCORED = O.SCORED.replace(UNIVERSE, WIDE)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -178,9 +180,9 @@ def scan_summary(spark, d):
     return P.scan_summary(scanned(spark, d))
 
 
-@query(f"{O.SCORED}, n as (select symbol, count(*) as k from bars where symbol < '600500' group by 1) select 1 as task_id, u.symbol, u.name, 'only ' || coalesce(k, 0) || ' bars' as error_message, 0 as retry_count, false as resolved from universe u left join n using (symbol) where u.is_active and not u.is_st and coalesce(k, 0) < 80")
+@query(f"{WIDE_SCORED}, n as (select symbol, count(*) as k from bars group by 1) select 1 as task_id, u.symbol, u.name, 'only ' || coalesce(k, 0) || ' bars' as error_message, 0 as retry_count, false as resolved from universe u left join n using (symbol) where u.is_active and not u.is_st and coalesce(k, 0) < 80")
 def scan_failures(spark, d):
-    return P.scan_failures(bars(spark, d).where("symbol < '600500'"), universe(spark, d))
+    return P.scan_failures(bars(spark, d), normalize_universe(wide_universe(spark, d)))
 
 
 @query(f"{O.SCORED} select symbol, trade_date as signal_date, case when score >= 75 then 'BUY' else 'WATCH' end as action, score, latest_close as reference_price, 'DYNAMIC_SCAN' as strategy_code from scan where eligible and rank_no <= 30")
@@ -227,9 +229,9 @@ def analysis_notes(spark, d):
     return S.dynamic_analysis(bars(spark, d)).select("symbol", F.array_join("bullish", "；").alias("bullish"), F.array_join("bearish", "；").alias("bearish"))
 
 
-@query(f"{O.SCORED} select u.symbol, coalesce(score, 0) as score, coalesce(risk_level, 'UNKNOWN') as risk_level, score is null as degraded from universe u left join (select * from scored where symbol < '600500') s using (symbol)")
+@query(f"{WIDE_SCORED} select u.symbol, coalesce(score, 0) as score, coalesce(risk_level, 'UNKNOWN') as risk_level, score is null as degraded from universe u left join scored s using (symbol)")
 def degraded_analysis(spark, d):
-    return S.with_degraded(universe(spark, d), S.dynamic_analysis(bars(spark, d).where("symbol < '600500'"))).select("symbol", "score", "risk_level", "degraded")
+    return S.with_degraded(normalize_universe(wide_universe(spark, d)), S.dynamic_analysis(bars(spark, d))).select("symbol", "score", "risk_level", "degraded")
 
 
 @query(f"{O.SCORED}, j as (select symbol, to_json(map {{'close': latest_close::varchar, 'level': signal_level}}) as js, case when score % 2 = 0 then latest_close end as typed from scored) select symbol, coalesce(typed, (js->>'close')::decimal(18,2)) as latest_close, js->>'level' as level from j")
@@ -365,7 +367,19 @@ def account_summary(spark, d):
     return L.account_summary(L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL), marked_positions(spark, d), CAPITAL)
 
 
-_RISK = "top_ as (select *, greatest(average_cost, last_price)::decimal(18,4) as top, (average_cost * 0.95)::decimal(18,4) as stop_, (average_cost * 1.08)::decimal(18,4) as target_ from marked)"
+_HIGHS = (
+    "opened as (select account_id, symbol, max(trade_date) as opened from fills where status = 'FILLED' and side = 'BUY' and held = quantity group by 1, 2), "
+    "highs as (select o.account_id, o.symbol, o.opened, greatest((select max(f.price) from fills f where f.account_id = o.account_id and f.symbol = o.symbol and f.status = 'FILLED' and f.side = 'BUY' and f.trade_date >= o.opened), "
+    "(select max(b.close) from bars b where b.symbol = o.symbol and b.adjust_type = 'QFQ' and b.trade_date >= o.opened))::decimal(18,4) as highest_price from opened o)"
+)
+
+
+@query(f"{O.LEDGER}, {_HIGHS} select * from highs")
+def position_highs(spark, d):
+    return L.position_highs(L.replay(order_feed(spark, d)), bars(spark, d))
+
+
+_RISK = f"{_HIGHS}, top_ as (select marked.*, highest_price as top, (average_cost * 0.95)::decimal(18,4) as stop_, (average_cost * 1.08)::decimal(18,4) as target_ from marked join highs using (account_id, symbol))"
 
 
 @query(
@@ -377,9 +391,10 @@ _RISK = "top_ as (select *, greatest(average_cost, last_price)::decimal(18,4) as
 )
 def risk_events(spark, d):
     kind = "decimal(18,4)"
-    df = marked_positions(spark, d).withColumns(
+    highs = L.position_highs(L.replay(order_feed(spark, d)), bars(spark, d))
+    df = marked_positions(spark, d).join(highs, ["account_id", "symbol"], "left").withColumns(
         {
-            "highest_price": F.greatest("average_cost", "last_price"), "stop_loss": (F.col("average_cost") * F.lit("0.95").cast("decimal(4,2)")).cast(kind),
+            "stop_loss": (F.col("average_cost") * F.lit("0.95").cast("decimal(4,2)")).cast(kind),
             "target_price": (F.col("average_cost") * F.lit("1.08").cast("decimal(4,2)")).cast(kind), "trailing_pct": F.lit(None).cast("decimal(8,4)"), "last_price": F.when(~F.col("missing"), F.col("last_price")),
         }
     )
@@ -417,16 +432,16 @@ def bars_upsert(spark, d):
     return incremental.incremental_update(base, delta).select("symbol", "trade_date", "close", "volume")
 
 
-@query(f"{O.BASE}, u as (select code as symbol from raw_universe), b as (select distinct symbol from bars where symbol < '600500') select symbol from b union select symbol from u where symbol >= '600500'")
+@query(f"{O.BASE.replace(UNIVERSE, WIDE)} select symbol from bars union select code from raw_universe")
 def securities_insert_absent(spark, d):
-    known = bars(spark, d).where("symbol < '600500'").select("symbol").distinct()
-    return merge.insert_absent(known, raw_universe(spark, d).where("code >= '600500'").select(F.col("code").alias("symbol")), ["symbol"])
+    known = bars(spark, d).select("symbol").distinct()
+    return merge.insert_absent(known, wide_universe(spark, d).select(F.col("code").alias("symbol")), ["symbol"])
 
 
-@query(f"{O.BASE}, two as (select symbol, trade_date, close, 1 as priority from bars where symbol < '600500' union all select symbol, trade_date, close, 2 from bars) select symbol, min(priority) as priority, count(*) as n from two t where priority = (select min(priority) from two x where x.symbol = t.symbol) group by 1")
+@query(f"{O.BASE}, two as (select symbol, trade_date, close, 1 as priority from bars union all select symbol, trade_date, price, 2 from order_feed) select symbol, min(priority) as priority, count(*) as n from two t where priority = (select min(priority) from two x where x.symbol = t.symbol) group by 1")
 def source_priority(spark, d):
-    b = bars(spark, d).select("symbol", "trade_date", "close")
-    both = b.where("symbol < '600500'").withColumn("priority", F.lit(1)).unionByName(b.withColumn("priority", F.lit(2)))
+    own = bars(spark, d).select("symbol", "trade_date", "close", F.lit(1).alias("priority"))
+    both = own.unionByName(order_feed(spark, d).select("symbol", "trade_date", F.col("price").alias("close"), F.lit(2).alias("priority")))
     return merge.resolve_source(both).groupBy("symbol").agg(F.min("priority").alias("priority"), F.count(F.lit(1)).alias("n"))
 
 

@@ -43,6 +43,11 @@ select {_SYMBOL.format(key="s_suppkey")} as code,
 from supplier
 """
 
+WIDE = f"""
+select {_SYMBOL.format(key="c_custkey")} as code, c_name as name
+from customer
+"""
+
 ORDERS = """
 select o_orderkey as order_id, cast(o_custkey % 10 as bigint) as account_id,
        concat('600', lpad(cast((o_orderkey * 7 + o_custkey) % 23 as varchar(10)), 3, '0')) as symbol,
@@ -68,6 +73,11 @@ def raw_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, UNIVERSE, "supplier")
 
 
+def wide_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, name of a larger universe, most of whose securities have no bars."""
+    return _from(spark, sf_dir, WIDE, "customer")
+
+
 def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, account_id, symbol, side, quantity, price, trade_date."""
     return _from(spark, sf_dir, ORDERS, "orders")

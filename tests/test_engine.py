@@ -110,7 +110,7 @@ def test_normalize_bars(spark):
     assert len(got) == 80 and {r.symbol for r in got} == {"A"} and {r.turnover_rate for r in got} == {50.0} and {r.amount for r in got} == {0.0}
     assert max(got, key=lambda r: r.trade_date).close == 10.5
     with pytest.raises(ValueError, match="low"):
-        normalize.normalize_bars(raw.drop("low"))
+        normalize.normalize_bars(raw.drop("low"), sequence="seq")
     tencent = raw.drop("volume").withColumn("amount", F.lit("7")).withColumn("provider", F.lit("tencent"))
     assert {(r.volume, r.amount) for r in normalize.normalize_bars(tencent, sequence="seq").collect()} == {(7.0, 0.0)}
 
@@ -123,6 +123,38 @@ def test_normalize_universe(spark):
     assert [r.symbol for r in normalize.active_universe(normalize.normalize_universe(raw)).collect()] == ["000001", "600003"]
 
 
+def test_universe_headers(spark):
+    """The first known header counts, in the order of the list; both a code and a name are needed."""
+    raw = spark.createDataFrame([("600001", "600002", "600003", "a", "b")], "`代码` string, `A股代码` string, `证券代码` string, `A股简称` string, `名称` string")
+    assert [(r.symbol, r.name) for r in normalize.normalize_universe(raw).collect()] == [("600003", "a")]
+    assert [(r.symbol, r.name) for r in normalize.normalize_universe(raw.drop("证券代码", "A股简称")).collect()] == [("600002", "b")]
+    for gone in (["名称", "A股简称"], ["代码", "A股代码", "证券代码"]):
+        with pytest.raises(ValueError, match="codes or names"):
+            normalize.normalize_universe(raw.drop(*gone))
+    with pytest.raises(ValueError, match="left"):
+        normalize.require_rows(normalize.normalize_universe(raw.where("false")))
+
+
+def test_long_tails(spark):
+    data = [(c, c, c, c) for c in (10 + (i * 37 % 11) * 0.3 for i in range(3000))]
+    got = latest(with_indicators(bars_of(spark, A=data, B=flat(3000)), 3000)).orderBy("symbol").collect()
+    close = pd.Series([x[3] for x in data]).round(4)
+    macd = close.ewm(span=12, adjust=False).mean() - close.ewm(span=26, adjust=False).mean()
+    assert got[0].macd_hist == pytest.approx((macd - macd.ewm(span=9, adjust=False).mean()).iloc[-1], abs=1e-9)
+    assert got[1].ema12 == pytest.approx(10) and got[1].macd_hist == pytest.approx(0, abs=1e-9)
+    with pytest.raises(ValueError, match="3000"):
+        with_indicators(bars_of(spark, A=flat(2)), 3001)
+
+
+def test_position_highs(spark):
+    """A holding that was closed and opened anew counts from its second opening on."""
+    rows = [(1, 1, "A", "BUY", 100, d(20), day(0)), (2, 1, "A", "SELL", 100, d(11), day(2)), (3, 1, "A", "BUY", 100, d(12), day(3)), (4, 1, "A", "BUY", 100, d(13.5), day(4)), (5, 1, "Z", "BUY", 100, d(7), day(1))]
+    fills = ledger.replay(spark.createDataFrame(rows, ORDER))
+    bars = bars_of(spark, A=[(c, c, c, c) for c in (30, 29, 28, 12, 13, 14, 13)])
+    got = {r.symbol: (r.opened, r.highest_price) for r in ledger.position_highs(fills, bars).collect()}
+    assert got == {"A": (day(3), d(14)), "Z": (day(1), d(7))}
+
+
 ORDER = "order_id long, account_id long, symbol string, side string, quantity int, price decimal(18,4), trade_date date"
 
 

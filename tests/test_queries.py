@@ -15,7 +15,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "supplier", "events"):
+    for t in ("lineitem", "orders", "supplier", "customer", "events"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return c
 
