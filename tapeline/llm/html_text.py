@@ -5,8 +5,8 @@ and so on), ``render`` walks it by visibility and display rules. Both are small
 and are rendered where they are read, without a shuffle.
 
 Layout. Runs of white space are one space. Blocks start on a line of their own; paragraphs, headings, lists, tables and quotations
-also have an empty line around. Items of lists have ``- `` or their number, and are indented by it. Cells of a table are padded
-to the width of their column and separated by two spaces; what stands in a table but in no cell comes before it. All options of a
+also have an empty line around. Items of lists have ``- `` or their number (``start``, ``reversed``, ``value``), and are indented by it. Cells of a table are padded
+to the width of their column, in characters, and separated by two spaces; a spanning cell widens the last of its columns; what stands in a table but in no cell comes before it. All options of a
 select are shown, the text of a textarea, of math, of svg (its text and foreignObject elements), of map, and the fallback of object.
 Hidden: head, title, scripts, styles, templates, comments, noscript (scripts count as on), the fallback of iframe, audio, video
 and canvas, noembed, noframes, datalist, annotations of math, definitions and descriptions of svg,
@@ -41,7 +41,7 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
 }
 IMPLIED |= {"thead": IMPLIED["tbody"], "tfoot": IMPLIED["tbody"], "optgroup": ({"option", "optgroup"}, {"select"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 DEEPEST = 150
 
@@ -255,14 +255,20 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
+def _number(text: str | None, default: int) -> int:
+    return int(text) if text and re.fullmatch(r"\s*-?\d{1,9}\s*", text) else default
+
+
 def _list(node: Node) -> list[str]:
-    start = node.get("start") or "1"
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start.strip()) else 1
+    back = node.tag == "ol" and node.get("reversed") is not None
+    items = sum(isinstance(x, Node) and x.tag == "li" and visible(x) for x in node.kids)
+    number = _number(node.get("start"), items if back else 1)
     loose, out = Flow(), []
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li" and visible(kid):
+            number = _number(kid.get("value"), number)
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += -1 if back else 1
             lines = [x for x in _inside(kid)]
             if lines:
                 out += [mark + lines[0], *[(" " * len(mark) + x).rstrip() for x in lines[1:]]]
@@ -349,6 +355,11 @@ def _table(node: Node) -> list[str]:
         for c, (lines, wide) in placed.items():
             if wide == 1:
                 width[c] = max(width.get(c, 0), *(len(x) for x in lines), 0)
+    for placed in grid:  # what a spanning cell needs beyond its columns goes to the last of them
+        for c, (lines, wide) in placed.items():
+            more = max((len(x) for x in lines), default=0) - sum(width.get(k, 0) for k in range(c, c + wide)) - 2 * (wide - 1)
+            if wide > 1 and more > 0:
+                width[c + wide - 1] = width.get(c + wide - 1, 0) + more
     out = [x for h in heads for x in _inside(h)]
     for placed in grid:
         for k in range(max((len(x) for x, _ in placed.values()), default=0)):
@@ -377,7 +388,8 @@ def _apply(batches):
 def html_text(pages: DataFrame) -> DataFrame:
     """page_id, text: the visible text of each whole page.
 
-    Null or empty html: empty text. Broken markup never fails: what looks like no tag is text, and an open tag ends where the
+    Null or empty html: empty text. Pages of any length are taken whole; elements deeper than ``DEEPEST`` are laid out as children of the
+    one at that depth, and lose no text. Broken markup never fails: a quote without an end is an ordinary character of its tag, what looks like no tag is text, and an open tag ends where the
     page does. Null and repeated ids pass through; empty table: no rows; other columns are ignored.
     """
     ready(pages)

@@ -17,3 +17,12 @@ from tapeline.llm import html_text
 )
 def test_visible(page, text):
     assert html_text.render(page) == text
+
+
+def test_spans_lists_and_broken_quotes():
+    table = "<table><tr><td colspan=2>long header text here<td>x<tr><td>a<td>b<td>c</table>"
+    assert html_text.render(table).split("\n") == ["long header text here  x", "a  b" + " " * 19 + "c"]
+    assert html_text.render("<ol reversed><li>a<li value=7>b<li>c</ol>").split("\n") == ["3. a", "7. b", "6. c"]
+    assert html_text.render("<ol start=4><li>a<li value=x>b</ol>").split("\n") == ["4. a", "5. b"]
+    assert html_text.render('<a title="x>text</a> more') == "text more" and html_text.render("<p class='a>b'>in</p>") == "in"
+    assert html_text.render("<b " + 'x="' * 20001 + ">end") == "end"
