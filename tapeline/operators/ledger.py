@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import RATES, fees, half_up, lots
+from .risk import trailing_price
 
 MONEY = "decimal(20,2)"
 FILLS = (
@@ -162,33 +163,120 @@ def available_tomorrow(positions_: DataFrame, pending_sells: DataFrame, market_d
     return positions_.join(frozen, ["account_id", "symbol"], "left").withColumn("available_quantity", F.when(F.col("last_buy_date") < market_date, free).otherwise(F.col("available_quantity"))).drop("frozen")
 
 
-def marked(positions_: DataFrame, latest: DataFrame) -> DataFrame:
-    """Positions with last price (their cost where there is none), market value and unrealized profit."""
-    df = positions_.join(latest.select("symbol", F.col("latest_price")), "symbol", "left").withColumn("last_price", F.coalesce("latest_price", "average_cost").cast("decimal(18,4)"))
+def _marked(df: DataFrame) -> DataFrame:
+    df = df.withColumn("last_price", F.coalesce("latest_price", "average_cost").cast("decimal(18,4)"))
     value = half_up(F.col("last_price") * F.col("quantity").cast("decimal(12,0)"), 2, 20)
     gain = half_up((F.col("last_price") - F.col("average_cost")) * F.col("quantity").cast("decimal(12,0)"), 2, 20)
+    return df.withColumns({"market_value": value, "unrealized_pnl": gain, "missing": F.col("latest_price").isNull()})
+
+
+def marked(positions_: DataFrame, latest: DataFrame) -> DataFrame:
+    """Positions with last price (their cost where there is none), market value and unrealized profit."""
+    df = _marked(positions_.join(latest.select("symbol", F.col("latest_price")), "symbol", "left"))
     cost = (F.col("average_cost") * F.col("quantity").cast("decimal(12,0)")).cast("double")
-    df = df.withColumns({"market_value": value, "unrealized_pnl": gain, "missing": F.col("latest_price").isNull()})
     return df.withColumn("pnl_rate", F.coalesce(F.round(F.try_divide(F.col("unrealized_pnl").cast("double"), F.nullif(cost, F.lit(0.0))), 8), F.lit(0.0)))
 
 
-def account_summary(cash: DataFrame, marked_: DataFrame, capital: str) -> DataFrame:
-    """One row an account: cash, market value, total asset, profits and total return."""
-    value = marked_.groupBy("account_id").agg(F.sum("market_value").alias("market_value"), F.sum("unrealized_pnl").alias("unrealized_pnl"), F.count(F.lit(1)).alias("positions"))
-    df = cash.join(value, "account_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("market_value", "unrealized_pnl")} | {"positions": F.coalesce("positions", F.lit(0))})
+def position_details(marked_: DataFrame, highs: DataFrame, universe: DataFrame, plans: DataFrame, trailing: str = "0.04") -> DataFrame:
+    """Marked positions with the security's name, the highest price and the trailing stop below it, and of the plan that
+    ``source_plan_id`` names the stop, the target and the status."""
+    names = universe.select("symbol", F.col("name").alias("_name"))
+    levels = plans.select(F.col("plan_id").alias("source_plan_id"), "stop_loss", F.col("target1").alias("target_price"), F.col("status").alias("plan_status"))
+    df = marked_.join(highs.select("account_id", "symbol", "highest_price"), ["account_id", "symbol"], "left").join(names, "symbol", "left").join(levels, "source_plan_id", "left")
+    return df.withColumns({"name": F.coalesce("_name", "symbol"), "trailing_stop_price": trailing_price(F.col("highest_price"), F.lit(trailing).cast("decimal(8,4)"))}).drop("_name")
+
+
+def with_freezes(orders: DataFrame) -> DataFrame:
+    """Adds what a pending order holds back: a purchase its amount and fees (frozen_amount), a sale its shares
+    (frozen_quantity); 0 for all others. Orders have fees and a status."""
+    pending = lambda side: (F.col("status") == "PENDING_CONFIRM") & (F.col("side") == side)
+    return orders.withColumns(
+        {"frozen_amount": F.when(pending("BUY"), F.col("net")).otherwise(F.lit(0)).cast(MONEY), "frozen_quantity": F.when(pending("SELL"), F.col("quantity")).otherwise(F.lit(0)).cast("bigint")}
+    )
+
+
+def available_cash(cash: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Accounts with frozen_cash, the sum of their pending purchases, and available_cash, the rest."""
+    held = frozen.groupBy("account_id").agg(F.sum("frozen_amount").cast(MONEY).alias("frozen_cash"))
+    df = cash.join(held, "account_id", "left").withColumn("frozen_cash", F.coalesce("frozen_cash", F.lit(0)).cast(MONEY))
+    return df.withColumn("available_cash", (F.col("cash") - F.col("frozen_cash")).cast(MONEY))
+
+
+def gate_purchases(requests: DataFrame, cash: DataFrame, marked_: DataFrame, frozen: DataFrame, max_positions: int = 5, max_weight: str = "0.20") -> DataFrame:
+    """Adds refused to requests to buy (with fees), each judged by itself against the account's state; null if it may stand.
+
+    NO_CASH: it takes more than cash without what pending purchases freeze. PENDING: the symbol has a pending purchase.
+    MAX_POSITIONS: a further symbol beside those held or waited for. MAX_WEIGHT: with what is held and pending of the symbol, at
+    market prices, above a share of the total asset.
+    """
+    keys = ["account_id", "symbol"]
+    waiting = frozen.where("frozen_amount > 0")
+    pending = waiting.groupBy(*keys).agg(F.sum("gross").alias("pending_value"), F.count(F.lit(1)).alias("pending_orders"))
+    asset = available_cash(cash, frozen).join(marked_.groupBy("account_id").agg(F.sum("market_value").alias("_value")), "account_id", "left")
+    asset = asset.join(held_or_pending(marked_, waiting), "account_id", "left").select("account_id", "available_cash", (F.col("cash") + F.coalesce("_value", F.lit(0))).alias("total_asset"), F.coalesce("symbols", F.lit(0)).alias("symbols"))
+    own = marked_.select(*keys, F.col("market_value").alias("own_value"))
+    df = requests.join(asset, "account_id", "left").join(own, keys, "left").join(pending, keys, "left")
+    value = F.coalesce("own_value", F.lit(0)) + F.coalesce("pending_value", F.lit(0)) + F.col("gross")
+    refused = (
+        F.when(F.coalesce(F.col("available_cash") < F.col("net"), F.lit(True)), "NO_CASH")
+        .when(F.col("pending_orders") > 0, "PENDING")
+        .when(F.col("own_value").isNull() & (F.col("symbols") >= max_positions), "MAX_POSITIONS")
+        .when(value > F.col("total_asset") * F.lit(max_weight).cast("decimal(8,4)"), "MAX_WEIGHT")
+    )
+    return df.withColumn("refused", refused).select(*requests.columns, "refused")
+
+
+def _with_asset(df: DataFrame, capital: str) -> DataFrame:
+    """Adds total asset and return to cash and market value, which is 0 where there is no position."""
+    df = df.withColumns({c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("market_value", "unrealized_pnl")} | {"positions": F.coalesce("positions", F.lit(0))})
     df = df.withColumn("total_asset", (F.col("cash") + F.col("market_value")).cast(MONEY))
     return df.withColumn("total_return", F.round(F.col("total_asset").cast("double") / float(capital) - 1, 8))
 
 
-def equity_curve(fills: DataFrame, capital: str, days: int = 365) -> DataFrame:
-    """Cash and realized profit of each account at the end of each of its last days (7 to 1000) with fills, ascending."""
+def account_summary(cash: DataFrame, marked_: DataFrame, capital: str, frozen: DataFrame | None = None) -> DataFrame:
+    """One row an account: cash, market value, total asset, profits and total return; given the orders with freezes, also
+    frozen and available cash."""
+    value = marked_.groupBy("account_id").agg(F.sum("market_value").alias("market_value"), F.sum("unrealized_pnl").alias("unrealized_pnl"), F.count(F.lit(1)).alias("positions"))
+    return _with_asset((cash if frozen is None else available_cash(cash, frozen)).join(value, "account_id", "left"), capital)
+
+
+def equity_curve(fills: DataFrame, bars: DataFrame, capital: str, days: int = 365) -> DataFrame:
+    """A snapshot of each account at the end of each of its last days (7 to 1000) with fills, ascending: cash, realized profit,
+    market value and unrealized profit of what it then held, total asset and return.
+
+    A holding counts from a day with fills to its next one, at the newest QFQ close up to the snapshot's day (its cost where
+    there is none), which is looked up once for all accounts.
+    """
     good = fills.where("status = 'FILLED'")
     change = F.sum(F.when(F.col("side") == "BUY", -F.col("net")).otherwise(F.col("net")))
     daily = good.groupBy("account_id", "trade_date").agg(change.alias("change"), F.sum("realized").alias("gain"))
     upto = Window.partitionBy("account_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     newest = Window.partitionBy("account_id").orderBy(F.desc("trade_date"))
     df = daily.select("account_id", "trade_date", (F.lit(capital).cast(MONEY) + F.sum("change").over(upto)).cast(MONEY).alias("cash"), F.sum("gain").over(upto).cast(MONEY).alias("realized_pnl"))
-    return df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max(7, min(1000, days))).drop("_n").orderBy("account_id", "trade_date")
+    df = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max(7, min(1000, days))).drop("_n")
+    held = _held_on(good, df.select("account_id", "trade_date"))
+    wanted = held.select("symbol", "trade_date").distinct()
+    priced = held.join(_closes_on(wanted, bars), ["symbol", "trade_date"], "left")
+    value = _marked(priced).groupBy("account_id", "trade_date").agg(F.sum("market_value").alias("market_value"), F.sum("unrealized_pnl").alias("unrealized_pnl"), F.count(F.lit(1)).alias("positions"))
+    return _with_asset(df.join(value, ["account_id", "trade_date"], "left"), capital).orderBy("account_id", "trade_date")
+
+
+def _held_on(good: DataFrame, days: DataFrame) -> DataFrame:
+    """What each account holds at the end of its days, from its fills."""
+    state = good.groupBy("account_id", "symbol", "trade_date").agg(F.max_by(F.struct("held", "average_cost"), "order_id").alias("p"))
+    later = F.lead("trade_date").over(Window.partitionBy("account_id", "symbol").orderBy("trade_date"))
+    spans = state.select("account_id", "symbol", F.col("p.held").alias("quantity"), F.col("p.average_cost").alias("average_cost"), F.col("trade_date").alias("_from"), later.alias("_till"))
+    inside = (F.col("trade_date") >= F.col("_from")) & (F.col("_till").isNull() | (F.col("trade_date") < F.col("_till")))
+    return days.join(spans.where("quantity > 0"), "account_id").where(inside).drop("_from", "_till")
+
+
+def _closes_on(wanted: DataFrame, bars: DataFrame) -> DataFrame:
+    """symbol, trade_date, latest_price: the newest QFQ close up to each wanted day."""
+    closes = bars.where("adjust_type = 'QFQ'").join(wanted.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "trade_date", "close", F.lit(False).alias("_asked"))
+    both = closes.unionByName(wanted.withColumns({"close": F.lit(None).cast(closes.schema["close"].dataType), "_asked": F.lit(True)}))
+    days = both.groupBy("symbol", "trade_date").agg(F.max("close").alias("close"), F.max("_asked").alias("_asked"))
+    upto = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.withColumn("latest_price", F.last("close", ignorenulls=True).over(upto)).where("_asked").select("symbol", "trade_date", "latest_price")
 
 
 def held_or_pending(positions_: DataFrame, pending_buys: DataFrame) -> DataFrame:

@@ -53,10 +53,32 @@ def bars_as_of(bars: DataFrame, when: date) -> DataFrame:
 
 
 def search_securities(universe: DataFrame, bars: DataFrame, keyword: str = "", number: int = 1, size: int = 50) -> DataFrame:
-    """A page of securities whose symbol or name holds the keyword (as a LIKE pattern), with their latest bar."""
+    """A page of the active main-board securities whose symbol or name holds the keyword (as a LIKE pattern), with their latest
+    bar and, on each row, the total over all pages."""
+    keyword = keyword.strip()
     like = F.lit(not keyword) | F.col("symbol").like(f"%{keyword}%") | F.col("name").like(f"%{keyword}%")
-    found = page(universe.where(like), ["symbol"], number, size)
-    return found.join(latest_bars(bars), "symbol", "left")
+    found = universe.where("is_active and board = 'MAIN'").where(like)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return page(found, ["symbol"], number, size).join(latest_bars(bars), "symbol", "left").join(F.broadcast(total), how="cross")  # one row
+
+
+def plans_view(plans: DataFrame, latest: DataFrame, status: str | None = None, n: int = 200) -> DataFrame:
+    """The newest plans, of one status or all of them (none, blank or ALL), with their symbol's latest price and day."""
+    wanted = (status or "").strip().upper()
+    own = plans if wanted in ("", "ALL") else plans.where(F.col("status") == wanted)
+    return own.orderBy(F.desc("plan_id")).limit(n).join(latest.select("symbol", "latest_price", "latest_date"), "symbol", "left")
+
+
+# Columns of a result and the fields of its metrics that fill them.
+METRIC_FIELDS = {"return_5_pct": "return5Pct", "return_20_pct": "return20Pct", "rsi14": "rsi14", "atr14_pct": "atr14Pct", "volume_ratio20": "volumeRatio20", "breakout20": "breakout20"}
+
+
+def fill_from_metrics(results: DataFrame) -> DataFrame:
+    """Results whose null columns are filled from the JSON text ``metrics``; text that isn't JSON fills nothing."""
+    kinds = {c: results.schema[c].dataType.simpleString() for c in METRIC_FIELDS}
+    parsed = F.from_json("metrics", ", ".join(f"{METRIC_FIELDS[c]} {k}" for c, k in kinds.items()))
+    df = results.withColumn("_metrics", parsed)
+    return df.withColumns({c: F.coalesce(F.col(c), F.col(f"_metrics.{f}")) for c, f in METRIC_FIELDS.items()}).drop("_metrics")
 
 
 def overview(universe: DataFrame, bars: DataFrame) -> DataFrame:

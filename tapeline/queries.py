@@ -127,7 +127,7 @@ def overview_counts(spark, d):
 
 
 @query(
-    f"{O.SCORED}, p as (select * from universe where symbol like '%60%' or name like '%60%' order by symbol limit 20 offset 20) "
+    f"{O.SCORED}, m as (select * from universe where is_active and board = 'MAIN' and (symbol like '%60%' or name like '%60%')), p as (select *, (select count(*) from m) as total from m order by symbol limit 20 offset 20) "
     "select p.*, b.latest_date, b.latest_price from p left join (select symbol, max(trade_date) as latest_date, max_by(close, trade_date) as latest_price from bars where adjust_type = 'QFQ' group by 1) b using (symbol)"
 )
 def securities_search_latest_bar(spark, d):
@@ -234,14 +234,21 @@ def degraded_analysis(spark, d):
     return S.with_degraded(normalize_universe(wide_universe(spark, d)), S.dynamic_analysis(bars(spark, d))).select("symbol", "score", "risk_level", "degraded")
 
 
-@query(f"{O.SCORED}, j as (select symbol, to_json(map {{'close': latest_close::varchar, 'level': signal_level}}) as js, case when score % 2 = 0 then latest_close end as typed from scored) select symbol, coalesce(typed, (js->>'close')::decimal(18,2)) as latest_close, js->>'level' as level from j")
+_TYPED = {"return_5_pct": ("return5", "decimal(18,4)"), "return_20_pct": ("return20", "decimal(18,4)"), "rsi14": ("rsi14", "decimal(18,4)"), "atr14_pct": ("atr_pct", "decimal(18,4)"), "volume_ratio20": ("volume_ratio20", "decimal(18,4)"), "breakout20": ("breakout20", "boolean")}
+_SHOWN = {c: f"round({v}::decimal(28,10), 4)::{k}" if k != "boolean" else v for c, (v, k) in _TYPED.items()}
+_FILLED = ", ".join(f"case when score % 2 = 0 or (score % 3 = 0 and symbol not like '%3') then {x} end as {c}" for c, x in _SHOWN.items())
+
+
+@query(f"{O.SCORED} select symbol, {_FILLED} from scored")
 def results_json_backfill(spark, d):
-    """A JSON column read back into typed columns, which fills those that are null."""
-    df = S.dynamic_analysis(bars(spark, d))
-    js = F.to_json(F.struct(F.col("latest_close").cast("string").alias("close"), F.col("signal_level").alias("level")))
-    df = df.select("symbol", js.alias("js"), F.when(F.col("score") % 2 == 0, F.col("latest_close")).alias("typed"))
-    parsed = F.from_json("js", "close decimal(18,2), level string", {"mode": "PERMISSIVE"})
-    return df.withColumn("j", parsed).select("symbol", F.coalesce("typed", "j.close").alias("latest_close"), F.col("j.level").alias("level"))
+    """Six typed columns, empty at odd scores, filled from JSON text; at scores not divisible by 3 the text has none of the fields, and
+    for symbols that end in 3 it is cut off."""
+    df = S.score_latest(latest(with_indicators(bars(spark, d))).where(F.col("n_bars") >= S.MIN_BARS))
+    shown = {c: F.round(F.col(v).cast("decimal(28,10)"), 4).cast(k) if k != "boolean" else F.col(v) for c, (v, k) in _TYPED.items()}
+    js = F.to_json(F.struct(*[v.alias(market.METRIC_FIELDS[c]) for c, v in shown.items()]))
+    js = F.when(F.col("symbol").like("%3"), F.substring(js, 1, 20)).when(F.col("score") % 3 == 0, js).otherwise('{"other": 1}')
+    typed = [F.when(F.col("score") % 2 == 0, v).alias(c) for c, v in shown.items()]
+    return market.fill_from_metrics(df.select("symbol", js.alias("metrics"), *typed)).drop("metrics")
 
 
 @query(f"{O.MULTI} select symbol, signal_date, action, score, reference_price, reasons, risks from signals")
@@ -358,13 +365,43 @@ def positions_view(spark, d):
     return marked_positions(spark, d).select("account_id", "symbol", "quantity", "average_cost", "last_price", "market_value", "unrealized_pnl", "missing", "pnl_rate")
 
 
+_PENDING = "pending as (select *, case when side = 'BUY' then net else 0 end::decimal(20,2) as frozen_amount, case when side = 'SELL' then quantity else 0 end::bigint as frozen_quantity from ord where trade_date >= date '1998-07-25' and reject_reason is null)"
+_FROZEN = f"{_PENDING}, fz as (select account_id, sum(frozen_amount)::decimal(20,2) as frozen_cash from pending group by 1)"
+
+
+def pending_orders(spark, d):
+    """Good orders of the last days, taken as not yet confirmed."""
+    late = L.validated(L.with_fees(order_feed(spark, d))).where("trade_date >= date '1998-07-25' and reject_reason is null")
+    return L.with_freezes(late.withColumn("status", F.lit("PENDING_CONFIRM")))
+
+
+@query(f"{O.LEDGER}, {_FROZEN} select order_id, account_id, symbol, frozen_amount, frozen_quantity from pending")
+def order_freezes(spark, d):
+    return pending_orders(spark, d).select("order_id", "account_id", "symbol", "frozen_amount", "frozen_quantity")
+
+
 @query(
-    f"{O.LEDGER}, v as (select account_id, sum(market_value)::decimal(20,2) as market_value, sum(unrealized_pnl)::decimal(20,2) as unrealized_pnl, count(*) as positions from marked group by 1) "
-    "select c.*, coalesce(v.market_value, 0)::decimal(20,2) as market_value, coalesce(v.unrealized_pnl, 0)::decimal(20,2) as unrealized_pnl, coalesce(v.positions, 0) as positions, "
-    "(c.cash + coalesce(v.market_value, 0))::decimal(20,2) as total_asset, round((c.cash + coalesce(v.market_value, 0))::double / 100000000 - 1, 8) as total_return from cash c left join v using (account_id)"
+    f"{O.LEDGER}, {_FROZEN}, v as (select account_id, sum(market_value)::decimal(20,2) as market_value, sum(unrealized_pnl)::decimal(20,2) as unrealized_pnl, count(*) as positions from marked group by 1) "
+    "select c.*, coalesce(fz.frozen_cash, 0)::decimal(20,2) as frozen_cash, (c.cash - coalesce(fz.frozen_cash, 0))::decimal(20,2) as available_cash, coalesce(v.market_value, 0)::decimal(20,2) as market_value, coalesce(v.unrealized_pnl, 0)::decimal(20,2) as unrealized_pnl, coalesce(v.positions, 0) as positions, "
+    "(c.cash + coalesce(v.market_value, 0))::decimal(20,2) as total_asset, round((c.cash + coalesce(v.market_value, 0))::double / 100000000 - 1, 8) as total_return from cash c left join v using (account_id) left join fz using (account_id)"
 )
 def account_summary(spark, d):
-    return L.account_summary(L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL), marked_positions(spark, d), CAPITAL)
+    return L.account_summary(L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL), marked_positions(spark, d), CAPITAL, pending_orders(spark, d))
+
+
+@query(
+    f"{O.LEDGER}, {_FROZEN}, rq as (select * from ord where side = 'BUY' and reject_reason is null), "
+    "sy as (select account_id, count(*) as symbols from (select account_id, symbol from marked union select account_id, symbol from pending where side = 'BUY') group by 1), "
+    "mv as (select account_id, sum(market_value) as mvalue from marked group by 1), pd as (select account_id, symbol, sum(gross) as pvalue, count(*) as n from pending where side = 'BUY' group by 1, 2) "
+    "select r.order_id, case when c.cash is null or c.cash - coalesce(frozen_cash, 0) < r.net then 'NO_CASH' when pd.n > 0 then 'PENDING' when m.market_value is null and coalesce(symbols, 0) >= 24 then 'MAX_POSITIONS' "
+    "when coalesce(m.market_value, 0) + coalesce(pvalue, 0) + r.gross > (c.cash + coalesce(mvalue, 0)) * 0.20 then 'MAX_WEIGHT' end as refused "
+    "from rq r left join cash c using (account_id) left join fz using (account_id) left join sy using (account_id) left join mv using (account_id) left join marked m on m.account_id = r.account_id and m.symbol = r.symbol left join pd on pd.account_id = r.account_id and pd.symbol = r.symbol"
+)
+def purchase_gate(spark, d):
+    """The gates of every purchase in the feed against the state after all fills."""
+    wanted = L.validated(L.with_fees(order_feed(spark, d))).where("side = 'BUY' and reject_reason is null")
+    cash = L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL)
+    return L.gate_purchases(wanted, cash, marked_positions(spark, d), pending_orders(spark, d), max_positions=24).select("order_id", "refused")
 
 
 _HIGHS = (
@@ -403,11 +440,34 @@ def risk_events(spark, d):
 
 @query(
     f"{O.LEDGER}, dly as (select account_id, trade_date, sum(case when side = 'BUY' then -net else net end) as ch, sum(realized) as gain from fills where status = 'FILLED' group by 1, 2), "
-    "cum as (select account_id, trade_date, (100000000 + sum(ch) over w)::decimal(20,2) as cash, (sum(gain) over w)::decimal(20,2) as realized_pnl, row_number() over (partition by account_id order by trade_date desc) as k from dly window w as (partition by account_id order by trade_date)) "
-    "select account_id, trade_date, cash, realized_pnl from cum where k <= 90"
+    "cum as (select account_id, trade_date, (100000000 + sum(ch) over w)::decimal(20,2) as cash, (sum(gain) over w)::decimal(20,2) as realized_pnl, row_number() over (partition by account_id order by trade_date desc) as k from dly window w as (partition by account_id order by trade_date)), "
+    "st as (select account_id, symbol, trade_date as since, max_by(held, order_id) as quantity, max_by(average_cost, order_id) as cost from fills where status = 'FILLED' group by 1, 2, 3), "
+    "sp as (select *, lead(since) over (partition by account_id, symbol order by since) as till from st), "
+    "hd as (select c.account_id, c.trade_date, s.symbol, s.quantity, s.cost from cum c join sp s on s.account_id = c.account_id and c.trade_date >= since and (till is null or c.trade_date < till) where c.k <= 90 and s.quantity > 0), "
+    "px as (select hd.*, coalesce(b.close, cost)::decimal(18,4) as price from hd asof left join (select symbol as s, trade_date as d, close from bars where adjust_type = 'QFQ') b on b.s = hd.symbol and hd.trade_date >= b.d), "
+    "vl as (select account_id, trade_date, sum(round(price * quantity, 2))::decimal(20,2) as market_value, sum(round((price - cost) * quantity, 2))::decimal(20,2) as unrealized_pnl, count(*) as positions from px group by 1, 2) "
+    "select account_id, trade_date, cash, realized_pnl, coalesce(market_value, 0)::decimal(20,2) as market_value, coalesce(unrealized_pnl, 0)::decimal(20,2) as unrealized_pnl, coalesce(positions, 0) as positions, "
+    "(cash + coalesce(market_value, 0))::decimal(20,2) as total_asset, round((cash + coalesce(market_value, 0))::double / 100000000 - 1, 8) as total_return from cum left join vl using (account_id, trade_date) where k <= 90"
 )
 def equity_curve(spark, d):
-    return L.equity_curve(L.replay(order_feed(spark, d)), CAPITAL, 90)
+    return L.equity_curve(L.replay(order_feed(spark, d)), bars(spark, d), CAPITAL, 90)
+
+
+@query(
+    f"{O.LEDGER}, {_HIGHS}, src as (select account_id, symbol, max_by(order_id, k) as plan_id from fills where status = 'FILLED' and side = 'BUY' group by 1, 2), "
+    "pl as (select order_id as plan_id, round(price * 0.95, 2)::decimal(18,2) as stop_loss, round(price * 1.08, 2)::decimal(18,2) as target_price, case when order_id % 2 = 0 then 'OPEN' else 'ORDERED' end as plan_status from order_feed where side = 'BUY' and order_id % 3 > 0) "
+    f"select m.account_id, m.symbol, coalesce(u.name, m.symbol) as name, m.quantity, m.market_value, h.highest_price, round(h.highest_price * 0.96, 4)::decimal(18,4) as trailing_stop_price, stop_loss, target_price, plan_status "
+    f"from marked m left join highs h using (account_id, symbol) left join src using (account_id, symbol) left join pl using (plan_id) left join ({WIDE}) u on u.code = m.symbol"
+)
+def position_details(spark, d):
+    """The view with names, plans and trailing stops; two thirds of the orders have a plan."""
+    fills, orders = L.replay(order_feed(spark, d)), order_feed(spark, d).where("side = 'BUY' and order_id % 3 > 0")
+    source = fills.where("status = 'FILLED' and side = 'BUY'").groupBy("account_id", "symbol").agg(F.max_by("order_id", F.struct("trade_date", "order_id")).alias("source_plan_id"))
+    ladder = price_ladder(F.col("price"))
+    plans = orders.select(F.col("order_id").alias("plan_id"), ladder["stop_loss"].alias("stop_loss"), ladder["target1"].alias("target1"), F.when(F.col("order_id") % 2 == 0, "OPEN").otherwise("ORDERED").alias("status"))
+    names = wide_universe(spark, d).select(F.col("code").alias("symbol"), "name")
+    df = L.position_details(marked_positions(spark, d).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names, plans)
+    return df.select("account_id", "symbol", "name", "quantity", "market_value", "highest_price", "trailing_stop_price", "stop_loss", "target_price", "plan_status")
 
 
 @query(f"{O.LEDGER} select account_id, count(*) as symbols from (select account_id, symbol from pos union select account_id, symbol from order_feed where side = 'BUY' and trade_date >= date '1998-07-01') group by 1")

@@ -179,6 +179,43 @@ def test_gates(spark):
     assert one.status == "NO_CASH" and one.cash == 1000
 
 
+def test_purchase_gate(spark):
+    """One request for each way to be refused, and one that may stand."""
+    cash = spark.createDataFrame([(1, d(1000))], "account_id long, cash decimal(20,2)")
+    held = spark.createDataFrame([(1, "A", d(100)), (1, "B", d(300))], "account_id long, symbol string, market_value decimal(20,2)")
+    order = "order_id long, account_id long, symbol string, side string, quantity int, gross decimal(20,2), net decimal(20,2), status string"
+    rows = [(1, 1, "C", "BUY", 100, d(90), d(95), "PENDING_CONFIRM"), (2, 1, "A", "SELL", 100, d(90), d(85), "PENDING_CONFIRM"), (3, 1, "D", "BUY", 100, d(90), d(95), "FILLED")]
+    frozen = ledger.with_freezes(spark.createDataFrame(rows, order))
+    assert [(r.frozen_amount, r.frozen_quantity) for r in frozen.orderBy("order_id").collect()] == [(95, 0), (0, 100), (0, 0)]
+    assert ledger.available_cash(cash, frozen).first().available_cash == 905
+    wanted = [("A", 906, 906), ("C", 10, 15), ("D", 10, 15), ("B", 10, 15), ("A", 180, 185), ("A", 181, 186)]
+    requests = spark.createDataFrame([(i, 1, s, "BUY", 100, d(g), d(n), "NEW") for i, (s, g, n) in enumerate(wanted)], order)
+    got = {r.order_id: r.refused for r in ledger.gate_purchases(requests, cash, held, frozen, max_positions=3).collect()}
+    assert got == {0: "NO_CASH", 1: "PENDING", 2: "MAX_POSITIONS", 3: "MAX_WEIGHT", 4: None, 5: "MAX_WEIGHT"}
+    assert ledger.gate_purchases(requests, cash, held, frozen, max_positions=4).where("order_id = 2").first().refused is None
+
+
+def test_equity_curve(spark):
+    rows = [(1, 1, "A", "BUY", 100, d(20), day(0)), (2, 1, "Z", "BUY", 100, d(5), day(2)), (3, 1, "A", "SELL", 100, d(11), day(3))]
+    fills = ledger.replay(spark.createDataFrame(rows, ORDER))
+    bars = bars_of(spark, A=[(c, c, c, c) for c in (20, 21, 22, 23)])
+    got = ledger.equity_curve(fills, bars, "10000").collect()
+    # bought for 2005.02, Z has no bars and counts at its cost
+    assert [(r.trade_date, r.market_value, r.positions) for r in got] == [(day(0), 2000, 1), (day(2), d(2200) + d(505.01), 2), (day(3), d(505.01), 1)]
+    assert [r.total_asset for r in got] == [r.cash + r.market_value for r in got] and got[0].total_return == pytest.approx(-0.000502)
+
+
+def test_plans_view_and_metrics(spark):
+    plans = spark.createDataFrame([(1, "A", "ACTIVE"), (2, "B", "CLOSED"), (3, "A", "CLOSED")], "plan_id long, symbol string, status string")
+    latest_ = spark.createDataFrame([("A", d(3), day(1))], "symbol string, latest_price decimal(18,4), latest_date date")
+    view = lambda **k: sorted((r.plan_id, r.latest_price) for r in market.plans_view(plans, latest_, **k).collect())
+    assert view(n=2) == [(2, None), (3, d(3))] and view(status="active") == [(1, d(3))] and len(view(status=" ")) == len(view(status="all")) == 3
+    columns = "metrics string, return_5_pct decimal(18,4), return_20_pct decimal(18,4), rsi14 decimal(18,4), atr14_pct decimal(18,4), volume_ratio20 decimal(18,4), breakout20 boolean"
+    rows = [('{"return5Pct": 1.5, "rsi14": 40, "breakout20": true}', None, None, d(50), None, None, None), ('{"return5Pct": 1.5', None, None, None, None, None, None), (None, d(2), None, None, None, None, False)]
+    got = market.fill_from_metrics(spark.createDataFrame(rows, columns)).collect()
+    assert [(r.return_5_pct, r.rsi14, r.breakout20) for r in got] == [(d(1.5), 50, True), (None, None, None), (2, None, False)]
+
+
 def test_cancellations(spark):
     orders = spark.createDataFrame([(1, 7, "PENDING_CONFIRM", Decimal(5), 100), (2, 7, "FILLED", Decimal(5), 100), (3, 8, "PENDING_CONFIRM", Decimal(5), 100)], "order_id long, plan_id long, status string, frozen_amount decimal(20,2), frozen_quantity int")
     plans = spark.createDataFrame([(7, "ACTIVE"), (8, "OPEN")], "plan_id long, status string")
