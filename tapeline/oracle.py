@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.score import DEFAULT_BEARISH, DEFAULT_BULLISH
 from .sources.fixtures import BARS, ORDERS, UNIVERSE
 
 DAILY = ("600000", "600036", "601318", "601166", "601398", "601088", "600028", "600309", "000001", "000858", "002415", "002594")
@@ -80,6 +81,33 @@ SCORED = f"""{TAIL}, lat as (select * from ind where n = n_bars - 1 and n_bars >
   select s.*, u.name, reasons = '' as eligible, (row_number() over (order by reasons = '' desc, score desc, trade_date desc, symbol))::int as rank_no
   from scored s join universe u using (symbol) where u.is_active and not u.is_st
 )"""
+NOTED = f"""{SCORED}, noted as (
+  select *, concat_ws('；',
+      case when c > ma20 and ma20 > ma60 then '价格位于20日均线上方，且MA20高于MA60，中期趋势偏强' when c > ma20 then '价格站上20日均线，短线趋势有所改善' end,
+      case when ma5 > ma10 and ma10 > ma20 then 'MA5、MA10、MA20形成短期多头排列' end,
+      case when rsi14 between 50 and 70 then printf('RSI14为%.1f，动量处于相对健康区间', rsi14) when rsi14 <= 78 and rsi14 >= 35 then printf('RSI14为%.1f，暂未出现极端超买', rsi14) end,
+      case when return20 > 0 and return20 <= 15 then printf('近20日收益%+.2f%%，上涨节奏相对温和', return20) end,
+      case when volume_ratio20 between 1.2::double and 2.5::double then printf('当日量比约%.2f，成交量温和放大', volume_ratio20) end,
+      case when breakout20 then '收盘价突破前20个交易日收盘高点' when drawdown20 >= -2 then '价格接近20日高位，处于突破观察区' end,
+      case when macd_hist > 0 and macd_hist >= prev_hist then 'MACD柱线位于零轴上方且继续增强' end,
+      case when atr_pct between 1.2::double and 5.5::double then printf('ATR占价格%.2f%%，波动水平适合短线观察', atr_pct) end) as bull,
+    concat_ws('；',
+      case when c > ma20 then null when c < ma20 and ma20 < ma60 then '价格低于20日均线且MA20低于MA60，趋势结构偏弱' else '价格尚未形成清晰的中期多头排列' end,
+      case when ma5 < ma10 and ma10 < ma20 then '短期均线呈空头排列' end,
+      case when rsi14 > 78 then printf('RSI14为%.1f，短线存在过热和回撤风险', rsi14) when rsi14 < 35 then printf('RSI14为%.1f，当前动量偏弱', rsi14) end,
+      case when return20 > 25 then printf('近20日累计上涨%+.2f%%，短线追高风险增加', return20) when return20 < -12 then printf('近20日收益%+.2f%%，阶段走势明显偏弱', return20) end,
+      case when volume_ratio20 > 3.5 then printf('当日量比约%.2f，放量过快需防冲高回落', volume_ratio20) when volume_ratio20 < 0.65::double then printf('当日量比约%.2f，市场参与度偏低', volume_ratio20) end,
+      case when not breakout20 and drawdown20 < -2 and drawdown20 <= -10 then printf('较20日高点回撤%.2f%%，修复压力仍在', abs(drawdown20)) end,
+      case when macd_hist < 0 and macd_hist < prev_hist then 'MACD柱线为负且继续走弱' end,
+      case when atr_pct > 7 then printf('ATR占价格%.2f%%，短线波动风险较高', atr_pct) end,
+      case when volatility20 > 4.5 then printf('近20日单日波动率约%.2f%%，价格稳定性较弱', volatility20) end,
+      case when turnover_rate::double > 18 then printf('最新换手率%.2f%%，筹码交换较为剧烈', turnover_rate::double) end) as bear
+  from scored
+), notes as (
+  select symbol, coalesce(nullif(bull, ''), '{DEFAULT_BULLISH}') as bullish, coalesce(nullif(bear, ''), '{DEFAULT_BEARISH}') as bearish,
+    '截至' || trade_date || printf('，收盘价%s元，近5日%+.2f%%、近20日%+.2f%%。当前价格', latest_close::varchar, return5, return20) || case when c >= ma20 then '高于' else '低于' end || printf('20日均线，RSI14为%.1f，量比约%.2f，动态规则评分为%d分。', rsi14, volume_ratio20, score) as summary
+  from noted
+)"""
 EXACT = f"""{BASE}, e0 as (
   select *, row_number() over w - 1 as n, count(*) over (partition by symbol) as n_bars, greatest(close - lag(close) over w, 0) as up_, greatest(lag(close) over w - close, 0) as down_, lag(close) over w as pc
   from bars window w as (partition by symbol order by trade_date)

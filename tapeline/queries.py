@@ -14,7 +14,7 @@ from .operators import score as S  # noqa: N812
 from .operators.indicators import latest, with_exact_indicators, with_indicators
 from .operators.normalize import normalize_universe
 from .plans import scan as P  # noqa: N812
-from .sources.fixtures import UNIVERSE, WIDE, bars, order_feed, raw_universe, wide_universe
+from .sources.fixtures import NAMES, UNIVERSE, WIDE, bars, names, order_feed, raw_universe, wide_universe
 from .streaming import incremental
 
 CAPITAL = "100000000"
@@ -185,18 +185,18 @@ def scan_failures(spark, d):
     return P.scan_failures(bars(spark, d), normalize_universe(wide_universe(spark, d)))
 
 
-@query(f"{O.SCORED} select symbol, trade_date as signal_date, case when score >= 75 then 'BUY' else 'WATCH' end as action, score, latest_close as reference_price, 'DYNAMIC_SCAN' as strategy_code from scan where eligible and rank_no <= 30")
+@query(f"{O.NOTED} select symbol, trade_date as signal_date, case when score >= 75 then 'BUY' else 'WATCH' end as action, score, latest_close as reference_price, bullish as reasons, bearish as risks, 'DYNAMIC_SCAN' as strategy_code from scan join notes using (symbol) where eligible and rank_no <= 30")
 def signals_from_scan(spark, d):
-    return P.signals_from_scan(scanned(spark, d), 30).drop("reasons", "risks")
+    return P.signals_from_scan(scanned(spark, d), 30).withColumns({c: F.array_join(c, "；") for c in ("reasons", "risks")})
 
 
 LADDER = ", ".join(f"round({{p}} * {v}, 2)::decimal(18,2) as {k}" for k, v in (("buy_low", "0.99"), ("buy_high", "1.01"), ("stop_loss", "0.95"), ("target1", "1.08"), ("target2", "1.12")))
 WEIGHT = "case when risk_level = 'HIGH' then 0.05 when score >= 80 then 0.20 when score >= 70 then 0.15 when score >= 60 then 0.10 else 0.05 end::decimal(8,4)"
 
 
-@query(f"{O.SCORED} select symbol, name, trade_date as plan_date, score, {LADDER.format(p='latest_close')}, {WEIGHT} as suggested_weight, 2 as valid_days, 'ACTIVE' as status, 1 as source_task_id from scan where eligible and rank_no <= 30")
+@query(f"{O.NOTED} select symbol, name, trade_date as plan_date, score, {LADDER.format(p='latest_close')}, {WEIGHT} as suggested_weight, 2 as valid_days, 'ACTIVE' as status, summary as rationale, 1 as source_task_id from scan join notes using (symbol) where eligible and rank_no <= 30")
 def plans_from_scan(spark, d):
-    return P.plans_from_scan(scanned(spark, d), 30).drop("rationale")
+    return P.plans_from_scan(scanned(spark, d), 30)
 
 
 @query(f"{O.BASE} select symbol, trade_date, {LADDER.format(p='round(close, 2)::decimal(18,2)')} from bars")
@@ -214,9 +214,9 @@ def suggested_weights(spark, d):
 METRIC_SQL = ", ".join(f"coalesce(round({v}::decimal(28,10), 2), 0)::decimal(24,2) as {k}" for k, v in S.METRICS.items())
 
 
-@query(f"{O.SCORED} select symbol, {METRIC_SQL}, limit_ups as recent_limit_up_count, breakout20 from scored")
+@query(f"{O.SCORED} select symbol, {METRIC_SQL}, limit_ups as recent_limit_up_count, breakout20, coalesce(round(macd_hist::decimal(28,10), 4), 0)::decimal(24,4) as macd_histogram from scored")
 def analysis_metrics(spark, d):
-    return S.dynamic_analysis(bars(spark, d)).select("symbol", "metrics.*").drop("macd_histogram")
+    return S.dynamic_analysis(bars(spark, d)).select("symbol", "metrics.*")
 
 
 @query(f"{O.SCORED} select symbol, '截至' || trade_date || printf('，收盘价%s元，近5日%+.2f%%、近20日%+.2f%%。当前价格', latest_close::varchar, return5, return20) || case when c >= ma20 then '高于' else '低于' end || printf('20日均线，RSI14为%.1f，量比约%.2f，动态规则评分为%d分。', rsi14, volume_ratio20, score) as summary from scored")
@@ -224,7 +224,7 @@ def analysis_summary(spark, d):
     return S.dynamic_analysis(bars(spark, d)).select("symbol", "summary")
 
 
-@query(None)
+@query(f"{O.NOTED} select symbol, bullish, bearish from notes")
 def analysis_notes(spark, d):
     return S.dynamic_analysis(bars(spark, d)).select("symbol", F.array_join("bullish", "；").alias("bullish"), F.array_join("bearish", "；").alias("bearish"))
 
@@ -457,7 +457,7 @@ def equity_curve(spark, d):
     f"{O.LEDGER}, {_HIGHS}, src as (select account_id, symbol, max_by(order_id, k) as plan_id from fills where status = 'FILLED' and side = 'BUY' group by 1, 2), "
     "pl as (select order_id as plan_id, round(price * 0.95, 2)::decimal(18,2) as stop_loss, round(price * 1.08, 2)::decimal(18,2) as target_price, case when order_id % 2 = 0 then 'OPEN' else 'ORDERED' end as plan_status from order_feed where side = 'BUY' and order_id % 3 > 0) "
     f"select m.account_id, m.symbol, coalesce(u.name, m.symbol) as name, m.quantity, m.market_value, h.highest_price, round(h.highest_price * 0.96, 4)::decimal(18,4) as trailing_stop_price, stop_loss, target_price, plan_status "
-    f"from marked m left join highs h using (account_id, symbol) left join src using (account_id, symbol) left join pl using (plan_id) left join ({WIDE}) u on u.code = m.symbol"
+    f"from marked m left join highs h using (account_id, symbol) left join src using (account_id, symbol) left join pl using (plan_id) left join ({NAMES}) u on u.symbol = m.symbol"
 )
 def position_details(spark, d):
     """The view with names, plans and trailing stops; two thirds of the orders have a plan."""
@@ -465,8 +465,7 @@ def position_details(spark, d):
     source = fills.where("status = 'FILLED' and side = 'BUY'").groupBy("account_id", "symbol").agg(F.max_by("order_id", F.struct("trade_date", "order_id")).alias("source_plan_id"))
     ladder = price_ladder(F.col("price"))
     plans = orders.select(F.col("order_id").alias("plan_id"), ladder["stop_loss"].alias("stop_loss"), ladder["target1"].alias("target1"), F.when(F.col("order_id") % 2 == 0, "OPEN").otherwise("ORDERED").alias("status"))
-    names = wide_universe(spark, d).select(F.col("code").alias("symbol"), "name")
-    df = L.position_details(marked_positions(spark, d).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names, plans)
+    df = L.position_details(marked_positions(spark, d).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names(spark, d), plans)
     return df.select("account_id", "symbol", "name", "quantity", "market_value", "highest_price", "trailing_stop_price", "stop_loss", "target_price", "plan_status")
 
 
@@ -553,8 +552,12 @@ def buy_gate(spark, d):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from . import record_queries
+
+    return dict(record_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import record_queries
+
+    return {k: SQL[k] for k in record_queries.QUERIES if k in SQL}

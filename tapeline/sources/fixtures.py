@@ -7,6 +7,7 @@ rounded doubles have ties on which engines differ.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SYMBOL = """concat(case cast({key} % 10 as int) when 0 then '000' when 1 then '001' when 2 then '002' when 3 then '601'
                    when 4 then '603' when 5 then '605' when 6 then '300' when 7 then '688' else '600' end,
@@ -48,6 +49,8 @@ select {_SYMBOL.format(key="c_custkey")} as code, c_name as name
 from customer
 """
 
+NAMES = f"select code as symbol, max(name) as name from ({WIDE}) w group by code"
+
 ORDERS = """
 select o_orderkey as order_id, cast(o_custkey % 10 as bigint) as account_id,
        concat('600', lpad(cast((o_orderkey * 7 + o_custkey) % 23 as varchar(10)), 3, '0')) as symbol,
@@ -78,6 +81,11 @@ def wide_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, WIDE, "customer")
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, name of the larger universe, once each."""
+    return wide_universe(spark, sf_dir).groupBy(F.col("code").alias("symbol")).agg(F.max("name").alias("name"))
+
+
 def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, account_id, symbol, side, quantity, price, trade_date."""
     return _from(spark, sf_dir, ORDERS, "orders")

@@ -41,7 +41,7 @@ def stream_bars(stream: DataFrame, folder: str, checkpoint: str, window: int = 9
         new = tail(batch, window)
         touched = [r.month for r in new.select(month.alias("month")).distinct().collect()]  # a few months
         old = read_bars(spark, folder, batch.schema, before=number, months=touched)
-        upsert(old, new, KEYS).withColumn("month", month).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{folder}/version={number}")
+        upsert(old, new, KEYS).withColumn("month", month).repartition("month", F.pmod(F.xxhash64("symbol"), F.lit(16))).write.mode("overwrite").partitionBy("month").parquet(f"{folder}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
