@@ -3,7 +3,7 @@
 A shard is one row of a Parquet table in the shared folder, written and committed by Spark, so a lost or repeated
 task leaves no half shard: ``payload`` holds the ids of its documents as little-endian unsigned 32-bit integers, in
 ascending doc_id order, ``seeds``, ``prints`` and ``places`` are its index, ``bounds`` the offset of each document and
-of the end. Shards close at about ``shard_ids`` ids, and only between different keys.
+of the end. Shards close at about ``shard_ids`` ids, also between rows of one key, so no number of them makes a shard larger.
 
 The index is hash-and-displace: keys are hashed to buckets of about four; from the largest bucket on, each finds a
 pair of a hash turn and a shift that sends its keys to free slots, and the n keys fill n slots. A slot stores a 32-bit
@@ -210,7 +210,7 @@ def _write(path: str, end: int, shard_ids: int):
         for batch in batches:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             for key, one in zip(ids_of(batch.column("doc_id")).tolist(), encoder(path).encode(texts, end), strict=True):
-                if held >= shard_ids and key != ids[-1]:
+                if held >= shard_ids:
                     yield pa.RecordBatch.from_pylist([_shard(part, number, ids, data)], schema)
                     number, ids, data, held = number + 1, [], [], 0
                 ids.append(key)
@@ -226,13 +226,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard
     """Encodes each whole text by the tokenizer file at ``path``, ends it with ``end_id`` and writes shards to
     ``folder``, in ascending doc_id order.
 
-    Null text: the end id alone. Null doc_id: last. Rows of one doc_id are neighbours in one shard, and its key
-    leads to the first. Empty table: no shards. Other columns are ignored.
+    Null text: the end id alone. Null doc_id: last. Rows of one doc_id are neighbours, by a hash of their texts, and may
+    fill several shards and tasks; its key leads to the first of a shard. Empty table: no shards. Other columns are ignored.
     """
     ready(docs)
     docs = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").asc()]
-    shards = docs.repartitionByRange(F.asc_nulls_last("doc_id")).sortWithinPartitions(*order).mapInArrow(_write(path, end_id, shard_ids), SHARD)
+    shards = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_write(path, end_id, shard_ids), SHARD)
     shards.write.option("compression", "zstd").mode("error").parquet(folder)
 
 
@@ -274,7 +274,8 @@ def token_digest(spark, folder: str) -> DataFrame:
 
 def get_tokens(spark, folder: str, keys: list[int]) -> DataFrame:
     """doc_id, ids of a few documents: the range of each shard's keys, which Parquet's statistics hold, leaves the shards that can
-    have a key, and their indexes its place. Absent keys give no row; a key written twice gives its first row."""
+    have a key, and their indexes its place. Absent keys give no row; a key written twice gives its first row. A shard is the
+    least that is read, so the cost of a key is bounded by ``shard_ids``, however large the table is."""
     near = F.lit(False)
     for k in keys:
         near |= (F.col("first_id") <= k) & (F.col("last_id") >= k)
@@ -287,10 +288,12 @@ def get_tokens(spark, folder: str, keys: list[int]) -> DataFrame:
                 place = look_up(own, *[np.frombuffer(row[c], np.uint32) for c in ("seeds", "prints", "places")])
                 own, place = own[place >= 0], place[place >= 0]
                 ids = [np.frombuffer(row["payload"], "<u4", bounds[p + 1] - bounds[p], 4 * bounds[p]).astype(np.int64) for p in place]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
+                at = [[row["part"], row["shard"]]] * len(own)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
     shards = spark.read.schema(SHARD).parquet(folder)
-    return ready(shards) and shards.where(near).mapInArrow(apply, "doc_id long, ids array<long>")
+    found = ready(shards) and shards.where(near).mapInArrow(apply, "doc_id long, at array<int>, ids array<long>")
+    return found.groupBy("doc_id").agg(F.min_by("ids", "at").alias("ids"))
 
 
 def token_store(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = 1 << 20) -> DataFrame:

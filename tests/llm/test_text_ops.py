@@ -148,6 +148,21 @@ def test_get_tokens(spark, tmp_path):
     assert got == {k: t.encode(text[k] or "", add_special_tokens=False).ids + [2] for k in (60, 41, 71)}
 
 
+def test_token_shards_of_one_key(spark, tmp_path):
+    """Many rows of null and of one doc_id still make shards of a bounded size, and a key leads to one row."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k, f"some words {i} of a text", "en", "s", "c", 1) for i in range(400) for k in (None, 7)]
+    folder = f"file://{tmp_path}/tokens"
+    token_store.write_tokens(frame(spark, rows), path, folder, shard_ids=200)
+    shards = spark.read.parquet(folder)
+    assert shards.count() > 10 and shards.agg({"n_ids": "max"}).first()[0] < 250
+    got = token_store.token_digest(spark, folder).collect()
+    assert sorted((r.doc_id is None) for r in got) == [False] * 400 + [True] * 400
+    starts = sorted((r.start, r.n_tokens, r.doc_id is None) for r in got)
+    assert [s for s, _, _ in starts] == [sum(n for _, n, _ in starts[:i]) for i in range(800)] and [x for _, _, x in starts] == [False] * 400 + [True] * 400
+    assert [r.doc_id for r in token_store.get_tokens(spark, folder, [7, 8]).collect()] == [7]
+
+
 def test_byte_bpe(spark):
     rows = awkward() + [(200, "ﬀ 🙂🙂 � naïve'll 12345   \n\n x▁y", "en", "s", "c", 1)]
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
