@@ -4,8 +4,10 @@ A tree node knows the centre c and radius r of its vectors; no inner product wit
 visited by that bound, largest first, and a query stops at the first bound below its current kth score. That score is
 shared: each query first searches one shard, and what it found there is where it starts in all others.
 
-How it scales. Candidates are dealt to shards by a hash, queries to blocks; a task is one block and one shard, so a
-task has bounded rows of both, and every query meets every shard once. Only k rows of a query leave a task.
+How it scales. Candidates are dealt to shards of bounded size by a hash. A task reads a shard's candidates first, builds
+their tree once and then lets the queries pass, a batch at a time, so it holds one shard whatever the number of queries;
+very many queries are dealt to blocks, which bounds a task's time. Every query meets every shard once, and only k rows
+of it leave a task.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .vectors import finite, matrix
 LEAF = 128
 OUT = "query_id long, vec_id long, score long"
 NONE = -(1 << 62)
+KEY = ["dim", "shard", "block"]
 
 
 class BallTree:
@@ -64,50 +67,83 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best scores and ids of each query among the rows of other ids, best first, smaller id first among equals;
-    rows below the query's floor may be left out."""
-    tree = BallTree(rows)
-    big = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    number = np.float64 if big < 1 << 52 else np.int64  # products of doubles are exact up to there
-    points, asked, ids = rows[tree.order].astype(number), queries.astype(number), ids[tree.order]
-    out = []
-    for i, bound in enumerate(tree.bounds(queries)):
-        scores, found, least = np.zeros(0, np.int64), np.zeros(0, np.int64), int(floor[i])
-        heap = [(-bound[0], 0)]
-        while heap:
-            top, node = heapq.heappop(heap)
-            if -top < least:
-                break
-            a, b = tree.kids[node]
-            if a >= 0:
-                heapq.heappush(heap, (-bound[a], a))
-                heapq.heappush(heap, (-bound[b], b))
+class Shard:
+    """Candidates of one length with their tree."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.tree = BallTree(rows)
+        self.rows, self.ids = rows[self.tree.order], ids[self.tree.order]
+        self.largest = int(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+        self.tree.points, self.doubles = None, self.rows.astype(np.float64)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k best scores and ids of each query among the candidates of other ids, best first, smaller id first among
+        equals; candidates below the query's floor may be left out."""
+        exact = int(np.abs(queries).max(initial=0)) * self.largest < 1 << 52  # products of doubles are exact up to there
+        points, asked = (self.doubles, queries.astype(np.float64)) if exact else (self.rows, queries)
+        tree, out = self.tree, []
+        for i, bound in enumerate(tree.bounds(queries)):
+            scores, found, least = np.zeros(0, np.int64), np.zeros(0, np.int64), int(floor[i])
+            heap = [(-bound[0], 0)]
+            while heap:
+                top, node = heapq.heappop(heap)
+                if -top < least:
+                    break
+                a, b = tree.kids[node]
+                if a >= 0:
+                    heapq.heappush(heap, (-bound[a], a))
+                    heapq.heappush(heap, (-bound[b], b))
+                    continue
+                lo, hi = tree.range[node]
+                got = (points[lo:hi] @ asked[i]).astype(np.int64)
+                keep = (got >= least) & (self.ids[lo:hi] != own[i])
+                if keep.any():
+                    scores, found = _best(np.concatenate((scores, got[keep])), np.concatenate((found, self.ids[lo:hi][keep])), k)
+                    if len(scores) == k:
+                        least = max(least, int(scores[-1]))
+            out.append((scores, found))
+        return out
+
+
+def _search(k: int):
+    def apply(batches):
+        """Rows come by key, the candidates of a key before its queries."""
+        key, rows, shard = None, [], None
+        for batch in batches:
+            marks = np.column_stack([batch.column(c).to_numpy() for c in (*KEY, "asked")])
+            if not len(marks):
                 continue
-            lo, hi = tree.range[node]
-            got = (points[lo:hi] @ asked[i]).astype(np.int64)
-            keep = (got >= least) & (ids[lo:hi] != own[i])
-            if keep.any():
-                scores, found = _best(np.concatenate((scores, got[keep])), np.concatenate((found, ids[lo:hi][keep])), k)
-                if len(scores) == k:
-                    least = max(least, int(scores[-1]))
-        out.append((scores, found))
-    return out
-
-
-def _task(k: int):
-    def task(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        if not queries.num_rows or not rows.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        own = queries["vec_id"].to_numpy()
-        got = search(matrix(queries["v"], np.int64), own, queries["floor"].to_numpy(), matrix(rows["v"], np.int64), rows["vec_id"].to_numpy(), k)
-        n = [len(s) for s, _ in got]
-        return pa.table({"query_id": np.repeat(own, n), "vec_id": np.concatenate([i for _, i in got]), "score": np.concatenate([s for s, _ in got])})
-
-    return task
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
+            first = np.flatnonzero(np.concatenate(([True], (marks[1:] != marks[:-1]).any(axis=1))))
+            for a, b in zip(first, [*first[1:], len(marks)], strict=True):
+                part, *at, asked = batch.slice(a, b - a), *marks[a]
+                if at != key:
+                    key, rows, shard = at, [], None
+                if not asked:
+                    rows.append(part)
+                    continue
+                if rows:
+                    whole = pa.Table.from_batches(rows)
+                    shard, rows = Shard(matrix(whole["v"], np.int64), whole["vec_id"].to_numpy()), []
+                if shard is None:
+                    continue  # no candidates of this length
+                part = pa.Table.from_batches([part])
+                own = part["vec_id"].to_numpy()
+                got = shard.search(matrix(part["v"], np.int64), own, part["floor"].to_numpy(), k)
+                n = [len(s) for s, _ in got]
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(own, n), "vec_id": np.concatenate([i for _, i in got]), "score": np.concatenate([s for s, _ in got])})
+
+    return apply
+
+
+def _meet(candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best candidates of each query in the shards that it is sent to."""
+    columns = [*KEY, "asked", "vec_id", "v", "floor"]
+    both = candidates.withColumns({"asked": F.lit(0), "floor": F.lit(NONE).cast("long")}).select(*columns)
+    both = both.unionByName(asked.withColumn("asked", F.lit(1)).select(*columns))
+    return both.repartition(*KEY).sortWithinPartitions(*KEY, "asked").mapInArrow(_search(k), OUT)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = 16384, block_rows: int = 1 << 17) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of largest integer inner product, ties to smaller vec_id.
 
     Components become floor(scale * x). Vectors that are null or hold null, NaN or infinite components, and rows without
@@ -119,15 +155,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = pick(vectors, vec_id="vec_id", embedding="embedding").select(F.col("vec_id").cast("long"), "embedding")
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = cut(rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v"), F.size("embedding").alias("dim")))
-    # names of its own, as the two sides of a cogroup must not share columns
-    asked = rows.where(is_query).distinct().select(*[F.col(c).alias(c) for c in rows.columns])
+    asked = rows.where(is_query).distinct()
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
     hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    key = ["dim", "shard", "block"]
-    candidates = rows.withColumn("shard", hashed(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy(*key)
+    candidates = rows.withColumn("shard", hashed(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("block", hashed(blocks)).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    first = asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(NONE).cast("long"))
-    home = cut(first.groupBy(*key).cogroup(candidates).applyInArrow(_task(k), OUT))
+    home = cut(_meet(candidates, asked.withColumns({"shard": F.col("home"), "floor": F.lit(NONE).cast("long")}), k))
     if shards > 1:
         kth = home.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("kth"))
         others = (
@@ -136,6 +169,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
             .where("shard <> home")
         )
-        home = home.unionByName(others.groupBy(*key).cogroup(candidates).applyInArrow(_task(k), OUT))
+        home = home.unionByName(_meet(candidates, others, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
