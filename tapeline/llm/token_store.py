@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -100,17 +101,29 @@ def look_up(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, places: np.
 #: Runs of letters and digits, and of other ASCII characters, in text whose ASCII letters are lower case.
 RUNS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 BAR = b"|"
+#: How the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
 CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
 
 
+def lower(run: bytes) -> str:
+    """A run as the tokenizer's normalizer has it, which may take a character apart."""
+    return unicodedata.normalize("NFC", run.decode()).lower()
+
+
 def plain(run: bytes) -> bool:
-    """Whether a run's ids don't depend on its neighbours: its characters are all letters or digits, in lower case
+    """Whether a run's ids don't depend on its neighbours: its characters are all letters or digits, when normalised
     too, or all ASCII punctuation. Other characters could join the punctuation beside them."""
     if run[0] >= 0x80 or run[:1].isalnum():
-        return run.isascii() or (text := run.decode()).isalnum() and text.lower().isalnum()
+        return run.isascii() or run.decode().isalnum() and lower(run).isalnum()
     return not CONTROL.search(run)
 
 
+def letters(run: bytes) -> bool:
+    """Whether a run is one word to the tokenizer."""
+    return run.isalpha() if run.isascii() else run.decode().isalpha() and lower(run).isalpha()
+
+
 class Encoder:
     """Ids of whole texts, from those of their runs; the ids of runs already seen are kept, in a table of bounded size.
 
@@ -129,6 +142,9 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.unsafe: set[bytes] = set()  # of runs
         (self.bar,) = self._ids(BAR)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.final[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -140,27 +156,46 @@ class Encoder:
                 self.unsafe.clear()
         if by_run:
             self.unsafe.update(x for x in parts if not plain(x))
-        # many parts are one text, with a bar between them; those that have a bar themselves are texts of their own
-        together = [x for x in parts if BAR not in x]
-        for i in range(0, len(together), 4096):
-            some = together[i : i + 4096]
+        # many parts are one text: words one after the other, as the last id of a word tells where it ends
+        words = [x for x in parts if letters(x)]
+        others = parts.difference(words)
+        for some in (words[i : i + 4096] for i in range(0, len(words), 4096)):
+            ids = self._ids(b" ".join(some))
+            if not self._cut(memo, some, ids, *self._places(ids)):
+                others.update(some)
+        # and other parts with a bar between them; those that have a bar themselves are texts of their own
+        barred = [x for x in others if BAR not in x]
+        for some in (barred[i : i + 4096] for i in range(0, len(barred), 4096)):
             ids = self._ids(b" | ".join(some))
-            cut = 4 * np.flatnonzero(ids == self.bar)
-            data = ids.tobytes()
-            memo.update((x, data[a:b]) for x, a, b in zip(some, [0, *(cut + 4)], [*cut, len(data)], strict=True))
-        memo.update((x, self._ids(x).tobytes()) for x in parts if BAR in x)
+            bars = np.flatnonzero(ids == self.bar)
+            if not self._cut(memo, some, ids, np.append(0, bars + 1), np.append(bars, len(ids))):
+                raise ValueError("the tokenizer doesn't keep words apart")
+        memo.update((x, self._ids(x).tobytes()) for x in others if BAR in x)
+
+    def _places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word of a text starts and ends among its ids."""
+        ends = np.flatnonzero(self.final[ids]) + 1
+        return np.append(0, ends[:-1]), ends
+
+    @staticmethod
+    def _cut(memo: dict[bytes, bytes], parts: list[bytes], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        if len(end) != len(parts):
+            return False
+        data = ids.tobytes()
+        memo.update(zip(parts, map(data.__getitem__, map(slice, (4 * start).tolist(), (4 * end).tolist())), strict=True))
+        return True
 
     def _by(self, memo: dict[bytes, bytes], split: list[list[bytes]], by_run: bool) -> list[bytes | None]:
         """The ids of split texts; None for one with a run that isn't plain."""
         known = memo.get
         ids = [list(map(known, parts)) for parts in split]
-        missing = {p for parts, own in zip(split, ids, strict=True) for p, x in zip(parts, own, strict=True) if x is None}
+        missing = {p for parts, own in zip(split, ids, strict=True) if None in own for p, x in zip(parts, own, strict=True) if x is None}
         if missing:
             if len(memo) + len(missing) > MEMO:  # the table starts anew, with these texts' parts
-                missing, ids = set().union(*split), [[None] * len(parts) for parts in split]
+                missing = set().union(*split)
             self._learn(memo, missing, by_run)
             new = memo.__getitem__
-            ids = [[new(p) if x is None else x for p, x in zip(parts, own, strict=True)] for parts, own in zip(split, ids, strict=True)]
+            ids = [map(new, parts) if None in own else own for parts, own in zip(split, ids, strict=True)]
         bad = self.unsafe if by_run else ()
         return [None if bad and not bad.isdisjoint(parts) else b"".join(own) for parts, own in zip(split, ids, strict=True)]
 

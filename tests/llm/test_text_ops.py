@@ -137,6 +137,18 @@ def test_token_store(spark):
     assert token_store.token_store(frame(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("memo", [60, 600_000])
+def test_encoder(memo, monkeypatch):
+    """Characters that normalisation takes apart, joins or gives another class; a table that starts anew; words and other runs."""
+    monkeypatch.setattr(token_store, "MEMO", memo)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    t = Tokenizer.from_file(path)
+    some = "abZ09 .,!?'|<>-\n\t\x01\x7f" + "é\u0130\u212a\ufb1d\u05d9\u05b4\u0301\u1100\u1161\u11a8\u4e00\xbd\u2160\u3000\u200b\xdf\u03a3\u03c2\u0345\U0001d165\u0958"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    got = token_store.Encoder(path).encode([x.encode() for x in texts], 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
 def test_get_tokens(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = awkward()
