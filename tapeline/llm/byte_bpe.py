@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, ready
 
-MEMO = 300_000
+MEMO = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -80,11 +80,12 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.map = {b: c for b, c in enumerate(byte_characters())}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.same = list(range(len(self.tokens) + 1)).__getitem__  # one object for each id, however many entries hold it
 
     def _match(self, part: str) -> tuple[int, ...]:
         data = part.encode()
         whole = self.ids.get(data)
-        ids = (whole,) if whole is not None else tuple(self.model.encode(data.decode("latin-1").translate(self.map)))
+        ids = (whole,) if whole is not None else tuple(map(self.same, self.model.encode(data.decode("latin-1").translate(self.map))))
         if len(self.memo) >= MEMO:
             self.memo.clear()
         if len(part) < 64:
