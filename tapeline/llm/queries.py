@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, language_id, mixing, simhash, substring_dedup, suffix_dedup, token_store, topk_search, whitening
+from . import byte_bpe, embedding_dedup, html_text, language_id, mixing, packing, simhash, substring_dedup, suffix_dedup, token_store, topk_search, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_html_text(spark, sf_dir):
     return html_text.html_text(table(spark, sf_dir, "pages"))
 
 
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
 def op13_whitening(spark, sf_dir):
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=16, scale=64, shift=1_000_000)
     return found.withColumn("deviation", F.col("deviation").cast("long"))
