@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, language_id, mixing, packing, simhash, substring_dedup, suffix_dedup, token_store, topk_search, whitening
+from . import alignment, byte_bpe, embedding_dedup, html_text, language_id, mixing, packing, simhash, substring_dedup, suffix_dedup, token_store, topk_search, whitening
 from .common import table
 
 
@@ -52,6 +52,12 @@ def op10_html_text(spark, sf_dir):
     return html_text.html_text(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op12_best_fit_packing(spark, sf_dir):
     return packing.packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
