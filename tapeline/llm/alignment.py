@@ -15,7 +15,9 @@ What goes through the driver is a line for each shard and, for each id of the fi
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -27,8 +29,16 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_characters
 from .common import cut, pick, ready, shared_dir
 
-GROUP_BYTES = 1 << 22  # so many bytes of text are aligned at once, or one text
+GROUP_BYTES = 1 << 19  # so many bytes of text are aligned at once, or one text
 HELD_KEYS = 1 << 20  # so many different keys are counted in a task before they are passed on
+MEMO = 400_000  # so many segments' ids are kept in a process
+LONGEST = 64  # of so many characters at most
+#: A segment starts with spaces and ends before a space that no white space precedes. Neither tokenizer joins it to the next one.
+SEGMENTS = re.compile(r" *(?:\S+|[^\S ] *)+| +")
+#: Python counts these as white space and the pattern of the first tokenizer doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: A model that gives these back byte by byte changes no text before it splits it.
+PROBES = ["  two  spaces ", "\t\n \r\n", "ﬁ ① e\u0301 \u1112\u1161\u11ab ½", "A\u00a0\u3000B\u200b"]
 
 
 class Vocabularies:
@@ -48,6 +58,8 @@ class Vocabularies:
         for token, i in known.items():
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+        self.segmented = self._segmented()
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         self.type_a, self.type_b = (np.dtype("<u2" if len(own) <= 1 << 16 else "<u4") for own in (self.bytes_a, self.bytes_b))
         # the ids of A with what may follow them, then those of B
@@ -58,16 +70,79 @@ class Vocabularies:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids of each text by both; none if the text is empty or either loses or changes bytes."""
-        plain = [x.decode("utf-8", "replace") for x in texts]
-        by_a = self.a.encode_batch_fast([" " + x for x in plain], add_special_tokens=False)
-        by_b = self.b.encode(plain, num_threads=1)
+    def _segmented(self) -> bool:
+        """Whether both tokenizers encode a text segment by segment: the first one has the pattern of byte-level BPE, the second changes
+        nothing, and none of its pieces has a space but at its start."""
+        state = json.loads(self.a.to_str())
+        plain = state["normalizer"] is None and state["model"]["type"] == "BPE" and state["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        apart = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
+        return plain and apart and all(b"".join(self.bytes_b[i] for i in self.b.encode(x)) == b" " + x.encode() for x in PROBES)
+
+    def _ids(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of strings by both, with a space before each; None where bytes change."""
+        by_a = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
+        by_b = self.b.encode(texts, num_threads=1)
         out = []
         for text, a, b in zip(texts, by_a, by_b, strict=True):
-            ids, own = a.ids, b" " + text
-            same = text and b"".join(map(self.bytes_a.__getitem__, ids)) == own and b"".join(map(self.bytes_b.__getitem__, b)) == own
-            out.append((np.array(ids, self.type_a).tobytes(), np.array(b, self.type_b).tobytes()) if same else (b"", b""))
+            a, own = a.ids, b" " + text.encode()
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == own and b"".join(map(self.bytes_b.__getitem__, b)) == own
+            out.append((np.array(a, self.type_a).tobytes(), np.array(b, self.type_b).tobytes()) if same else None)
+        return out
+
+    def _learn(self, segments: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """The ids of segments. Many are one text, which is cut where they end; those that end with white space could join the next."""
+        closed = [x for x in segments if not x[-1].isspace()]
+        found: dict[str, tuple[bytes, bytes] | None] = {}
+        for i in range(0, len(closed), 4096):
+            found |= self._cut(closed[i : i + 4096])
+        rest = [x for x in segments if x not in found]
+        found |= dict(zip(rest, self._ids([x[1:] for x in rest]), strict=True))
+        short = {x: y for x, y in found.items() if len(x) <= LONGEST}
+        if len(self.memo) + len(short) > MEMO:
+            self.memo.clear()
+        self.memo.update(short)
+        return found
+
+    def _cut(self, segments: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The ids of segments, from those of all of them as one text; nothing if that changes bytes."""
+        both = self._ids(["".join(segments)[1:]])[0]
+        if both is None:
+            return {}
+        ends = np.cumsum([len(x.encode()) for x in segments])
+        parts = []
+        for data, kind, size in zip(both, (self.type_a, self.type_b), (self.size_a, self.size_b), strict=True):
+            bounds = kind.itemsize * np.searchsorted(np.cumsum(size[np.frombuffer(data, kind)]), ends, side="right")
+            parts.append(map(data.__getitem__, map(slice, [0, *bounds[:-1].tolist()], bounds.tolist())))
+        return dict(zip(segments, zip(*parts, strict=True), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids of each text by both; none if the text is empty, isn't UTF-8, or either loses or changes bytes."""
+        out: list[tuple[bytes, bytes] | None] = [None] * len(texts)
+        whole, split = [], {}
+        for i, data in enumerate(texts):
+            try:
+                text = data.decode()
+            except UnicodeDecodeError:
+                text = ""
+            if not text:
+                out[i] = b"", b""
+            elif self.segmented and not SEPARATORS.search(text):
+                split[i] = SEGMENTS.findall(" " + text)
+            else:
+                whole.append(i)
+        known = {i: list(map(self.memo.get, parts)) for i, parts in split.items()}
+        missing = {x for i, own in known.items() if None in own for x, y in zip(split[i], own, strict=True) if y is None}
+        new = self._learn(missing) if missing else {}
+        for i, own in known.items():
+            if None in own:
+                own = [new[x] if y is None else y for x, y in zip(split[i], own, strict=True)]
+            if None in own:  # a segment changes; the text as a whole decides
+                whole.append(i)
+            else:
+                a, b = zip(*own, strict=True)
+                out[i] = b"".join(a), b"".join(b)
+        for i, own in zip(whole, self._ids([texts[i].decode() for i in whole]), strict=True):
+            out[i] = own or (b"", b"")
         return out
 
 
