@@ -61,6 +61,31 @@ select o_orderkey as order_id, cast(o_custkey % 10 as bigint) as account_id,
 from orders
 """
 
+_EVENT = "cast({order} as bigint) as order_id, cast({plan} as bigint) as plan_id, {symbol} as symbol, {side} as side, cast({quantity} as int) as quantity, cast({price} as decimal(18,4)) as price, cast({latest} as decimal(18,4)) as latest, cast({stop} as decimal(18,4)) as stop_loss, cast({target} as decimal(18,4)) as target_price, cast({weight} as decimal(8,4)) as weight"
+
+
+def _event(kind: str, stage: int, day: str, where: str, **values: str) -> str:
+    none = dict.fromkeys(("order", "plan", "quantity", "price", "latest", "stop", "target", "weight"), "null") | dict.fromkeys(("symbol", "side"), "cast(null as varchar(10))")
+    return f"select account_id, {day} as day, {stage} as stage, order_id as k, '{kind}' as kind, {_EVENT.format(**none | values)} from f where {where}"
+
+
+#: What becomes of the feed's orders: a third come from plans, most are confirmed days later, some cancelled, some plans too.
+EVENTS = f"""
+with f as ({ORDERS}), e as (
+  {" union all ".join([
+    _event("PLAN", 1, "trade_date", "order_id % 3 = 0", plan="order_id", symbol="symbol", price="case when order_id % 11 = 0 then 0 else price end", stop="round(price * 0.95, 4)", target="round(price * 1.08, 4)", weight="case when order_id % 13 = 0 then 0 else 0.0001 * (order_id % 2000) end"),
+    _event("ORDER", 2, "trade_date", "order_id % 3 <> 0", order="order_id", symbol="symbol", side="side", quantity="quantity", price="case when order_id % 41 = 0 then 0 else price end"),
+    _event("PLAN_ORDER", 2, "trade_date + 1", "order_id % 3 = 0 and order_id % 4 <> 1", order="order_id", plan="order_id", quantity="case when order_id % 5 = 1 then quantity end", price="case when order_id % 5 = 2 then price end", latest="price"),
+    _event("CONFIRM", 3, "trade_date + cast(1 + order_id % 4 as int)", "order_id % 7 < 5", order="order_id"),
+    _event("CANCEL", 4, "trade_date + cast(1 + order_id % 9 as int)", "order_id % 7 >= 4", order="order_id"),
+    _event("CANCEL_PLAN", 5, "trade_date + 2", "order_id % 3 = 0 and order_id % 10 >= 7", plan="order_id"),
+    _event("MARK", 6, "trade_date + 5", "order_id % 3 = 1", symbol="symbol", price="round(price * 1.02, 4)"),
+  ])}
+)
+select account_id, row_number() over (partition by account_id order by day, stage, k) as seq, day, kind, order_id, plan_id, symbol, side, quantity, price, latest, stop_loss, target_price, weight
+from e
+"""
+
 
 def _from(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"from {name}", f"from {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
@@ -89,3 +114,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, account_id, symbol, side, quantity, price, trade_date."""
     return _from(spark, sf_dir, ORDERS, "orders")
+
+
+def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of accounts in order, see ``operators.events``."""
+    return _from(spark, sf_dir, EVENTS, "orders")
