@@ -65,9 +65,11 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 def keyed(df: DataFrame, key: str) -> DataFrame:
     """Adds a key of each row's content: rows of one key are equal in all columns, but for a chance of 2^-64 per pair.
 
-    It needs no order, so it is the same at each reading, also where doc_id is null or repeated.
+    It needs no order, so it is the same at each reading, also where doc_id is null or repeated. Columns that hold maps or variants,
+    which have no hash, count by their JSON. Names are those of the frame, without dots or twins.
     """
-    parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashed = lambda c, kind: F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c)
+    parts = [x for c, kind in df.dtypes for x in (hashed(c, kind), F.col(c).isNull())]
     return df.withColumn(key, F.xxhash64(*parts))
 
 

@@ -83,3 +83,30 @@ def test_odd_ids(spark):
     assert texts <= {(i, w) for i, t in unique for w in t.split()}
     total = sum(len(t.split()) for _, t in unique)
     assert abs(sum(len(r.text.split()) for r in four) - total) <= 0.15 * total and {r.doc_id for r in four} >= {None, 3, 4}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _whole int, _pieces string, _copy int, _row_key long, row_key string, `a.b` string, c1 string, copy string, m map<string,int>, TEXT string, whole int, pieces string"
+
+
+@pytest.mark.parametrize("stage", ["language", "near_duplicates", "repeated_bytes", "mixed"])
+def test_clashing_columns(spark, stage):
+    """Columns named like those that stages use, with dots, twins by case, and a map come out as they went in."""
+    rng = random.Random(2)
+    lang = {"en": "the of and to in that with for", "de": "der die und das nicht mit für von"}
+    more = lambda i: (i, "p", 7, -i, f"k{i}", f"a{i}", "c", "d", {"x": i, "y": 1}, "upper", 3, "q")
+    rows = [(i, " ".join(rng.choices(lang[x].split(), k=60)) + f" {i}", x, "s", 5, *more(i)) for i in range(40) for x in [("en", "de")[i % 2]]]
+    rows += [(None, rows[0][1], None, None, None, *more(99)), (50, None, "en", None, None, *more(50)), rows[3], (51, "", "en", "s", 0, *[None] * 12)]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = spark.createDataFrame(rows, ODD).repartition(3)
+        got = getattr(C, stage)(spark, docs, None)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+        found = got.collect()
+        extra = {repr(r[5:]) for r in docs.collect()}
+        assert found and {repr(r[5:]) for r in found} <= extra
+        if stage == "repeated_bytes":
+            assert all(r.n_chars == len(r.text) for r in found)
+        assert getattr(C, stage)(spark, docs.drop("n_chars"), None).count() == len(found)
+        assert getattr(C, stage)(spark, docs.where("false"), None).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
