@@ -36,17 +36,17 @@ with recursive ev as (
     []::struct(id bigint, symbol varchar, status varchar, price bigint, weight bigint)[] as plans,
     []::struct(id bigint, symbol varchar, side varchar, quantity bigint, price bigint, net bigint, gross bigint, plan bigint)[] as orders,
     []::struct(symbol varchar, quantity bigint, free bigint, cost bigint, price bigint, bought date, plan bigint)[] as pos,
-    null::varchar as kind, null::bigint as order_id, null::bigint as plan_id, null::varchar as symbol, null::varchar as reason, null::varchar as order_status, null::varchar as plan_status, ''::varchar as also_cancelled,
+    null::date as day, null::varchar as kind, null::bigint as order_id, null::bigint as plan_id, null::varchar as symbol, null::varchar as reason, null::varchar as order_status, null::varchar as plan_status, ''::varchar as also_cancelled,
     null::bigint as quantity, null::bigint as price, 0::bigint as net, 0::bigint as realized, 0::bigint as value
   from ev
   union all
   select account_id, seq, cash, frozen, realized_pnl, fees,
     list_filter(plans, lambda x: not (coalesce(x.id = about_plan, false) and x.status in ('CLOSED', 'CANCELLED') and len(list_filter(orders, lambda o: o.plan = x.id)) = 0 and len(list_filter(ps, lambda p: p.plan = x.id)) = 0)),
-    orders, ps, kind, order_id, about_plan, about, reason,
+    orders, ps, day, kind, order_id, about_plan, about, reason,
     case when reason is null and kind in ('ORDER', 'PLAN_ORDER') or kind = 'CONFIRM' and reason is not null and ord is not null then 'PENDING_CONFIRM' when {_DONE} = 'CONFIRM' then 'FILLED' when {_DONE} = 'CANCEL' then 'CANCELLED' end,
     list_filter(plans, lambda x: x.id = about_plan)[1].status, gone, q, pr, net, gain, {_VALUE}
   from (
-    select account_id, seq, kind, order_id, about, about_plan, reason, ord, q, pr, out_net as net, gain,
+    select account_id, seq, day, kind, order_id, about, about_plan, reason, ord, q, pr, out_net as net, gain,
       (cash + case when {_DONE} = 'CONFIRM' then case when side = 'BUY' then -net else net end else 0 end)::bigint as cash,
       greatest(0, frozen + case when {_DONE} in ('ORDER', 'PLAN_ORDER') and side = 'BUY' then net when {_DONE} in ('CONFIRM', 'CANCEL') and side = 'BUY' then -net
         when {_DONE} = 'CANCEL_PLAN' then -coalesce(list_sum(list_transform(list_filter(orders, lambda o: o.plan = plan_id), lambda o: o.net)), 0) else 0 end)::bigint as frozen,
@@ -113,9 +113,9 @@ with recursive ev as (
     )
   )
 ), outcomes as (
-  select account_id, seq, kind, order_id, plan_id, symbol, reason, order_status, plan_status, also_cancelled, case when reason in ('NO_PLAN', 'PLAN_STATE', 'NO_PRICE', 'BELOW_LOT') then null else quantity end::int as quantity,
+  select account_id, seq, day, kind, order_id, plan_id, symbol, reason, order_status, plan_status, also_cancelled, case when reason in ('NO_PLAN', 'PLAN_STATE', 'NO_PRICE', 'BELOW_LOT') then null else quantity end::int as quantity,
     case when reason in ('NO_PLAN', 'PLAN_STATE', 'NO_PRICE', 'BELOW_LOT') then null else (price * 0.0001)::decimal(18,4) end as price,
     (net * 0.01)::decimal(20,2) as net, (realized * 0.01)::decimal(20,2) as realized, (cash * 0.01)::decimal(20,2) as cash, (frozen * 0.01)::decimal(20,2) as frozen_cash, (realized_pnl * 0.01)::decimal(20,2) as realized_pnl,
-    (fees * 0.01)::decimal(20,2) as total_fees, ((cash + value) * 0.01)::decimal(20,2) as total_asset, len(pos)::int as positions
+    (fees * 0.01)::decimal(20,2) as total_fees, (value * 0.01)::decimal(20,2) as market_value, ((cash + value) * 0.01)::decimal(20,2) as total_asset, len(pos)::int as positions
   from r where seq > 0
 )"""

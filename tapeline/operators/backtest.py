@@ -1,12 +1,15 @@
-"""Back-tests: signals, exits and trades as joins and windows, with one small ordered fold of capital per symbol."""
+"""Back-tests: signals, exits and trades as joins and windows, with an ordered fold of capital per symbol."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
 from .indicators import by_date, last, numbered, tail
 
 D = "decimal(28,8)"
@@ -68,33 +71,44 @@ def backtest_exits(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return chosen.select("symbol", "signal_n", "signal_date", "entry_date", "entry", F.col("x.n").alias("exit_n"), F.col("x.exit_date").alias("exit_date"), why.alias("reason"), price.cast(D).alias("exit_price"))
 
 
+_TRADE = {
+    "symbol": ("string", pa.string()), "n": ("int", pa.int32()), "entry_date": ("date", pa.date32()), "exit_date": ("date", pa.date32()), "entry": ("decimal(18,4)", pa.decimal128(18, 4)), "exit_price": (D, pa.decimal128(28, 8)),
+    "reason": ("string", pa.string()), "quantity": ("long", pa.int64()), **{c: (D, pa.decimal128(28, 8)) for c in ("pnl", "capital", "peak")},
+}
+
+
+def _to_eight(value: Decimal) -> Decimal:
+    return value.quantize(Decimal("0.00000001"), ROUND_HALF_UP)
+
+
+class _Capital:
+    """Capital from trade to trade, and its highest value."""
+
+    def __init__(self, rules: Rules):
+        self.rules, self.capital = rules, Decimal(rules.capital)
+        self.peak = self.capital
+
+    def trade(self, leg: dict) -> list[dict]:
+        """A fifth of the capital in whole lots, if that buys one."""
+        lots = _to_eight(self.capital * Decimal("0.20")) // (leg["entry"] * 100)
+        if lots < 1:
+            return []
+        quantity = int(lots) * 100
+        buy, sell = leg["entry"] * quantity, leg["exit_price"] * quantity
+        pnl = sell - buy - _to_eight((buy + sell) * Decimal(self.rules.commission)) - _to_eight(sell * Decimal(self.rules.stamp))
+        self.capital += pnl
+        self.peak = max(self.peak, self.capital)
+        own = {c: leg[c] for c in ("symbol", "entry_date", "exit_date", "entry", "exit_price", "reason")}
+        return [own | {"n": leg["signal_n"], "quantity": quantity, "pnl": pnl, "capital": self.capital, "peak": self.peak}]
+
+
 def backtest_trades(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The trades of each symbol with quantity, pnl and the capital after it.
 
-    Only the chain quantity, capital is sequential; it is folded over the symbol's few signals, in order.
+    Only the chain of quantity and capital is sequential; it is a fold over the symbol's signals, which stream by in order.
     """
     exits = backtest_exits(bars, rules)
-    legs = exits.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("signal_n", "entry_date", "exit_date", "entry", "exit_price", "reason"))).alias("legs"))
-    start = F.lit(rules.capital).cast(D)
-    kind = "array<struct<n:int,entry_date:date,exit_date:date,entry:decimal(18,4),exit_price:decimal(28,8),reason:string,quantity:bigint,pnl:decimal(28,8),capital:decimal(28,8),peak:decimal(28,8)>>"
-    zero = F.struct(start.alias("capital"), start.alias("peak"), F.array().cast(kind).alias("done"))
-
-    def step(acc: Column, leg: Column) -> Column:
-        lots = F.floor((acc["capital"] * F.lit("0.20").cast("decimal(4,2)")).cast(D) / (leg["entry"] * 100).cast("decimal(24,4)"))
-        quantity = (lots * 100).cast("bigint")
-        buy, sell = (leg["entry"] * quantity).cast(D), (leg["exit_price"] * quantity.cast("decimal(12,0)")).cast(D)
-        cost = ((buy + sell) * _d(rules.commission)).cast(D) + (sell * _d(rules.stamp)).cast(D)
-        pnl = (sell - buy - cost).cast(D)
-        capital = (acc["capital"] + pnl).cast(D)
-        peak = F.greatest(acc["peak"], capital).cast(D)
-        row = F.struct(
-            leg["signal_n"].alias("n"), leg["entry_date"].alias("entry_date"), leg["exit_date"].alias("exit_date"), leg["entry"].alias("entry"), leg["exit_price"].alias("exit_price"),
-            leg["reason"].alias("reason"), quantity.alias("quantity"), pnl.alias("pnl"), capital.alias("capital"), peak.alias("peak"),
-        )
-        after = F.struct(capital.alias("capital"), peak.alias("peak"), F.concat(acc["done"], F.array(row)).cast(kind).alias("done"))
-        return F.when(lots < 1, acc).otherwise(after)
-
-    folded = legs.select("symbol", F.explode(F.aggregate("legs", zero, step)["done"]).alias("t")).select("symbol", "t.*")
+    folded = fold_sorted(exits, ["symbol"], ["signal_n"], lambda _: _Capital(rules), _Capital.trade, _TRADE)
     share = F.round((F.col("peak") - F.col("capital")).cast("double") / F.col("peak").cast("double"), 6)
     return folded.withColumns({"trade_return": F.round(F.col("pnl").cast("double") / (F.col("entry") * F.col("quantity")).cast("double"), 6), "drawdown": share})
 

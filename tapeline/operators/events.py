@@ -30,10 +30,9 @@ EVENT = "account_id long, seq long, day date, kind string, order_id long, plan_i
 _SCALED = {"price": 10_000, "latest": 10_000, "stop_loss": 10_000, "target_price": 10_000, "weight": 10_000}
 _MONEY = ("net", "realized", "cash", "frozen_cash", "market_value", "realized_pnl", "total_fees")
 OUTCOME = {
-    **{c: ("long", pa.int64()) for c in ("account_id", "seq")}, "kind": ("string", pa.string()), **{c: ("long", pa.int64()) for c in ("order_id", "plan_id")}, "symbol": ("string", pa.string()),
+    **{c: ("long", pa.int64()) for c in ("account_id", "seq")}, "day": ("date", pa.date32()), "kind": ("string", pa.string()), **{c: ("long", pa.int64()) for c in ("order_id", "plan_id")}, "symbol": ("string", pa.string()),
     **{c: ("string", pa.string()) for c in ("reason", "order_status", "plan_status", "also_cancelled")}, **{c: ("long", pa.int64()) for c in ("quantity", "price", *_MONEY, "positions")},
 }
-DAY = {"day": ("date", pa.date32())}
 
 
 def half_up(value: int, unit: int) -> int:
@@ -116,7 +115,7 @@ class Account:
         for symbol, own in self.positions.items():
             if own.bought < e["day"]:  # shares bought on a day are free from the next one on, but for those in waiting sales
                 own.free = own.quantity - sum(o.quantity for o in self.waiting(symbol, "SELL"))
-        done = {c: e[c] for c in ("account_id", "seq", "kind", "order_id", "plan_id", "symbol", "quantity", "price")}
+        done = {c: e[c] for c in ("account_id", "seq", "day", "kind", "order_id", "plan_id", "symbol", "quantity", "price")}
         done |= {"net": 0, "realized": 0, "reason": None, "order_status": None, "also_cancelled": ""}
         done["reason"] = {"PLAN": self._plan, "ORDER": self._order, "PLAN_ORDER": self._plan_order, "CONFIRM": self._confirm, "CANCEL": self._cancel, "CANCEL_PLAN": self._cancel_plan, "MARK": self._mark}[e["kind"]](e, done)
         plan = self.plans.get(done["plan_id"])
@@ -288,3 +287,25 @@ def ledger_in_order(events: DataFrame, capital: int = CAPITAL, max_positions: in
     nothing changed. also_cancelled lists the waiting orders that went with a plan. A plan that was cancelled or closed is no more once nothing names it.
     """
     return unscaled(fold_sorted(scaled(events), ["account_id"], ["seq"], lambda _: Account(capital, max_positions, max_weight), Account.apply, OUTCOME))
+
+
+def order_states(outcomes: DataFrame) -> DataFrame:
+    """account_id, order_id, status of every order that was ever accepted: that of its last event, or CANCELLED with its plan."""
+    own = outcomes.where("order_status is not null").select("account_id", "order_id", "seq", F.col("order_status").alias("status"))
+    gone = outcomes.where("also_cancelled <> ''").select("account_id", F.explode(F.split("also_cancelled", ",").cast("array<bigint>")).alias("order_id"), "seq", F.lit(CANCELLED).alias("status"))
+    return own.unionByName(gone).groupBy("account_id", "order_id").agg(F.max_by("status", "seq").alias("status"))
+
+
+def plan_states(outcomes: DataFrame) -> DataFrame:
+    """account_id, plan_id, symbol, status of every plan: that of the last event which concerned it."""
+    own = outcomes.where("plan_status is not null")
+    return own.groupBy("account_id", "plan_id").agg(F.max_by("symbol", "seq").alias("symbol"), F.max_by("plan_status", "seq").alias("status"))
+
+
+def daily_snapshots(outcomes: DataFrame, capital: str = "1000000") -> DataFrame:
+    """A row for each account and day with events, as its last event of the day left it: cash, frozen_cash, available_cash, market_value,
+    total_asset, realized_pnl, total_return, positions. A later run of the same day replaces it (``merge.upsert`` by account_id, day)."""
+    state = F.max_by(F.struct("cash", "frozen_cash", "market_value", "total_asset", "realized_pnl", "positions"), "seq")
+    df = outcomes.groupBy("account_id", "day").agg(state.alias("s")).select("account_id", "day", "s.*")
+    start = F.lit(capital).cast("decimal(20,2)")
+    return df.withColumns({"available_cash": (F.col("cash") - F.col("frozen_cash")).cast("decimal(20,2)"), "total_return": F.round(((F.col("total_asset") - start) / start).cast("decimal(28,12)"), 8).cast("decimal(18,8)")})

@@ -1,26 +1,33 @@
 """A simulated order ledger: the state is never updated in place but replayed from ordered orders.
 
-``replay`` folds each (account, symbol) by itself, with expressions only: without cash and weight gates, symbols don't
-touch each other. ``replay_gated`` folds each account, as its cash couples its symbols. Both take orders by
-(trade_date, order_id) and fill them at once; everything else is derived from the fills by joins and aggregates.
+``replay`` folds each (account, symbol) by itself: without cash and weight gates, symbols don't touch each other. It takes orders by
+(trade_date, order_id) and fills them at once; everything else is derived from the fills by joins and aggregates. What needs
+the order of events across symbols, gates, waiting orders and plans, is in ``events``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import RATES, fees, half_up, lots
+from .folds import fold_sorted
 from .risk import trailing_price
 
 MONEY = "decimal(20,2)"
-FILLS = (
-    "array<struct<order_id:bigint,side:string,quantity:int,price:decimal(18,4),trade_date:date,gross:decimal(20,2),total_fee:decimal(20,2),net:decimal(20,2),"
-    "status:string,realized:decimal(20,2),held:bigint,available:bigint,average_cost:decimal(18,4)>>"
-)
+# States of plans; of those that are live a symbol has one, those that are cancellable have no position yet.
+LIVE = ("ACTIVE", "ORDER_CREATED", "OPEN")
+CANCELLABLE = ("ACTIVE", "ORDER_CREATED")
+_FILL = {
+    "account_id": ("long", pa.int64()), "symbol": ("string", pa.string()), "order_id": ("long", pa.int64()), "side": ("string", pa.string()), "quantity": ("int", pa.int32()), "price": ("decimal(18,4)", pa.decimal128(18, 4)), "trade_date": ("date", pa.date32()),
+    **{c: ("decimal(20,2)", pa.decimal128(20, 2)) for c in ("gross", "total_fee", "net")}, "status": ("string", pa.string()), "realized": ("decimal(20,2)", pa.decimal128(20, 2)),
+    "held": ("long", pa.int64()), "available": ("long", pa.int64()), "average_cost": ("decimal(18,4)", pa.decimal128(18, 4)),
+}
 
 
 def with_fees(orders: DataFrame, rates: dict[str, str] = RATES) -> DataFrame:
@@ -44,85 +51,41 @@ def validated(orders: DataFrame) -> DataFrame:
     return orders.withColumn("reject_reason", reject_reason())
 
 
+@dataclass
+class _Holding:
+    held: int = 0
+    free: int = 0
+    cost: Decimal = Decimal(0)
+    bought: date | None = None
+
+    def fill(self, o: dict) -> list[dict]:
+        """An order's row, with the holding after it."""
+        if self.bought is not None and self.bought < o["trade_date"]:
+            self.free = self.held
+        quantity, status, realized = o["quantity"], o["reject_reason"], Decimal(0)
+        if status is None and o["side"] == "SELL":
+            if self.free < quantity:
+                status = "OVERSELL"
+            else:
+                realized = (o["net"] - self.cost * quantity).quantize(Decimal("0.01"), ROUND_HALF_UP)
+                self.held, self.free = self.held - quantity, self.free - quantity
+        elif status is None:
+            self.cost = ((self.cost * self.held + o["net"]) / (self.held + quantity)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+            self.held, self.bought = self.held + quantity, o["trade_date"]
+        if not self.held:
+            self.cost, self.bought = Decimal(0), None
+        own = {c: o[c] for c in ("account_id", "symbol", "order_id", "side", "quantity", "price", "trade_date", "gross", "total_fee", "net")}
+        return [own | {"status": status or "FILLED", "realized": realized, "held": self.held, "available": self.free, "average_cost": self.cost}]
+
+
 def replay(orders: DataFrame, rates: dict[str, str] = RATES) -> DataFrame:
     """Every order with its status (FILLED, OVERSELL or why it was refused), realized profit, and the position after it.
 
-    Shares bought on a day can be sold from the next one on. Average cost is rounded to four digits at every purchase.
+    Shares bought on a day can be sold from the next one on. Average cost is rounded to four digits at every purchase. The rows of an
+    account and symbol stream by in order, so a holding of a million orders takes the memory of one.
     """
-    df = validated(with_fees(orders, rates))
-    order = F.struct("trade_date", "order_id", "side", "quantity", "price", "gross", "total_fee", "net", "reject_reason")
-    legs = df.groupBy("account_id", "symbol").agg(F.sort_array(F.collect_list(order)).alias("legs"))
-    none = lambda kind: F.lit(None).cast(kind)
-    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).cast("bigint").alias("free"), F.lit(0).cast("decimal(18,4)").alias("cost"), none("date").alias("bought"), F.array().cast(FILLS).alias("done"))
-
-    def step(acc: Column, o: Column) -> Column:
-        q = o["quantity"].cast("bigint")
-        free = F.when(acc["bought"] < o["trade_date"], acc["held"]).otherwise(acc["free"])
-        buy = o["side"] == "BUY"
-        status = F.coalesce(o["reject_reason"], F.when(buy | (free >= q), "FILLED").otherwise("OVERSELL"))
-        filled = status == "FILLED"
-        held = F.when(filled & buy, acc["held"] + q).when(filled, acc["held"] - q).otherwise(acc["held"])
-        left = F.when(filled & ~buy, free - q).otherwise(free)
-        paid = (acc["cost"] * acc["held"].cast("decimal(12,0)") + o["net"]).cast("decimal(28,4)")
-        mean = F.round(paid / F.nullif(held, F.lit(0).cast("bigint")).cast("decimal(12,0)"), 4).cast("decimal(18,4)")
-        cost = F.when(filled & buy, mean).when(held == 0, F.lit(0)).otherwise(acc["cost"]).cast("decimal(18,4)")
-        realized = F.when(filled & ~buy, half_up((o["net"] - acc["cost"] * q.cast("decimal(12,0)")).cast("decimal(28,4)"), 2, 20)).otherwise(F.lit(0)).cast(MONEY)
-        bought = F.when(filled & buy, o["trade_date"]).when(held == 0, none("date")).otherwise(acc["bought"])
-        row = F.struct(
-            o["order_id"].cast("bigint").alias("order_id"), o["side"].alias("side"), o["quantity"].cast("int").alias("quantity"), o["price"].cast("decimal(18,4)").alias("price"), o["trade_date"].alias("trade_date"),
-            o["gross"].alias("gross"), o["total_fee"].alias("total_fee"), o["net"].alias("net"), status.alias("status"), realized.alias("realized"), held.alias("held"), left.alias("available"), cost.alias("average_cost"),
-        )
-        return F.struct(held.alias("held"), left.alias("free"), cost.alias("cost"), bought.alias("bought"), F.concat(acc["done"], F.array(row)).cast(FILLS).alias("done"))
-
-    return legs.select("account_id", "symbol", F.explode(F.aggregate("legs", start, step)["done"]).alias("f")).select("account_id", "symbol", "f.*")
-
-
-GATED = "account_id long, order_id long, symbol string, side string, quantity int, price decimal(18,4), trade_date date, status string, net decimal(20,2), realized decimal(20,2), cash decimal(20,2), positions int"
-
-
-def replay_gated(orders: DataFrame, capital: str = "1000000", max_positions: int = 5, max_weight: str = "0.20", rates: dict[str, str] = RATES) -> DataFrame:
-    """Every order with its status when cash, number of positions and weight of a position are limited too.
-
-    A purchase is refused for lack of cash (NO_CASH), as a sixth symbol (MAX_POSITIONS), or above a share of the total asset
-    at last prices (MAX_WEIGHT). An account's orders are one sequence, so an account is folded in one task.
-    """
-    df = validated(with_fees(orders, rates)).select("account_id", "order_id", "symbol", "side", "quantity", "price", "trade_date", "gross", "net", "reject_reason")
-    weight, start, cent = Decimal(max_weight), Decimal(capital), Decimal("0.01")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out = start, {}, []
-        for o in pdf.sort_values(["trade_date", "order_id"]).itertuples(index=False):
-            status, realized, q = o.reject_reason, Decimal(0), int(o.quantity)
-            own = held.get(o.symbol)  # quantity, free, cost, day of the last purchase, last price
-            if own and own[3] < o.trade_date:
-                own[1] = own[0]
-            if status is None and o.side == "BUY":
-                value = sum((p[0] * p[4] for p in held.values()), Decimal(0))
-                now = own[0] * own[4] if own else Decimal(0)
-                if cash < o.net:
-                    status = "NO_CASH"
-                elif own is None and len(held) >= max_positions:
-                    status = "MAX_POSITIONS"
-                elif now + o.gross > (cash + value) * weight:
-                    status = "MAX_WEIGHT"
-                else:
-                    status, cash = "FILLED", cash - o.net
-                    old = own or [0, 0, Decimal(0), o.trade_date, o.price]
-                    cost = ((old[2] * old[0] + o.net) / (old[0] + q)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
-                    held[o.symbol] = [old[0] + q, old[1], cost, o.trade_date, o.price]
-            elif status is None:
-                if own is None or own[1] < q:
-                    status = "OVERSELL"
-                else:
-                    status, cash = "FILLED", cash + o.net
-                    realized = (o.net - own[2] * q).quantize(cent, ROUND_HALF_UP)
-                    own[0], own[1], own[4] = own[0] - q, own[1] - q, o.price
-                    if not own[0]:
-                        del held[o.symbol]
-            out.append((o.account_id, o.order_id, o.symbol, o.side, q, o.price, o.trade_date, status, o.net, realized.quantize(cent), cash, len(held)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in GATED.split(", ")])
-
-    return df.groupBy("account_id").applyInPandas(fold, GATED)
+    df = validated(with_fees(orders, rates)).select("account_id", "symbol", "order_id", "side", "quantity", F.col("price").cast("decimal(18,4)").alias("price"), "trade_date", "gross", "total_fee", "net", "reject_reason")
+    return fold_sorted(df, ["account_id", "symbol"], ["trade_date", "order_id"], lambda _: _Holding(), _Holding.fill, _FILL)
 
 
 def positions(fills: DataFrame) -> DataFrame:
@@ -287,16 +250,24 @@ def held_or_pending(positions_: DataFrame, pending_buys: DataFrame) -> DataFrame
 
 def plans_from_results(results: DataFrame, live: DataFrame, valid_days: int = 5) -> DataFrame:
     """Plans for eligible results whose symbol has no live plan yet."""
-    taken = live.where(F.col("status").isin("ACTIVE", "ORDERED", "OPEN")).select("symbol").distinct()
+    taken = live.where(F.col("status").isin(*LIVE)).select("symbol").distinct()
     return results.where("eligible").join(taken, "symbol", "left_anti").select("symbol", "name", "score", "buy_low", "buy_high", "stop_loss", "target1", "suggested_weight", F.lit(valid_days).alias("valid_days"), F.lit("ACTIVE").alias("status"))
 
 
-def orders_from_plans(plans: DataFrame, asset: Column) -> DataFrame:
-    """An order for each plan: at its own price, else its upper entry, else the latest; whole lots of its weight of the asset."""
-    own = F.col("price") if "price" in plans.columns else F.lit(None).cast("decimal(18,4)")
-    price = F.coalesce(own, F.col("buy_high"), F.col("latest_price") if "latest_price" in plans.columns else F.lit(None).cast("decimal(18,4)"))
-    df = plans.select("symbol", price.cast("decimal(18,4)").alias("price"), F.col("suggested_weight").alias("weight"))
-    return df.withColumn("quantity", lots(asset.cast(MONEY) * F.col("weight"), F.col("price"))).withColumn("side", F.lit("BUY"))
+def orders_from_plans(plans: DataFrame, asset: Column, default_weight: str = "0.20") -> DataFrame:
+    """An order for each plan that may have one (ACTIVE or ORDER_CREATED, where plans have a status) and buys a lot at least.
+
+    The price is the request's own (``price``), else the first positive one of the upper entry and the latest; quantity is the request's
+    own (``quantity``) if positive, else whole lots of the plan's weight of the asset, of the default weight where that isn't positive.
+    """
+    given = lambda c, kind: F.col(c).cast(kind) if c in plans.columns else F.lit(None).cast(kind)
+    positive = lambda c: F.when(c > 0, c)
+    price = F.coalesce(given("price", "decimal(18,4)"), positive(given("buy_high", "decimal(18,4)")), given("latest_price", "decimal(18,4)"))
+    weight = F.coalesce(positive(F.col("suggested_weight").cast("decimal(8,4)")), F.lit(default_weight).cast("decimal(8,4)"))
+    own = plans.where(F.col("status").isin(*CANCELLABLE)) if "status" in plans.columns else plans
+    df = own.select(*[c for c in ("plan_id",) if c in plans.columns], "symbol", price.alias("price"), weight.alias("weight"), given("quantity", "long").alias("_own"))
+    df = df.where("price > 0").withColumn("quantity", F.coalesce(positive(F.col("_own")), lots(asset.cast(MONEY) * F.col("weight"), F.col("price"))))
+    return df.where("quantity >= 100").withColumn("side", F.lit("BUY")).drop("_own")
 
 
 def apply_cancellations(orders: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -308,20 +279,32 @@ def apply_cancellations(orders: DataFrame, cancelled: DataFrame) -> DataFrame:
     return df.withColumns(frozen | {"status": F.when(F.col("_gone"), "CANCELLED").otherwise(F.col("status"))}).drop("_gone")
 
 
+def plans_after_cancellations(plans: DataFrame, orders: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Plans whose waiting order was cancelled go back from ORDER_CREATED to ACTIVE; ``orders`` are those before that."""
+    freed = orders.where("status = 'PENDING_CONFIRM'").join(cancelled.select("order_id").distinct(), "order_id", "left_semi").select("plan_id").distinct().withColumn("_freed", F.lit(True))
+    back = F.coalesce(F.col("_freed"), F.lit(False)) & (F.col("status") == "ORDER_CREATED")
+    return plans.join(freed, "plan_id", "left").withColumn("status", F.when(back, "ACTIVE").otherwise(F.col("status"))).drop("_freed")
+
+
 def cancel_plans(plans: DataFrame, orders: DataFrame, cancelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cancelled plans, and the orders with the pending ones of these plans cancelled."""
-    ids = cancelled.select("plan_id").distinct()
+    """Cancelled plans, and the orders with the pending ones of these plans cancelled; a plan that is open or ended can't be cancelled,
+    and its orders stay as they are."""
+    ids = plans.where(F.col("status").isin(*CANCELLABLE)).join(cancelled.select("plan_id").distinct(), "plan_id", "left_semi").select("plan_id")
     marked_ = ids.withColumn("_gone", F.lit(True))
-    new = plans.join(marked_, "plan_id", "left").withColumn("status", F.when(F.col("_gone") & F.col("status").isin("ACTIVE", "ORDERED"), "CANCELLED").otherwise(F.col("status"))).drop("_gone")
+    new = plans.join(marked_, "plan_id", "left").withColumn("status", F.when(F.col("_gone"), "CANCELLED").otherwise(F.col("status"))).drop("_gone")
     own = orders.join(ids, "plan_id", "left_semi").select("order_id")
     return new, apply_cancellations(orders, own)
 
 
 def order_view(orders: DataFrame, universe: DataFrame, plans: DataFrame, n: int = 200) -> DataFrame:
-    """The newest orders with the security's name and the plan's stop and target."""
-    names = universe.select("symbol", F.col("name").alias("security_name"))
-    levels = plans.select("plan_id", "stop_loss", F.col("target1").alias("target_price"))
-    return orders.join(names, "symbol", "left").join(levels, "plan_id", "left").orderBy(F.desc("order_id")).limit(n)
+    """The newest orders with display_name, the order's own name, else the security's, else the symbol, and of the plan the state, the
+    stop and the target."""
+    names = universe.select("symbol", F.col("name").alias("_security"))
+    levels = plans.select("plan_id", F.col("status").alias("plan_status"), "stop_loss", F.col("target1").alias("target_price"))
+    newest = orders.orderBy(F.desc("order_id")).limit(n)  # joined after the cut, so that no more rows meet than are shown
+    df = newest.join(names, "symbol", "left").join(levels, "plan_id", "left")
+    own = F.col("name") if "name" in orders.columns else F.lit(None).cast("string")
+    return df.withColumn("display_name", F.coalesce(own, "_security", "symbol")).drop("_security").orderBy(F.desc("order_id"))
 
 
 def setting(settings: DataFrame, key: str, default: str, kind: str = "decimal(18,6)") -> DataFrame:

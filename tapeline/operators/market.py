@@ -54,12 +54,13 @@ def bars_as_of(bars: DataFrame, when: date) -> DataFrame:
 
 def search_securities(universe: DataFrame, bars: DataFrame, keyword: str = "", number: int = 1, size: int = 50) -> DataFrame:
     """A page of the active main-board securities whose symbol or name holds the keyword (as a LIKE pattern), with their latest
-    bar and, on each row, the total over all pages."""
+    bar and, on each row, the total over all pages. A page without securities is one row of nulls with the total."""
     keyword = keyword.strip()
     like = F.lit(not keyword) | F.col("symbol").like(f"%{keyword}%") | F.col("name").like(f"%{keyword}%")
     found = universe.where("is_active and board = 'MAIN'").where(like)
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    return page(found, ["symbol"], number, size).join(latest_bars(bars), "symbol", "left").join(F.broadcast(total), how="cross")  # one row
+    own = page(found, ["symbol"], number, size).join(latest_bars(bars), "symbol", "left")
+    return total.join(own, F.lit(True), "left").select(*own.columns, "total")  # one row and a page
 
 
 def plans_view(plans: DataFrame, latest: DataFrame, status: str | None = None, n: int = 200) -> DataFrame:
@@ -69,16 +70,60 @@ def plans_view(plans: DataFrame, latest: DataFrame, status: str | None = None, n
     return own.orderBy(F.desc("plan_id")).limit(n).join(latest.select("symbol", "latest_price", "latest_date"), "symbol", "left")
 
 
-# Columns of a result and the fields of its metrics that fill them.
+# Columns of a result and the fields of its metrics that fill them; columns that hold lists.
 METRIC_FIELDS = {"return_5_pct": "return5Pct", "return_20_pct": "return20Pct", "rsi14": "rsi14", "atr14_pct": "atr14Pct", "volume_ratio20": "volumeRatio20", "breakout20": "breakout20"}
+LISTS = ("filter_reasons", "bullish", "bearish")
+
+
+def json_list(text: Column) -> Column:
+    """The elements of a JSON list as texts: strings as they are, anything else as JSON; empty where the text isn't a list."""
+    element = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+    return F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), element), F.array().cast("array<string>"))
+
+
+def json_object(text: Column) -> Column:
+    """A JSON object as a VARIANT with all of its fields, whatever they are; an empty one where the text isn't an object."""
+    parsed = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).otherwise(F.parse_json(F.lit("{}")))
+
+
+def open_results(results: DataFrame) -> DataFrame:
+    """Results with their JSON opened: lists as arrays, ``metrics`` as a VARIANT, and null columns filled from its fields.
+
+    Text that is null, broken or of another kind gives an empty list or object and fills nothing; fields that aren't known stay in the object.
+    """
+    kinds = {c: results.schema[c].dataType.simpleString() for c in METRIC_FIELDS if c in results.columns}
+    df = results.withColumns({c: json_list(F.col(c)) for c in LISTS if c in results.columns} | {"metrics": json_object(F.col("metrics"))})
+    return df.withColumns({c: F.coalesce(F.col(c), F.try_variant_get("metrics", f"$.{METRIC_FIELDS[c]}", k)) for c, k in kinds.items()})
 
 
 def fill_from_metrics(results: DataFrame) -> DataFrame:
-    """Results whose null columns are filled from the JSON text ``metrics``; text that isn't JSON fills nothing."""
-    kinds = {c: results.schema[c].dataType.simpleString() for c in METRIC_FIELDS}
-    parsed = F.from_json("metrics", ", ".join(f"{METRIC_FIELDS[c]} {k}" for c, k in kinds.items()))
-    df = results.withColumn("_metrics", parsed)
-    return df.withColumns({c: F.coalesce(F.col(c), F.col(f"_metrics.{f}")) for c, f in METRIC_FIELDS.items()}).drop("_metrics")
+    """Results whose null columns are filled from the JSON text ``metrics``, which stays as it is."""
+    return open_results(results.withColumn("_text", F.col("metrics"))).drop("metrics").withColumnRenamed("_text", "metrics").select(results.columns)
+
+
+# Least, most and default of what a scan task may be asked for, and of one that retries failures.
+TASK_LIMITS = {"FULL": {"batch_size": (2, 30, 12), "result_limit": (10, 200, 50)}, "RETRY": {"batch_size": (2, 20, 6), "result_limit": (200, 200, 200)}}
+
+
+def scan_tasks(requests: DataFrame) -> DataFrame:
+    """QUEUED tasks for requests (scan_type, batch_size, result_limit): sizes inside the limits of their type, the default where null."""
+
+    def limited(column: str) -> Column:
+        kinds = {kind: F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.col(column), F.lit(default)))) for kind, own in TASK_LIMITS.items() for low, high, default in [own[column]]}
+        return F.when(F.col("scan_type") == "RETRY", kinds["RETRY"]).otherwise(kinds["FULL"])
+
+    return requests.withColumns({c: limited(c) for c in ("batch_size", "result_limit")} | {"status": F.lit("QUEUED"), "official": F.lit(False)})
+
+
+def wanted_symbols(requests: DataFrame, position: str = "position") -> DataFrame:
+    """The symbols of a request, each once, in the order in which they first occur."""
+    return requests.groupBy("symbol").agg(F.min(position).alias(position)).orderBy(position)
+
+
+def batch_items(results: DataFrame) -> DataFrame:
+    """Analyses of a batch in the order in which they are answered: score down, then symbol; without a score as 0."""
+    return results.orderBy(F.desc(F.coalesce("score", F.lit(0))), "symbol")
 
 
 def overview(universe: DataFrame, bars: DataFrame) -> DataFrame:
@@ -121,8 +166,8 @@ def failures_with_names(failures: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def retry_symbols(failures: DataFrame, task_id: int) -> DataFrame:
-    """Symbols of a task's open failures, for a retry task."""
-    return failures.where((F.col("task_id") == task_id) & ~F.col("resolved")).select("symbol").distinct()
+    """Symbols of a task's open failures, each once, in order, for a retry task."""
+    return failures.where((F.col("task_id") == task_id) & ~F.col("resolved")).select("symbol").distinct().orderBy("symbol")
 
 
 def after_retry(failures: DataFrame, succeeded: DataFrame, task_id: int) -> DataFrame:

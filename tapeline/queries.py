@@ -127,8 +127,8 @@ def overview_counts(spark, d):
 
 
 @query(
-    f"{O.SCORED}, m as (select * from universe where is_active and board = 'MAIN' and (symbol like '%60%' or name like '%60%')), p as (select *, (select count(*) from m) as total from m order by symbol limit 20 offset 20) "
-    "select p.*, b.latest_date, b.latest_price from p left join (select symbol, max(trade_date) as latest_date, max_by(close, trade_date) as latest_price from bars where adjust_type = 'QFQ' group by 1) b using (symbol)"
+    f"{O.SCORED}, m as (select * from universe where is_active and board = 'MAIN' and (symbol like '%60%' or name like '%60%')), p as (select * from m order by symbol limit 20 offset 20) "
+    "select p.*, t.total, b.latest_date, b.latest_price from (select count(*) as total from m) t left join p on true left join (select symbol, max(trade_date) as latest_date, max_by(close, trade_date) as latest_price from bars where adjust_type = 'QFQ' group by 1) b using (symbol)"
 )
 def securities_search_latest_bar(spark, d):
     return market.search_securities(universe(spark, d), bars(spark, d), "60", 2, 20)
@@ -342,11 +342,6 @@ def realized_pnl(spark, d):
     return good.groupBy("account_id", "symbol").agg(F.count(F.lit(1)).alias("sales"), F.sum("realized").cast("decimal(20,2)").alias("realized"))
 
 
-@query(None)
-def ledger_gated(spark, d):
-    return L.replay_gated(order_feed(spark, d))
-
-
 @query(
     f"{O.LEDGER}, late as (select account_id, symbol, sum(quantity) as frozen from order_feed where side = 'SELL' and trade_date >= date '1998-06-01' group by 1, 2) "
     "select p.account_id, p.symbol, case when last_buy_date < date '1998-08-01' then greatest(0, quantity - coalesce(frozen, 0)) else available_quantity end::bigint as available_quantity from pos p left join late using (account_id, symbol)"
@@ -455,7 +450,7 @@ def equity_curve(spark, d):
 
 @query(
     f"{O.LEDGER}, {_HIGHS}, src as (select account_id, symbol, max_by(order_id, k) as plan_id from fills where status = 'FILLED' and side = 'BUY' group by 1, 2), "
-    "pl as (select order_id as plan_id, round(price * 0.95, 2)::decimal(18,2) as stop_loss, round(price * 1.08, 2)::decimal(18,2) as target_price, case when order_id % 2 = 0 then 'OPEN' else 'ORDERED' end as plan_status from order_feed where side = 'BUY' and order_id % 3 > 0) "
+    "pl as (select order_id as plan_id, round(price * 0.95, 2)::decimal(18,2) as stop_loss, round(price * 1.08, 2)::decimal(18,2) as target_price, case when order_id % 2 = 0 then 'OPEN' else 'ORDER_CREATED' end as plan_status from order_feed where side = 'BUY' and order_id % 3 > 0) "
     f"select m.account_id, m.symbol, coalesce(u.name, m.symbol) as name, m.quantity, m.market_value, h.highest_price, round(h.highest_price * 0.96, 4)::decimal(18,4) as trailing_stop_price, stop_loss, target_price, plan_status "
     f"from marked m left join highs h using (account_id, symbol) left join src using (account_id, symbol) left join pl using (plan_id) left join ({NAMES}) u on u.symbol = m.symbol"
 )
@@ -464,7 +459,7 @@ def position_details(spark, d):
     fills, orders = L.replay(order_feed(spark, d)), order_feed(spark, d).where("side = 'BUY' and order_id % 3 > 0")
     source = fills.where("status = 'FILLED' and side = 'BUY'").groupBy("account_id", "symbol").agg(F.max_by("order_id", F.struct("trade_date", "order_id")).alias("source_plan_id"))
     ladder = price_ladder(F.col("price"))
-    plans = orders.select(F.col("order_id").alias("plan_id"), ladder["stop_loss"].alias("stop_loss"), ladder["target1"].alias("target1"), F.when(F.col("order_id") % 2 == 0, "OPEN").otherwise("ORDERED").alias("status"))
+    plans = orders.select(F.col("order_id").alias("plan_id"), ladder["stop_loss"].alias("stop_loss"), ladder["target1"].alias("target1"), F.when(F.col("order_id") % 2 == 0, "OPEN").otherwise("ORDER_CREATED").alias("status"))
     df = L.position_details(marked_positions(spark, d).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names(spark, d), plans)
     return df.select("account_id", "symbol", "name", "quantity", "market_value", "highest_price", "trailing_stop_price", "stop_loss", "target_price", "plan_status")
 

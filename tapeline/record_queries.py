@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import oracle as O  # noqa: N812
+from .event_oracle import LEDGER_EVENTS
 from .functions.messages import abbreviated
+from .operators import events, market, merge, risk
 from .operators import ledger as L  # noqa: N812
-from .operators import market, merge, risk
-from .operators.normalize import normalize_bars
+from .operators.normalize import normalize_bars, normalize_universe
 from .plans import scan as P  # noqa: N812
 from .queries import QUERIES, query, scanned
-from .sources.fixtures import NAMES, bars, names, order_feed
+from .sources.fixtures import NAMES, from_table, account_events, bars, names, order_feed, raw_universe
 from .streaming import incremental
 
 
@@ -125,12 +127,12 @@ def update_counters(spark, d):
     return incremental.update_counters(stored, bars(spark, d), wanted).select("symbol", "bars", "inserted_bars", "failed")
 
 
-_PLANS = "select order_id as plan_id, symbol, account_id, trade_date as plan_date, price, case when order_id % 4 = 0 then 'ACTIVE' when order_id % 4 = 1 then 'ORDERED' when order_id % 4 = 2 then 'OPEN' else 'CLOSED' end as status from order_feed where side = 'BUY'"
+_PLANS = "select order_id as plan_id, symbol, account_id, trade_date as plan_date, price, case when order_id % 4 = 0 then 'ACTIVE' when order_id % 4 = 1 then 'ORDER_CREATED' when order_id % 4 = 2 then 'OPEN' else 'CLOSED' end as status from order_feed where side = 'BUY'"
 
 
 def _plans(spark, d):
     n = F.col("order_id") % 4
-    status = F.when(n == 0, "ACTIVE").when(n == 1, "ORDERED").when(n == 2, "OPEN").otherwise("CLOSED")
+    status = F.when(n == 0, "ACTIVE").when(n == 1, "ORDER_CREATED").when(n == 2, "OPEN").otherwise("CLOSED")
     return order_feed(spark, d).where("side = 'BUY'").select(F.col("order_id").alias("plan_id"), "symbol", "account_id", F.col("trade_date").alias("plan_date"), "price", status.alias("status"))
 
 
@@ -146,7 +148,7 @@ def plans_replaced(spark, d):
     return P.replace_plans(plans, new, plans.agg(F.max("plan_date")).first()[0])
 
 
-@query(f"{O.SCORED}, pl as ({_PLANS}) select symbol, name, score, round(latest_close * 0.95, 2)::decimal(18,2) as stop_loss, 5 as valid_days, 'ACTIVE' as status from scan where eligible and symbol not in (select symbol from pl where status in ('ACTIVE', 'ORDERED', 'OPEN') and plan_date >= date '1998-07-20')")
+@query(f"{O.SCORED}, pl as ({_PLANS}) select symbol, name, score, round(latest_close * 0.95, 2)::decimal(18,2) as stop_loss, 5 as valid_days, 'ACTIVE' as status from scan where eligible and symbol not in (select symbol from pl where status in ('ACTIVE', 'ORDER_CREATED', 'OPEN') and plan_date >= date '1998-07-20')")
 def plans_for_absent(spark, d):
     """Plans of eligible results, but for symbols of a live plan of the last days."""
     live = _plans(spark, d).where("plan_date >= date '1998-07-20'")
@@ -161,26 +163,110 @@ def _state(spark, d):
     return order_feed(spark, d).select("order_id", F.when(n % 3 == 0, F.floor(n / 3)).alias("plan_id"), "account_id", "symbol", "side", F.when(n % 5 < 3, "PENDING_CONFIRM").otherwise("FILLED").alias("status"), (F.col("price") * 100).cast("decimal(20,2)").alias("frozen_amount"), F.col("quantity").alias("frozen_quantity"))
 
 
-@query(f"{O.BASE}, s as ({_STATE}), p as ({_PLANS}), k as (select *, coalesce(status = 'PENDING_CONFIRM' and plan_id in (select plan_id from p where account_id = 3), false) as gone from s) select order_id, case when gone then 'CANCELLED' else status end as status, case when gone then 0 else frozen_amount end::decimal(20,2) as frozen_amount, case when gone then 0 else frozen_quantity end::int as frozen_quantity from k")
+@query(f"{O.BASE}, s as ({_STATE}), p as ({_PLANS}), k as (select *, coalesce(status = 'PENDING_CONFIRM' and plan_id in (select plan_id from p where account_id = 3 and status in ('ACTIVE', 'ORDER_CREATED')), false) as gone from s) select order_id, case when gone then 'CANCELLED' else status end as status, case when gone then 0 else frozen_amount end::decimal(20,2) as frozen_amount, case when gone then 0 else frozen_quantity end::int as frozen_quantity from k")
 def orders_after_cancellation(spark, d):
     """The plans of an account are cancelled, and with them their orders that still wait."""
     plans = _plans(spark, d)
     return L.cancel_plans(plans, _state(spark, d), plans.where("account_id = 3"))[1].select("order_id", "status", "frozen_amount", "frozen_quantity")
 
 
-@query(f"{O.BASE} select plan_id, case when account_id = 3 and status in ('ACTIVE', 'ORDERED') then 'CANCELLED' else status end as status from ({_PLANS})")
+@query(f"{O.BASE} select plan_id, case when account_id = 3 and status in ('ACTIVE', 'ORDER_CREATED') then 'CANCELLED' else status end as status from ({_PLANS})")
 def plans_after_cancellation(spark, d):
     plans = _plans(spark, d)
     return L.cancel_plans(plans, _state(spark, d), plans.where("account_id = 3"))[0].select("plan_id", "status")
 
 
-@query(f"{O.BASE}, s as (select * from ({_STATE}) order by order_id desc limit 200), p as ({_PLANS}) select s.order_id, s.symbol, u.name as security_name, round(p.price * 0.95, 2)::decimal(18,2) as stop_loss, round(p.price * 1.08, 2)::decimal(18,2) as target_price from s left join p using (plan_id) left join ({NAMES}) u on u.symbol = s.symbol")
+@query(f"{O.BASE}, s as ({_STATE}), p as ({_PLANS}) select plan_id, case when status = 'ORDER_CREATED' and plan_id in (select plan_id from s where status = 'PENDING_CONFIRM' and account_id < 5 and plan_id is not null) then 'ACTIVE' else status end as status from p")
+def plans_after_order_cancellation(spark, d):
+    """The waiting orders of some accounts are cancelled, so their plans wait for another order."""
+    state = _state(spark, d)
+    return L.plans_after_cancellations(_plans(spark, d), state, state.where("account_id < 5")).select("plan_id", "status")
+
+
+@query(f"{O.BASE}, s as (select * from ({_STATE}) order by order_id desc limit 200), p as ({_PLANS}) select s.order_id, s.symbol, coalesce(case when s.order_id % 2 = 0 then 'own ' || s.order_id::varchar end, u.name, s.symbol) as display_name, p.status as plan_status, round(p.price * 0.95, 2)::decimal(18,2) as stop_loss, round(p.price * 1.08, 2)::decimal(18,2) as target_price from s left join p using (plan_id) left join ({NAMES}) u on u.symbol = s.symbol")
 def orders_view(spark, d):
+    """Every other order has a name of its own."""
     from .functions.prices import price_ladder
 
     ladder = price_ladder(F.col("price"))
     plans = _plans(spark, d).withColumns({k: ladder[k] for k in ("stop_loss", "target1")})
-    return L.order_view(_state(spark, d), names(spark, d), plans, 200).select("order_id", "symbol", "security_name", "stop_loss", "target_price")
+    orders = _state(spark, d).withColumn("name", F.when(F.col("order_id") % 2 == 0, F.concat(F.lit("own "), F.col("order_id").cast("string"))))
+    return L.order_view(orders, names(spark, d), plans, 200).select("order_id", "symbol", "display_name", "plan_status", "stop_loss", "target_price")
+
+
+@query(f"{O.BASE}, p as ({_PLANS}), x as (select plan_id, symbol, case when plan_id % 7 = 0 then 0 else price end::decimal(18,4) as buy_high, case when plan_id % 5 = 0 then 0 else 0.05 end as w, case when plan_id % 3 = 0 then 300 end as own from p where status in ('ACTIVE', 'ORDER_CREATED')), l as (select symbol, max_by(close, trade_date)::decimal(18,4) as latest from bars where adjust_type = 'QFQ' group by 1), y as (select plan_id, case when buy_high > 0 then buy_high else latest end as price, case when w > 0 then w else 0.20 end as w, own from x left join l using (symbol)) select plan_id, price, coalesce(own, floor((10000 * w)::double / (price * 100)::double) * 100)::bigint as quantity from y where price > 0 and coalesce(own, floor((10000 * w)::double / (price * 100)::double) * 100) >= 100")
+def orders_of_plans(spark, d):
+    """Orders of plans in a state that allows one: prices and weights of 0 fall to the latest price and the default, some quantities are given."""
+    i = F.col("plan_id")
+    plans = _plans(spark, d).select("plan_id", "symbol", "status", F.when(i % 7 == 0, F.lit(0)).otherwise(F.col("price")).cast("decimal(18,4)").alias("buy_high"), F.when(i % 5 == 0, 0.0).otherwise(0.05).alias("suggested_weight"), F.when(i % 3 == 0, 300).alias("quantity"))
+    return L.orders_from_plans(plans.join(market.latest_bars(bars(spark, d)), "symbol", "left"), F.lit("10000")).select("plan_id", "price", "quantity")
+
+
+_OUTCOME = ["account_id", "seq", "day", "kind", "order_id", "plan_id", "symbol", "reason", "order_status", "plan_status", "also_cancelled", "quantity", "price", "net", "realized", "cash", "frozen_cash", "realized_pnl", "total_fees", "total_asset", "positions"]
+
+
+@query(f"{LEDGER_EVENTS} select {', '.join(_OUTCOME)} from outcomes")
+def ledger_gated(spark, d):
+    """Every event of every account with what came of it and the account's state after it."""
+    return events.ledger_in_order(account_events(spark, d)).select(*_OUTCOME)
+
+
+@query(f"{LEDGER_EVENTS}, s as (select account_id, order_id, seq, order_status as status from outcomes where order_status is not null union all select account_id, unnest(string_split(also_cancelled, ','))::bigint, seq, 'CANCELLED' from outcomes where also_cancelled <> '') select account_id, order_id, max_by(status, seq) as status from s group by 1, 2")
+def ledger_order_states(spark, d):
+    return events.order_states(events.ledger_in_order(account_events(spark, d)))
+
+
+@query(f"{LEDGER_EVENTS} select account_id, plan_id, max_by(symbol, seq) as symbol, max_by(plan_status, seq) as status from outcomes where plan_status is not null group by 1, 2")
+def ledger_plan_states(spark, d):
+    return events.plan_states(events.ledger_in_order(account_events(spark, d)))
+
+
+@query(f"{LEDGER_EVENTS}, n as (select *, row_number() over (partition by account_id, day order by seq desc) as k from outcomes) select account_id, day, cash, frozen_cash, (cash - frozen_cash)::decimal(20,2) as available_cash, market_value, total_asset, realized_pnl, positions, (round((total_asset - 1000000)::double / 1000000, 8))::decimal(18,8) as total_return from n where k = 1")
+def account_snapshots(spark, d):
+    """Each account at the end of each of its days, with what waiting orders freeze."""
+    return events.daily_snapshots(events.ledger_in_order(account_events(spark, d)))
+
+
+_JSON = """select l_orderkey as id, l_linenumber as line, case (l_partkey % 8)
+  when 0 then '["' || l_returnflag || '","' || l_linestatus || '"]' when 1 then '["a b", 3, null, true, {"x":[1]}]' when 2 then '[]' when 3 then '["broken' when 4 then '{"not":"a list"}' when 5 then '"text"' when 6 then null else '[["' || l_returnflag || '"]]' end as bullish,
+  case (l_suppkey % 6) when 0 then '{"rsi14":' || cast(l_linenumber as varchar(10)) || ',"return5Pct":1.5,"extra":{"deep":[1,2]}}' when 1 then '{"rsi14":"text"}' when 2 then '[1]' when 3 then '{"rsi14":' when 4 then null else '{"breakout20":true,"rsi14":null}' end as metrics,
+  case when l_linenumber = 3 then cast(7 as double) end as rsi14, cast(null as double) as return_5_pct, cast(null as boolean) as breakout20
+from lineitem"""
+
+
+@query(f"with r as ({_JSON}), o as (select *, try_cast(bullish as json) as b, case when json_type(try_cast(metrics as json)) = 'OBJECT' then metrics::json end as m from r) select id, line, coalesce(array_to_string(list_transform(case when json_type(b) = 'ARRAY' then json_extract(b, '$[*]') else [] end, lambda x: case when json_type(x) = 'VARCHAR' then json_extract_string(x, '$') else x::varchar end), '|'), '') as bullish, coalesce(rsi14, case when json_type(m, '$.rsi14') <> 'VARCHAR' then json_extract(m, '$.rsi14')::double end) as rsi14, json_extract(m, '$.return5Pct')::double as return_5_pct, json_extract(m, '$.breakout20')::boolean as breakout20, json_extract_string(m, '$.extra.deep[1]')::int as deep from o")
+def results_json_open(spark, d):
+    """Lists and objects that are whole, nested, broken, of another kind or missing; a field that no column knows stays readable."""
+    df = market.open_results(from_table(spark, d, _JSON, "lineitem"))
+    return df.select("id", "line", F.array_join("bullish", "|").alias("bullish"), "rsi14", "return_5_pct", "breakout20", F.try_variant_get("metrics", "$.extra.deep[1]", "int").alias("deep"))
+
+
+_REQUESTS = "select o_orderkey as id, case when o_orderstatus = 'F' then 'RETRY' else 'FULL' end as scan_type, case when o_orderkey % 5 <> 0 then cast(o_custkey % 50 - 5 as int) end as batch_size, case when o_orderkey % 7 <> 0 then cast(o_custkey % 300 as int) end as result_limit from orders"
+
+
+@query(f"select id, scan_type, case when scan_type = 'RETRY' then greatest(2, least(20, coalesce(batch_size, 6))) else greatest(2, least(30, coalesce(batch_size, 12))) end as batch_size, case when scan_type = 'RETRY' then 200 else greatest(10, least(200, coalesce(result_limit, 50))) end as result_limit, 'QUEUED' as status, false as official from ({_REQUESTS})")
+def scan_tasks_limited(spark, d):
+    return market.scan_tasks(from_table(spark, d, _REQUESTS, "orders"))
+
+
+@query(f"{O.BASE} select symbol, row_number() over (order by min(order_id)) as place from order_feed group by 1")
+def symbols_in_order(spark, d):
+    """Each symbol once, numbered by its first occurrence in the feed."""
+    first = market.wanted_symbols(order_feed(spark, d), "order_id")
+    return first.select("symbol", F.row_number().over(Window.orderBy("order_id")).cast("bigint").alias("place"))  # a row for each symbol of the universe
+
+
+@query(f"{O.SCORED} select symbol, score, row_number() over (order by score desc, symbol) as place from scan order by place limit 100")
+def batch_items_sorted(spark, d):
+    """The first hundred analyses as a batch answers them: score down, then symbol."""
+    best = market.batch_items(scanned(spark, d)).select("symbol", "score").limit(100)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "symbol")).cast("bigint"))
+
+
+@query(f"{O.SCORED} select null::varchar as symbol, null::varchar as name, count(*) as total from universe where is_active and board = 'MAIN'")
+def search_past_the_end(spark, d):
+    """A page behind the last one still tells the total."""
+    return market.search_securities(normalize_universe(raw_universe(spark, d)), bars(spark, d), "", 100_000, 50).select("symbol", "name", "total")
 
 
 _EARLY, _LATE = "where trade_date < date '1992-03-01'", "where trade_date >= date '1998-01-01'"

@@ -87,23 +87,25 @@ from e
 """
 
 
-def _from(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
-    return spark.sql(text.replace(f"from {name}", f"from {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
+def from_table(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """The rows of a query text over one table of the folder."""
+    plain = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(plain.replace(f"from {name}", f"from {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open, high, low, close, volume, amount, turnover_rate, adjust_type."""
-    return _from(spark, sf_dir, BARS, "lineitem")
+    return from_table(spark, sf_dir, BARS, "lineitem")
 
 
 def raw_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name as a provider gives them."""
-    return _from(spark, sf_dir, UNIVERSE, "supplier")
+    return from_table(spark, sf_dir, UNIVERSE, "supplier")
 
 
 def wide_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name of a larger universe, most of whose securities have no bars."""
-    return _from(spark, sf_dir, WIDE, "customer")
+    return from_table(spark, sf_dir, WIDE, "customer")
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +115,9 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, account_id, symbol, side, quantity, price, trade_date."""
-    return _from(spark, sf_dir, ORDERS, "orders")
+    return from_table(spark, sf_dir, ORDERS, "orders")
 
 
 def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of accounts in order, see ``operators.events``."""
-    return _from(spark, sf_dir, EVENTS, "orders")
+    return from_table(spark, sf_dir, EVENTS, "orders")

@@ -171,14 +171,6 @@ def test_ledger_by_hand(spark):
     assert cash.cash == 50000 - got[1].net - got[3].net + got[4].net + got[5].net
 
 
-def test_gates(spark):
-    rows = [(i, 1, s, "BUY", q, d(10), day(i)) for i, (s, q) in enumerate([("A", 1900), ("B", 2100), ("B", 1000), ("C", 1000), ("D", 1000), ("E", 1000), ("F", 1000), ("A", 100)], 1)]
-    got = {r.order_id: r.status for r in ledger.replay_gated(spark.createDataFrame(rows, ORDER), "100000").collect()}
-    assert got == {1: "FILLED", 2: "MAX_WEIGHT", 3: "FILLED", 4: "FILLED", 5: "FILLED", 6: "FILLED", 7: "MAX_POSITIONS", 8: "MAX_WEIGHT"}
-    one = ledger.replay_gated(spark.createDataFrame(rows[:1], ORDER), "1000").first()
-    assert one.status == "NO_CASH" and one.cash == 1000
-
-
 def test_purchase_gate(spark):
     """One request for each way to be refused, and one that may stand."""
     cash = spark.createDataFrame([(1, d(1000))], "account_id long, cash decimal(20,2)")
