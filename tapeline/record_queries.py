@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import oracle as O  # noqa: N812
 from .event_oracle import LEDGER_EVENTS
 from .functions.messages import abbreviated
-from .operators import events, market, merge, risk
+from .operators import apart, events, market, merge, risk
 from .operators import ledger as L  # noqa: N812
 from .operators.normalize import normalize_bars, normalize_universe
 from .plans import scan as P  # noqa: N812
-from .queries import QUERIES, query, scanned
+from .queries import QUERIES, query, rounded, scanned, sql_rounded
 from .sources.fixtures import NAMES, from_table, account_events, bars, names, order_feed, raw_universe
 from .streaming import incremental
 
@@ -269,6 +269,27 @@ def search_past_the_end(spark, d):
     return market.search_securities(normalize_universe(raw_universe(spark, d)), bars(spark, d), "", 100_000, 50).select("symbol", "name", "total")
 
 
+_WHOLE = O.TAIL.replace("rd <= 260", "rd <= 100000000")
+
+
+@query(f"{_WHOLE} select symbol, trade_date, n, {sql_rounded('ema12', 'ema26', 'macd', 'macd_hist', 'rsi14', 'atr14')} from ind")
+def averages_of_history(spark, d):
+    """Exponential averages from each symbol's first bar on, whatever its length, in blocks."""
+    return apart.averages_of_history(bars(spark, d)).select("symbol", "trade_date", "n", *rounded("ema12", "ema26", "macd", "macd_hist", "rsi14", "atr14"))
+
+
+@query(f"{O.BASE} select order_id, account_id, row_number() over (partition by account_id order by trade_date desc, symbol, price desc, order_id) - 1 as place from order_feed")
+def orders_numbered(spark, d):
+    """Each account's orders by day, newest first, numbered without a task that holds an account."""
+    return apart.number_apart(order_feed(spark, d), ["account_id"], [(F.col("trade_date"), True), (F.col("symbol"), False)], [F.desc("price"), F.col("order_id")], "place").select("order_id", "account_id", "place")
+
+
+@query(f"{O.SCORED} select symbol, eligible, score, trade_date, row_number() over (order by eligible desc, score desc, trade_date desc, symbol)::int as rank_no from scan")
+def scan_ranked_apart(spark, d):
+    """The ranks of a scan from groups of equal scores, days and symbol prefixes."""
+    return apart.rank_apart(scanned(spark, d).drop("rank_no")).select("symbol", "eligible", "score", "trade_date", "rank_no")
+
+
 _EARLY, _LATE = "where trade_date < date '1992-03-01'", "where trade_date >= date '1998-01-01'"
 _EVENTS = "select account_id || ':' || symbol || ':STOP_LOSS' as event_key, max(price) as current_price, max(order_id) % 2 = 0 as resolved from order_feed {where} group by account_id, symbol"
 
