@@ -7,17 +7,20 @@ and are rendered where they are read, without a shuffle.
 Layout. Runs of white space are one space. Blocks start on a line of their own; paragraphs, headings, lists, tables and quotations
 also have an empty line around. Items of lists have ``- `` or their number (``start``, ``reversed``, ``value``), and are indented by it. Cells of a table are padded
 to the width of their column, in characters, and separated by two spaces; a spanning cell widens the last of its columns; what stands in a table but in no cell comes before it. All options of a
-select are shown, the text of a textarea, of math, of svg (its text and foreignObject elements), of map, and the fallback of object.
-Hidden: head, title, scripts, styles, templates, comments, noscript (scripts count as on), the fallback of iframe, audio, video
+select are shown, the text of a textarea, the value of a field that shows it (its placeholder if there is none), of math, of svg (its text and
+foreignObject elements), of map, and the fallback of object. Widths count East Asian wide characters twice and combining ones not at all.
+Hidden: head, title, scripts, styles, templates, comments, noscript (scripts count as on), the fallback of iframe, audio, video, meter, progress
 and canvas, noembed, noframes, datalist, annotations of math, definitions and descriptions of svg,
-attributes ``hidden`` and ``aria-hidden="true"``, ``display:none`` and ``visibility:hidden``, closed ``details`` but for the summary,
-closed dialogs, and form fields that are hidden.
+attributes ``hidden`` and ``aria-hidden="true"``, the style ``display:none``, closed ``details`` but for the summary,
+closed dialogs, and form fields that are hidden. Text with ``visibility`` hidden or collapse isn't shown; that is inherited, and an element inside may be
+visible again. Of several declarations of a style the last one counts, or the last that is important.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from .common import pick, ready
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = set("head script style template noscript noembed noframes iframe audio video canvas datalist annotation annotation-xml title link meta base param source track area colgroup col".split())
+HIDDEN = set("head script style template noscript noembed noframes iframe audio video canvas meter progress datalist annotation annotation-xml title link meta base param source track area colgroup col".split())
 #: Parts of an svg that aren't drawn where they stand.
 UNDRAWN = set("defs symbol clippath mask pattern marker lineargradient radialgradient filter title desc metadata".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody tfoot thead tr td th ul xmp".split())
@@ -43,14 +46,30 @@ IMPLIED = {
 IMPLIED |= {"thead": IMPLIED["tbody"], "tfoot": IMPLIED["tbody"], "optgroup": ({"option", "optgroup"}, {"select"})}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+DECLARATION = re.compile(r"([-\w]+)\s*:\s*((?:\"[^\"]*\"|'[^']*'|\([^)]*\)|[^;\"'(]|[\"'(])*)")
+#: Kinds of fields that don't show their value as text.
+NO_TEXT = set("hidden checkbox radio file image color range password".split())
 DEEPEST = 150
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "kids")
+    """An element; ``drawn`` is whether its own text is to be seen, as far as visibility decides it."""
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.kids = tag, attributes, []
+    __slots__ = ("tag", "attributes", "kids", "drawn")
+
+    def __init__(self, tag: str, attributes: str = "", drawn: bool = True):
+        self.tag, self.attributes, self.kids, self.drawn = tag, attributes, [], drawn
+        if "style" in attributes:
+            self.drawn = {"visible": True, "hidden": False, "collapse": False}.get(self.style("visibility"), drawn)
+
+    def style(self, name: str) -> str:
+        """The value of a declaration in the style attribute: the last one, or the last important one; empty if there is none."""
+        found, sure = "", False
+        for key, value in DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|$)", " ", self.get("style") or "", flags=re.S)):
+            value, important = re.subn(r"\s*!\s*important\s*$", "", value.strip().lower())
+            if key.lower() == name and (important or not sure):
+                found, sure = value.strip(), bool(important)
+        return found
 
     def get(self, name: str) -> str | None:
         """An attribute, empty if it has no value; read only when asked for. The first of equal names counts."""
@@ -90,6 +109,8 @@ def parse(page: str) -> Node:
                 skipped.clear()
             if skipped.get(end):
                 skipped[end] -= 1
+            elif end == "br":
+                stack[-1].kids.append(Node("br"))
             elif end == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].kids.append(Node("p"))
             elif end not in ("html", "body"):
@@ -100,6 +121,7 @@ def parse(page: str) -> Node:
                 if tag == "body":
                     close({"head"}, set())
                     root.attributes += " " + rest
+                    root.drawn = Node("body", root.attributes).drawn
                 continue
             if stack[-1].tag == "head" and tag not in HIDDEN:
                 stack.pop()
@@ -109,7 +131,7 @@ def parse(page: str) -> Node:
                 names, fences = IMPLIED[tag]
                 while any(x.tag in names for x in stack[max([0, *(k for k, x in enumerate(stack) if x.tag in fences)]) :]):
                     close(names, fences)
-            node = Node(tag, rest)
+            node = Node(tag, rest, stack[min(len(stack), DEEPEST) - 1].drawn)
             alone = tag in VOID or rest.endswith("/") and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack))
             if len(stack) <= DEEPEST:
                 skipped.clear()
@@ -140,8 +162,7 @@ def visible(node: Node) -> bool:
         return False
     if not node.attributes:
         return True
-    style = re.sub(r"\s+", "", (node.get("style") or "").lower())
-    if node.get("hidden") is not None or (node.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+    if node.get("hidden") is not None or (node.get("aria-hidden") or "").lower() == "true" or node.style("display") == "none":
         return False
     return node.tag != "dialog" or node.get("open") is not None
 
@@ -177,25 +198,27 @@ class Flow:
 def _walk(node: Node, flow: Flow) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
-            flow.inline.append(kid.replace("\0", ""))
+            if node.drawn:
+                flow.inline.append(kid.replace("\0", ""))
         elif kid.tag == "br":
             flow.inline.append("\0")
         elif kid.tag == "wbr" or not visible(kid):
             continue
         elif kid.tag == "input":
-            if (kid.get("type") or "text").lower() in ("submit", "button", "reset"):
-                flow.inline.append(kid.get("value") or "")
+            if kid.drawn and (kid.get("type") or "text").strip().lower() not in NO_TEXT:
+                flow.inline.append((kid.get("value") or kid.get("placeholder") or "").replace("\0", ""))
         elif kid.tag == "textarea":
-            flow.inline.append("".join(kid.kids).replace("\0", "").replace("\r\n", "\n").removeprefix("\n").replace("\n", "\0"))
+            if kid.drawn:
+                flow.inline.append(("".join(kid.kids) or kid.get("placeholder") or "").replace("\0", "").replace("\r\n", "\n").removeprefix("\n").replace("\n", "\0"))
         elif kid.tag == "svg":
             _drawn(kid, flow)
         elif kid.tag == "optgroup":
-            flow.block([kid.get("label") or ""], False)
+            flow.block([(kid.get("label") or "") if kid.drawn else ""], False)
             flow.block(_lines(kid), False)
         elif kid.tag == "q":
-            flow.inline.append("“")
+            flow.inline.append("“" if kid.drawn else "")
             _walk(kid, flow)
-            flow.inline.append("”")
+            flow.inline.append("”" if kid.drawn else "")
         elif kid.tag in BLOCK:
             flow.block(_lines(kid), kid.tag in SPACED)
         else:
@@ -224,7 +247,7 @@ def _inside(node: Node) -> list[str]:
 def _lines(node: Node) -> list[str]:
     tag = node.tag
     if tag == "hr":
-        return ["---"]
+        return ["---"] if node.drawn else []
     if tag in ("pre", "xmp"):
         return _plain(node).strip("\n").split("\n")
     if tag in ("ul", "ol", "menu", "dir"):
@@ -245,11 +268,11 @@ def _plain(node: Node) -> str:
     out = []
     for kid in node.kids:
         if isinstance(kid, str):
-            out.append(kid.replace("\r\n", "\n"))
+            out.append(kid.replace("\r\n", "\n") if node.drawn else "")
         elif kid.tag == "br":
             out.append("\n")
         elif kid.tag == "svg" and visible(kid):
-            out.append("\n".join(_inside(_holder(kid))))
+            out.append("\n".join(_inside(_holder(kid, node))))
         elif visible(kid):
             out.append(_plain(kid))
     return "".join(out)
@@ -275,17 +298,15 @@ def _list(node: Node) -> list[str]:
         elif isinstance(kid, Node) and kid.tag in BLOCK and kid.tag != "li" and visible(kid):
             out += [("  " + x).rstrip() for x in _lines(kid)]
         elif isinstance(kid, Node) and kid.tag != "li" or isinstance(kid, str) and kid.strip():
-            holder = Node("div")
-            holder.kids = [kid]
-            _walk(holder, loose)
+            _walk(_holder(kid, node), loose)
             loose.flush()
             out += loose.lines
             loose.lines = []
     return out
 
 
-def _holder(kid: Node | str) -> Node:
-    holder = Node("div")
+def _holder(kid: Node | str, parent: Node) -> Node:
+    holder = Node("div", "", parent.drawn)
     holder.kids = [kid]
     return holder
 
@@ -299,65 +320,78 @@ def _cells(node: Node, heads: list[Node], row: list[Node]) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
             if kid.strip():
-                heads.append(_holder(kid))
+                heads.append(_holder(kid, node))
         elif kid.tag in ("td", "th"):
             if visible(kid):
                 row.append(kid)
         elif visible(kid) and _holds(kid, ("td", "th")):
             _cells(kid, heads, row)
         elif visible(kid):
-            heads.append(_holder(kid))
+            heads.append(_holder(kid, node))
 
 
-def _rows(node: Node, heads: list[Node], rows: list[list[Node]], feet: list[list[Node]]) -> None:
+def _rows(node: Node, heads: list[Node], rows: list, feet: list, group: Node) -> None:
+    """Rows as their group, across which no cell spans, and their cells."""
     for kid in node.kids:
         if isinstance(kid, Node) and visible(kid):
             if kid.tag == "caption":
                 heads.append(kid)
             elif kid.tag == "tr":
-                rows.append([])
-                _cells(kid, heads, rows[-1])
+                rows.append((group, []))
+                _cells(kid, heads, rows[-1][1])
             elif kid.tag in ("td", "th"):
-                rows.append([kid])
+                rows.append((group, [kid]))
             elif kid.tag == "tfoot":
-                _rows(kid, heads, feet, feet)
-            elif kid.tag in ("tbody", "thead", "table") or _holds(kid, ("caption", "tr", "td", "th", "tbody", "thead", "tfoot")):
-                _rows(kid, heads, rows, feet)
+                _rows(kid, heads, feet, feet, kid)
+            elif kid.tag in ("tbody", "thead", "table"):
+                _rows(kid, heads, rows, feet, kid)
+            elif _holds(kid, ("caption", "tr", "td", "th", "tbody", "thead", "tfoot")):
+                _rows(kid, heads, rows, feet, group)
             else:
-                heads.append(_holder(kid))
+                heads.append(_holder(kid, node))
         elif isinstance(kid, str) and kid.strip():  # text that isn't in a cell stands before the table
-            heads.append(_holder(kid))
+            heads.append(_holder(kid, node))
 
 
-def _span(cell: Node, name: str) -> int:
+def _span(cell: Node, name: str, least: int = 1) -> int:
     value = (cell.get(name) or "1").strip()
-    return min(1000, max(1, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+    return min(1000, max(least, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+
+
+def _wide(text: str) -> int:
+    """How many columns a text takes: two for a wide character, none for a combining one."""
+    return len(text) if text.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else not unicodedata.combining(c) for c in text)
 
 
 def _table(node: Node) -> list[str]:
     heads, rows, feet = [], [], []
-    _rows(node, heads, rows, feet)
-    grid, busy = [], {}  # busy: columns that a cell above still fills, and for how many rows
-    for row in [*rows, *feet]:
+    _rows(node, heads, rows, feet, node)
+    grid, busy, before = [], {}, None  # busy: columns that a cell above still fills, and for how many rows
+    for group, row in [*rows, *feet]:
+        if group is not before:
+            busy, before = {}, group
         placed, column = {}, 0
         for cell in row:
             while busy.get(column, 0):
                 column += 1
-            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
+            wide, high = _span(cell, "colspan"), _span(cell, "rowspan", 0) or 1 << 30  # 0: to the end of the group
             placed[column] = (_inside(cell), wide)
             for c in range(column, column + wide):
                 busy[c] = high
             column += wide
         busy = {c: k - 1 for c, k in busy.items() if k > 1}
         grid.append(placed)
+    # columns in which no cell starts take no room
+    starts = {c: k for k, c in enumerate(sorted({c for placed in grid for c in placed}))}
+    grid = [{starts[c]: (lines, sum(c <= x < c + wide for x in starts)) if wide > 1 else (lines, 1) for c, (lines, wide) in placed.items()} for placed in grid]
     width: dict[int, int] = {}
     for placed in grid:
         for c, (lines, wide) in placed.items():
             if wide == 1:
-                width[c] = max(width.get(c, 0), *(len(x) for x in lines), 0)
+                width[c] = max(width.get(c, 0), *(_wide(x) for x in lines), 0)
     for placed in grid:  # what a spanning cell needs beyond its columns goes to the last of them
         for c, (lines, wide) in placed.items():
-            more = max((len(x) for x in lines), default=0) - sum(width.get(k, 0) for k in range(c, c + wide)) - 2 * (wide - 1)
+            more = max((_wide(x) for x in lines), default=0) - sum(width.get(k, 0) for k in range(c, c + wide)) - 2 * (wide - 1)
             if wide > 1 and more > 0:
                 width[c + wide - 1] = width.get(c + wide - 1, 0) + more
     out = [x for h in heads for x in _inside(h)]
@@ -368,7 +402,7 @@ def _table(node: Node) -> list[str]:
             for c in range(last + 1):
                 if c in placed:
                     lines, wide = placed[c]
-                    line = line.ljust(edge) + (lines[k] if k < len(lines) else "")
+                    line += " " * (edge - _wide(line)) + (lines[k] if k < len(lines) else "")
                 edge += width.get(c, 0) + 2
                 at = c
             out.append(line.rstrip() if at == last else line)
@@ -376,7 +410,8 @@ def _table(node: Node) -> list[str]:
 
 
 def render(page: str) -> str:
-    return "\n".join(_inside(parse(page)))
+    root = parse(page)
+    return "\n".join(_inside(root)) if visible(root) else ""
 
 
 def _apply(batches):
