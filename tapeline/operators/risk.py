@@ -32,8 +32,24 @@ def check_risk(positions: DataFrame, as_of: Column) -> DataFrame:
         _event("TRAILING_STOP", "HIGH", (top > cost) & (price <= trail), trail),
         _event("DATA_MISSING", "MEDIUM", price.isNull(), F.lit(None).cast("decimal(18,4)")),
     )
-    df = positions.select("account_id", "symbol", price.cast("decimal(18,4)").alias("current_price"), F.explode(events).alias("e")).select("account_id", "symbol", "current_price", "e.*")
-    return df.withColumns({"event_key": F.concat_ws(":", F.col("account_id").cast("string"), "symbol", "event_type", as_of.cast("string")), "resolved": F.lit(False)})
+    df = positions.select("account_id", "symbol", price.cast("decimal(18,4)").alias("current_price"), as_of.cast("string").alias("_day"), F.explode(events).alias("e")).select("account_id", "symbol", "current_price", "_day", "e.*")
+    return df.withColumns({"event_key": F.concat_ws(":", F.col("account_id").cast("string"), F.col("symbol").cast("string"), "event_type", "_day"), "resolved": F.lit(False)}).drop("_day")
+
+
+def check_ticks(ticks: DataFrame, positions: DataFrame) -> DataFrame:
+    """The events that ticks (symbol, price, tick_time) raise of positions, see ``check_risk``: one for each position, kind and day, as its
+    latest tick that raises it has it, with that tick's time as event_time.
+
+    Positions of a symbol meet its ticks in one join; the latest event of a key is an aggregate, combined before the shuffle.
+    """
+    held = positions.drop("last_price").join(ticks.select("symbol", F.col("price").alias("last_price"), "tick_time"), "symbol")
+    # check_risk looks at a position and a price; the time goes along in the symbol's place and back
+    found = check_risk(held.withColumn("symbol", F.struct("symbol", "tick_time")), F.lit(None).cast("string"))
+    day = F.to_date("event_time").cast("string")
+    df = found.withColumns({"event_time": F.col("symbol.tick_time"), "symbol": F.col("symbol.symbol")})
+    df = df.withColumn("event_key", F.concat_ws(":", F.col("account_id").cast("string"), "symbol", "event_type", day))
+    newest = F.max_by(F.struct("account_id", "symbol", "event_type", "level", "message", "current_price", "trigger_price", "event_time"), F.struct("event_time", "current_price"))
+    return df.groupBy("event_key").agg(newest.alias("e")).select("event_key", "e.*").withColumn("resolved", F.lit(False))
 
 
 def resolve(events: DataFrame, keys: DataFrame) -> DataFrame:

@@ -31,6 +31,22 @@ def scan(bars: DataFrame, universe: DataFrame, task_id: int = 1, n: int = 260) -
     return rank_results(analysed.join(wanted, "symbol").withColumn("task_id", F.lit(task_id)))
 
 
+def rescan(previous: DataFrame, bars: DataFrame, universe: DataFrame, changed: DataFrame, task_id: int = 1, n: int = 260, most_listed: int = 1000) -> DataFrame:
+    """What ``scan`` gives now, from the results of an earlier one and the symbols whose bars changed since (column symbol).
+
+    Only changed symbols are analysed, and those of the universe that had no result; the others keep theirs, and all are ranked anew. As many as
+    ``most_listed`` symbols are named in the filter of the bars, which lets a table in buckets or sorted files skip the rest; they are symbols
+    of a market, not of its history, so the list is short.
+    """
+    wanted = active_universe(universe).select("symbol", "name")
+    again = changed.select("symbol").union(wanted.join(previous, "symbol", "left_anti").select("symbol")).distinct().join(wanted, "symbol", "left_semi")
+    listed = [r.symbol for r in again.limit(most_listed + 1).collect()]
+    own = bars.where(F.col("symbol").isin(listed)) if len(listed) <= most_listed else bars.join(again, "symbol", "left_semi")
+    kept = previous.drop("name", "rank_no", "task_id").join(again, "symbol", "left_anti")
+    fresh = dynamic_analysis(own, n)
+    return rank_results(kept.unionByName(fresh.select(kept.columns)).join(wanted, "symbol").withColumn("task_id", F.lit(task_id)))
+
+
 def scan_failures(bars: DataFrame, universe: DataFrame, task_id: int = 1) -> DataFrame:
     """Active securities that can't be analysed, and why."""
     n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
@@ -77,10 +93,15 @@ def candidates(results: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def validate_scan(results: DataFrame, bars: DataFrame, top_n: int = 20, hold: int = 10) -> DataFrame:
-    """A back-test of each candidate on its last 180 bars; too short ones fail by themselves."""
+    """A back-test of each candidate on its last 180 bars; too short ones fail by themselves.
+
+    Candidates, at most 50 a task, are found once and named in the filter of the bars, so that the scan isn't planned anew for each use.
+    """
     rules = Rules(hold=max(2, min(30, hold)))
-    chosen = candidates(results, top_n).select("task_id", "symbol", F.col("rank_no").alias("scan_rank"), F.col("score").alias("scan_score"))
-    own = local_bars(bars.join(chosen.select("symbol"), "symbol", "left_semi"), 180)
+    best = candidates(results, top_n).select("task_id", "symbol", F.col("rank_no").alias("scan_rank"), F.col("score").alias("scan_score"))
+    found = best.collect()
+    chosen = bars.sparkSession.createDataFrame(found, best.schema)
+    own = local_bars(bars.where(F.col("symbol").isin(sorted({r.symbol for r in found}))), 180)
     bad = failed_symbols(chosen, own, rules).select("symbol", "error_message")
     return chosen.join(backtest_summary(own, rules), "symbol", "left").join(bad, "symbol", "left").withColumn("status", F.when(F.col("total_return").isNull(), "FAILED").otherwise("SUCCESS"))
 

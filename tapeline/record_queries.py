@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle as O  # noqa: N812
 from .event_oracle import LEDGER_EVENTS
 from .functions.messages import abbreviated
-from .operators import apart, events, market, merge, risk
+from .operators import apart, events, market, merge, risk, search
 from .operators import ledger as L  # noqa: N812
 from .operators.normalize import normalize_bars, normalize_universe
 from .plans import scan as P  # noqa: N812
@@ -19,6 +19,10 @@ from .sources.fixtures import NAMES, from_table, account_events, bars, names, or
 from .streaming import incremental
 
 
+def names_of(spark, d):
+    return normalize_universe(raw_universe(spark, d))
+
+
 def _raw(spark, d):
     """Bars as providers send them: texts under their own headers, some of them broken, some days sent twice, turnover of some
     symbols as a share, and too few bars of others."""
@@ -266,7 +270,73 @@ def batch_items_sorted(spark, d):
 @query(f"{O.SCORED} select null::varchar as symbol, null::varchar as name, count(*) as total from universe where is_active and board = 'MAIN'")
 def search_past_the_end(spark, d):
     """A page behind the last one still tells the total."""
-    return market.search_securities(normalize_universe(raw_universe(spark, d)), bars(spark, d), "", 100_000, 50).select("symbol", "name", "total")
+    return market.search_securities(names_of(spark, d), bars(spark, d), "", 100_000, 50).select("symbol", "name", "total")
+
+
+@query(f"{O.BASE}, w as ({NAMES}) select symbol, name from w where symbol like '%0000%7_8%' or name like '%0000%7_8%'")
+def search_by_index(spark, d):
+    """A pattern with both wildcards, through the index of pairs."""
+    universe = names(spark, d)
+    return search.search(universe, search.build_index(universe), "0000%7_8").select("symbol", "name")
+
+
+@query(f"{O.SCORED} select symbol, name, score, eligible, latest_close, row_number() over (order by eligible desc, score desc, trade_date desc, symbol)::int as rank_no from scan")
+def scan_of_changes(spark, d):
+    """A scan as of the end of May, brought up to date by the symbols that have bars since."""
+    own, everything = bars(spark, d), names_of(spark, d)
+    before = P.scan(own.where("trade_date < date '1998-06-01'"), everything)
+    return P.rescan(before, own, everything, own.where("trade_date >= date '1998-06-01'").select("symbol")).select("symbol", "name", "score", "eligible", "latest_close", "rank_no")
+
+
+@query(f"{O.SCORED} select symbol, name, is_st from universe where not is_st")
+def universe_without_st(spark, d):
+    return normalize_universe(raw_universe(spark, d), include_st=False).select("symbol", "name", "is_st")
+
+
+@query(f"{O.SCORED}, w as ({NAMES}), f as (select symbol, name from universe where not is_st) select coalesce(f.symbol, w.symbol) as symbol, coalesce(f.name, w.name) as name from w full join f using (symbol)")
+def universe_upserted(spark, d):
+    """The feed without special treatment comes over the known universe, of which the rest stays."""
+    feed = normalize_universe(raw_universe(spark, d), include_st=False).select("symbol", "name")
+    return merge.upsert(names(spark, d), feed, ["symbol"])
+
+
+_SINK = "select task_id, symbol, max(score) as score, bool_or(eligible) as eligible from ({rows}) where {where} group by 1, 2"
+
+
+@query(f"with r as ({_RESULTS}), a as ({_SINK.format(rows='select * from r', where='score < 60')}), b as ({_SINK.format(rows='select * from r', where='score >= 40')}) select coalesce(b.task_id, a.task_id) as task_id, coalesce(b.symbol, a.symbol) as symbol, coalesce(b.score, a.score) as score, coalesce(b.eligible, a.eligible) as eligible from a full join b on a.task_id = b.task_id and a.symbol = b.symbol")
+def results_upserted(spark, d):
+    """Results of a task that runs again, by task and symbol."""
+    last = lambda df: df.groupBy("task_id", "symbol").agg(F.max("score").alias("score"), F.bool_or("eligible").alias("eligible"))
+    rows = _results(spark, d)
+    return merge.upsert(last(rows.where("score < 60")), last(rows.where("score >= 40")), ["task_id", "symbol"])
+
+
+@query(f"with f as ({_FAILED}), a as (select task_id, symbol, max(retry_count) as retry_count, bool_and(resolved) as resolved from f where task_id < 30 group by 1, 2), b as (select task_id, symbol, max(retry_count) + 10 as retry_count, bool_or(resolved) as resolved from f where task_id >= 20 group by 1, 2) select coalesce(b.task_id, a.task_id) as task_id, coalesce(b.symbol, a.symbol) as symbol, coalesce(b.retry_count, a.retry_count)::int as retry_count, coalesce(b.resolved, a.resolved) as resolved from a full join b on a.task_id = b.task_id and a.symbol = b.symbol")
+def failures_upserted(spark, d):
+    """Failures that are reported again, by task and symbol."""
+    rows = _failed(spark, d)
+    old = rows.where("task_id < 30").groupBy("task_id", "symbol").agg(F.max("retry_count").alias("retry_count"), F.bool_and("resolved").alias("resolved"))
+    new = rows.where("task_id >= 20").groupBy("task_id", "symbol").agg((F.max("retry_count") + 10).alias("retry_count"), F.bool_or("resolved").alias("resolved"))
+    return merge.upsert(old, new, ["task_id", "symbol"])
+
+
+@query(f"{LEDGER_EVENTS}, n as (select *, row_number() over (partition by account_id, day order by seq desc) as k from outcomes) select account_id, day, case when day < date '1995-01-01' then 0 else cash end::decimal(20,2) as cash, frozen_cash from n where k = 1")
+def snapshots_upserted(spark, d):
+    """Daily snapshots of a later run come over those of an earlier one, whose cash was wrong, by account and day."""
+    found = events.daily_snapshots(events.ledger_in_order(account_events(spark, d))).select("account_id", "day", "cash", "frozen_cash")
+    stale = found.where("day < '1995-07-01'").withColumn("cash", F.lit(0).cast("decimal(20,2)"))
+    return merge.upsert(stale, found.where("day >= '1995-01-01'"), ["account_id", "day"])
+
+
+@query(f"select task_id, symbol, score, eligible, rank_no from ({_RESULTS}) where task_id = 7 and eligible order by rank_no limit 100")
+def results_eligible(spark, d):
+    return market.task_results(_results(spark, d), 7, 100, eligible_only=True).select("task_id", "symbol", "score", "eligible", "rank_no")
+
+
+@query(f"select resolved, f.symbol from ({_FAILED}) f order by resolved, f.symbol limit 50")
+def failures_in_order(spark, d):
+    """The first failures, open ones before resolved ones, by symbol."""
+    return market.failures_with_names(_failed(spark, d), names(spark, d)).select("resolved", "symbol").limit(50)
 
 
 _WHOLE = O.TAIL.replace("rd <= 260", "rd <= 100000000")

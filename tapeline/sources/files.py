@@ -31,10 +31,26 @@ def read_universe(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(UNIVERSE_SCHEMA).json(folder)
 
 
-def write_bars(bars: DataFrame, folder: str) -> None:
-    """By month of the bar, sorted by symbol, so that readers of a few days or symbols skip the rest."""
+def write_bars(bars: DataFrame, folder: str, files: int = 16) -> None:
+    """By month of the bar, sorted by symbol, so that readers of a few days or symbols skip the rest; a month is written by
+    several tasks, each of a part of its symbols."""
     df = bars.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-    df.repartition("month").sortWithinPartitions("symbol", "trade_date").write.mode("overwrite").partitionBy("month").parquet(folder)
+    df.repartition("month", F.pmod(F.xxhash64("symbol"), F.lit(files))).sortWithinPartitions("month", "symbol", "trade_date").write.mode("overwrite").partitionBy("month").parquet(folder)
+
+
+def write_clustered(bars: DataFrame, name: str, folder: str, buckets: int = 64) -> None:
+    """A table of bars in buckets of symbols, a file each, sorted by symbol and date: windows over a symbol's bars need no shuffle.
+
+    The table lies in ``folder``; another session opens it there by ``open_clustered``.
+    """
+    dealt = bars.repartition(buckets, "symbol")  # as buckets are dealt, so that a task writes a single file
+    dealt.write.format("parquet").mode("overwrite").option("path", folder).bucketBy(buckets, "symbol").sortBy("symbol", "trade_date").saveAsTable(name)
+
+
+def open_clustered(spark: SparkSession, name: str, folder: str, schema: str = BAR_SCHEMA, buckets: int = 64) -> DataFrame:
+    """A table that ``write_clustered`` left in a folder."""
+    spark.sql(f"create table if not exists {name} ({schema}) using parquet clustered by (symbol) sorted by (symbol, trade_date) into {buckets} buckets location '{folder}'")
+    return spark.table(name)
 
 
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
