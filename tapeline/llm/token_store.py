@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ids_of, mix, pick, ready, shared_dir
+from .common import NO_ID, cut, ids_of, mix, pick, ready, shared_dir
 
 MEMO = 600_000
 SHARD = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, payload binary, bounds binary, ids binary, seeds binary, prints binary, places binary"
@@ -307,27 +307,55 @@ def token_digest(spark, folder: str) -> DataFrame:
     return found.join(base, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def get_tokens(spark, folder: str, keys: list[int]) -> DataFrame:
-    """doc_id, ids of a few documents: the range of each shard's keys, which Parquet's statistics hold, leaves the shards that can
-    have a key, and their indexes its place. Absent keys give no row; a key written twice gives its first row. A shard is the
-    least that is read, so the cost of a key is bounded by ``shard_ids``, however large the table is."""
-    near = F.lit(False)
-    for k in keys:
-        near |= (F.col("first_id") <= k) & (F.col("last_id") >= k)
+def find_shards(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """part, shard, file, doc_id: the shards whose range of keys holds a key (doc_id, long), for each different one.
 
-    def apply(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds = np.frombuffer(row["bounds"], "<i8")
-                own = np.array([k for k in keys if row["first_id"] <= k <= row["last_id"]], np.int64)
-                place = look_up(own, *[np.frombuffer(row[c], np.uint32) for c in ("seeds", "prints", "places")])
-                own, place = own[place >= 0], place[place >= 0]
-                ids = [np.frombuffer(row["payload"], "<u4", bounds[p + 1] - bounds[p], 4 * bounds[p]).astype(np.int64) for p in place]
-                at = [[row["part"], row["shard"]]] * len(own)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "ids": pa.array(ids, pa.list_(pa.int64()))})
-
-    shards = spark.read.schema(SHARD).parquet(folder)
-    found = ready(shards) and shards.where(near).mapInArrow(apply, "doc_id long, at array<int>, ids array<long>")
+    Only the ranges of the shards are read. Keys and ranges meet in as many stretches of the key space as there are shards, so that all
+    ranges together cover at most twice as many stretches, however unevenly keys lie.
+    """
+    ranges = shards.where(F.col("first_id") < NO_ID).select("part", "shard", "first_id", "last_id", F.col("_metadata.file_path").alias("file"))
+    ends = F.greatest("first_id", F.when(F.col("last_id") < NO_ID, F.col("last_id")))  # documents of null ids end the last one
+    n, low, high = ranges.agg(F.count("*"), F.min("first_id"), F.max(ends)).first()
+    low = low or 0
+    size = max(1, -(-((high or 0) - low + 1) // max(1, n)))
+    # decimals, as a difference of two longs may be none
+    exact = lambda x: F.lit(x).cast("decimal(20,0)")
+    place = lambda c: F.least(F.floor((F.col(c).cast("decimal(20,0)") - exact(low)) / exact(size)).cast("long"), F.lit(n))
+    covered = ranges.withColumn("place", F.explode(F.sequence(place("first_id"), place("last_id"))))
+    wanted = keys.select("doc_id").distinct().where((F.col("doc_id") >= low) & (F.col("doc_id") < NO_ID)).withColumn("place", place("doc_id"))
+    return covered.join(wanted, "place").where("doc_id between first_id and last_id").select("part", "shard", "file", "doc_id")
+
+
+def _look_up_keys(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            bounds, own = np.frombuffer(row["bounds"], "<i8"), np.array(row["wanted"], np.int64)
+            place = look_up(own, *[np.frombuffer(row[c], np.uint32) for c in ("seeds", "prints", "places")])
+            own, place = own[place >= 0], place[place >= 0]
+            same = np.frombuffer(row["ids"], "<i8")[place] == own  # an absent key may have a fingerprint of the index
+            own, place = own[same], place[same]
+            ids = [np.frombuffer(row["payload"], "<u4", bounds[p + 1] - bounds[p], 4 * bounds[p]).astype(np.int64) for p in place]
+            at = [[row["part"], row["shard"]]] * len(own)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "ids": pa.array(ids, pa.list_(pa.int64()))})
+
+
+def get_tokens(spark, folder: str, keys: DataFrame | list[int]) -> DataFrame:
+    """doc_id, ids of the documents with these keys, a table with the long column doc_id or a list.
+
+    The ranges of all shards tell the files that can have a key; only those are read, and each key is looked up in the index of its shard. So
+    a key costs its shard's file, which a task of the writer bounds, however large the store is. Absent and null keys give no row, repeated
+    ones one; a key written twice gives its first row.
+    """
+    if not isinstance(keys, DataFrame):
+        keys = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    wanted = cut(find_shards(spark.read.schema(SHARD).parquet(folder), keys))
+    files = [r.file for r in wanted.select("file").distinct().collect()]
+    shape = "doc_id long, at array<int>, ids array<long>"
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    shards = spark.read.schema(SHARD).parquet(*files)
+    own = wanted.groupBy("part", "shard").agg(F.collect_list("doc_id").alias("wanted"))  # no more keys than the shard has documents or gaps
+    found = ready(shards) and shards.join(own, ["part", "shard"]).mapInArrow(_look_up_keys, shape)
     return found.groupBy("doc_id").agg(F.min_by("ids", "at").alias("ids"))
 
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeline.llm import byte_bpe, simhash, substring_dedup, token_store
@@ -160,6 +161,24 @@ def test_get_tokens(spark, tmp_path):
     assert got == {k: t.encode(text[k] or "", add_special_tokens=False).ids + [2] for k in (60, 41, 71)}
 
 
+def test_get_many_tokens(spark, tmp_path):
+    """A hundred thousand keys, most of them absent, far apart and beside null ids; a single key reads a single file."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k, f"text {k}", "en", "s", "c", 1) for i in range(3000) for k in [i * 7 if i < 2900 else -(1 << 62) + i * 10**13]] + [(None, "none", "en", "s", "c", 1)] * 50
+    folder = f"file://{tmp_path}/tokens"
+    token_store.write_tokens(frame(spark, rows), path, folder, shard_ids=40)
+    shards = spark.read.schema(token_store.SHARD).parquet(folder)
+    keys = spark.range(100_000).select(F.col("id").alias("doc_id")).unionByName(spark.createDataFrame([(k,) for k in (None, 7, -(1 << 62) + 2950 * 10**13, (1 << 63) - 1, -(1 << 63))], "doc_id long"))
+    got = token_store.get_tokens(spark, folder, keys)
+    t = Tokenizer.from_file(path)
+    want = {k: t.encode(text, add_special_tokens=False).ids + [2] for k, text, *_ in rows if k is not None and 0 <= k or k == -(1 << 62) + 2950 * 10**13}
+    assert {r.doc_id: r.ids for r in got.collect()} == want
+    met = token_store.find_shards(shards, keys)
+    assert met.count() < 110_000 and shards.count() > 200  # a key meets a shard or two, not all
+    assert token_store.find_shards(shards, keys.where("doc_id = 7")).select("file").distinct().count() == 1
+    assert token_store.get_tokens(spark, folder, []).count() == 0
+
+
 def test_token_shards_of_one_key(spark, tmp_path):
     """Many rows of null and of one doc_id still make shards of a bounded size, and a key leads to one row."""
     path = public_tokenizers.path("word_bpe_49k.json")
