@@ -38,8 +38,9 @@ def symmetric(upper: list[float], d: int) -> np.ndarray:
 def covariance(rows: DataFrame, centred: list[Column], n: int) -> np.ndarray:
     """The covariance of columns that are centred already, by one aggregation."""
     names = [f"c{i}" for i in range(len(centred))]
-    # the columns are a step of their own, so that each is centred once and not for each of its pairs
-    flat = rows.select(*[c.alias(name) for c, name in zip(centred, names, strict=True)])
+    # the columns are a step of their own, so that each is centred once and not for each of its pairs; none is null, and
+    # Spark is told so, which spares every sum its checks
+    flat = rows.select(*[F.coalesce(c, F.lit(0.0)).alias(name) for c, name in zip(centred, names, strict=True)])
     return symmetric(list(flat.selectExpr(*pair_sums(names)).first()), len(names)) / n
 
 
