@@ -51,7 +51,7 @@ def ewm_apart(rows: DataFrame, averages: dict[str, tuple[Column, float, int]]) -
     """Adds exponential averages to rows with symbol and n: y = (1 - alpha) y + alpha x from y = x at a first n, null before.
 
     ``averages`` names (x, alpha, first). A block's average is a closed form over its own rows plus the decayed average at the end of the
-    block before. That end is the sum of the ends of earlier blocks, each a block more decayed; as many blocks count as double precision can tell.
+    block before. That end is a sum over the ends of earlier blocks, each a block more decayed: a scan of the table of blocks, in steps that double.
     """
     j, own = F.col("n") % BLOCK, Window.partitionBy("symbol", "_block").orderBy("n")
     running = own.rowsBetween(Window.unboundedPreceding, 0)
@@ -63,12 +63,12 @@ def ewm_apart(rows: DataFrame, averages: dict[str, tuple[Column, float, int]]) -
     df = df.withColumns(local)
     ends = df.groupBy("symbol", "_block").agg(*[F.max_by(c, "n").alias(c) for c in local])
     blocks = Window.partitionBy("symbol").orderBy("_block")
-    starts = {}
-    for name, (_, alpha, _) in averages.items():
-        decay = (1 - alpha) ** BLOCK
-        reach = max(1, math.ceil(math.log(5e-324) / math.log(decay))) if decay > 0 else 1
-        starts[f"_s_{name}"] = sum((F.coalesce(F.lag(f"_l_{name}", k).over(blocks), F.lit(0.0)) * decay ** (k - 1) for k in range(1, reach + 1)), F.lit(0.0))
-    starting = ends.select("symbol", "_block", *[c.alias(name) for name, c in starts.items()])
+    # sums over twice as many blocks in each step, until what is left of the first can't be told
+    decay = {f"_l_{name}": (1 - alpha) ** BLOCK for name, (_, alpha, _) in averages.items()}
+    reach = max(max(1, math.ceil(math.log(5e-324) / math.log(d))) if d > 0 else 1 for d in decay.values())
+    for step in range(math.ceil(math.log2(reach))):
+        ends = ends.withColumns({c: F.col(c) + F.coalesce(F.lag(c, 1 << step).over(blocks), F.lit(0.0)) * d ** (1 << step) for c, d in decay.items()})
+    starting = ends.select("symbol", "_block", *[F.coalesce(F.lag(f"_l_{name}", 1).over(blocks), F.lit(0.0)).alias(f"_s_{name}") for name in averages])
     found = df.join(starting, ["symbol", "_block"])
     y = {name: F.when(F.col("n") >= first, F.col(f"_l_{name}") + F.pow(F.lit(1 - alpha), j + 1) * F.col(f"_s_{name}")) for name, (_, alpha, first) in averages.items()}
     return found.withColumns(y).select(*rows.columns, *averages)
