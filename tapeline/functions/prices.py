@@ -41,5 +41,11 @@ def fees(side: Column, gross: Column, rates: dict[str, str] = RATES) -> dict[str
     return {"commission": commission.cast("decimal(18,2)"), "stamp_duty": stamp.cast("decimal(18,2)"), "transfer_fee": half_up(gross * dec(rates["transfer"]), 2)}
 
 
+def shown(value: Column, digits: int, signed: bool = False) -> Column:
+    """A double with this many digits as printf shows it: by its exact value, a tie to the even digit (``format_string`` takes ties up)."""
+    plain = "0." + "0" * digits
+    return F.call_function("format_number", value, F.lit(f"+{plain};-{plain}" if signed else plain))
+
+
 def signed_percent(value: Column) -> Column:
-    return F.format_string("%+.2f%%", value)
+    return F.concat(shown(value, 2, signed=True), F.lit("%"))

@@ -5,11 +5,13 @@ Every block of rules is one ``when`` chain, so the whole score is a projection w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import present
-from ..functions.prices import half_up, price_ladder, signed_percent, suggested_weight
+from ..functions.prices import half_up, price_ladder, shown, signed_percent, suggested_weight
 from .indicators import latest, with_indicators
 
 MIN_BARS = 80
@@ -19,8 +21,10 @@ DEFAULT_BEARISH = "指标暂未出现明显恶化，但仍需核对大盘与公
 MODE = "LOCAL_RULES_DYNAMIC"
 
 
-def _text(pattern: str, *values: Column) -> Column:
-    return F.format_string(pattern, *values)
+def _text(pattern: str, value: Column) -> Column:
+    """The pattern with the value in place of its one number, %.1f or %.2f."""
+    before, digits, after = re.split(r"%\.(\d)f", pattern)
+    return F.concat(F.lit(before), shown(value, int(digits)), F.lit(after.replace("%%", "%")))
 
 
 def _blocks() -> dict[str, list[tuple[Column, int, Column | None, Column | None]]]:
@@ -143,8 +147,8 @@ def score_latest(df: DataFrame) -> DataFrame:
 def summary() -> Column:
     side = F.when(F.col("close").cast("double") >= F.col("ma20"), "高于").otherwise("低于")
     parts = [
-        F.lit("截至"), F.col("trade_date").cast("string"), F.format_string("，收盘价%.2f元，近5日", F.col("close").cast("double")), signed_percent(F.col("return5")), F.lit("、近20日"), signed_percent(F.col("return20")),
-        F.lit("。当前价格"), side, F.format_string("20日均线，RSI14为%.1f，量比约%.2f，动态规则评分为%d分。", F.col("rsi14"), F.col("volume_ratio20"), F.col("score")),
+        F.lit("截至"), F.col("trade_date").cast("string"), F.lit("，收盘价"), half_up(F.col("close"), 2).cast("string"), F.lit("元，近5日"), signed_percent(F.col("return5")), F.lit("、近20日"), signed_percent(F.col("return20")),
+        F.lit("。当前价格"), side, _text("20日均线，RSI14为%.1f，量比约", F.col("rsi14")), shown(F.col("volume_ratio20"), 2), F.lit("，动态规则评分为"), F.col("score").cast("string"), F.lit("分。"),
     ]
     return F.concat(*parts)
 

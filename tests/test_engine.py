@@ -283,3 +283,11 @@ def test_ohlc_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("ohlc_rows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(spark.table("ohlc_rows").collect()) == sorted(incremental.ohlc(events).collect())
+
+
+def test_numbers_in_texts_round_as_printf(spark):
+    from tapeline.functions.prices import shown, signed_percent
+
+    values = [0.125, 0.375, 2.675, 1234567.005, -0.001, -3.125, 70.25, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", shown(F.col("x"), 2).alias("two"), shown(F.col("x"), 1).alias("one"), signed_percent(F.col("x")).alias("signed"))
+    assert [tuple(r) for r in df.collect()] == [(v, f"{v:.2f}", f"{v:.1f}", f"{v:+.2f}%") for v in values]
