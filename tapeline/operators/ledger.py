@@ -88,34 +88,46 @@ def replay(orders: DataFrame, rates: dict[str, str] = RATES) -> DataFrame:
     return fold_sorted(df, ["account_id", "symbol"], ["trade_date", "order_id"], lambda _: _Holding(), _Holding.fill, _FILL)
 
 
+def daily(fills: DataFrame) -> DataFrame:
+    """What each account did in each symbol on each of its days, and what it then held; one pass over the fills, and all that positions, highs,
+    cash and the equity curve need of them. As small as the days are, it can be kept (``cut``) where several of those are wanted."""
+    good = F.col("status") == "FILLED"
+    bought = good & (F.col("side") == "BUY")
+    return fills.groupBy("account_id", "symbol", "trade_date").agg(
+        F.max_by(F.struct("held", "available", "average_cost"), "order_id").alias("p"), F.count_if(good).alias("filled"), F.sum(F.when(good, F.when(F.col("side") == "BUY", -F.col("net")).otherwise(F.col("net")))).alias("change"),
+        F.sum(F.when(good, F.col("realized"))).alias("gain"), F.sum(F.when(good, F.col("total_fee"))).alias("fees"), F.max(F.when(bought, F.col("price"))).alias("paid"), F.max(F.when(bought, F.col("order_id"))).alias("bought_id"),
+        F.max(F.when(bought & (F.col("held") == F.col("quantity")), F.col("trade_date"))).alias("opened"),
+    )
+
+
+def _daily(fills: DataFrame) -> DataFrame:
+    return fills if "bought_id" in fills.columns else daily(fills)
+
+
 def positions(fills: DataFrame) -> DataFrame:
-    """Open positions: the state after the last order of each account and symbol, and its last purchase."""
-    last = F.max_by(F.struct("held", "available", "average_cost"), F.struct("trade_date", "order_id"))
-    df = fills.groupBy("account_id", "symbol").agg(last.alias("p"), F.max(F.when((F.col("status") == "FILLED") & (F.col("side") == "BUY"), F.col("trade_date"))).alias("last_buy_date"))
+    """Open positions: the state after the last order of each account and symbol, and its last purchase. Takes fills or their ``daily``."""
+    df = _daily(fills).groupBy("account_id", "symbol").agg(F.max_by("p", "trade_date").alias("p"), F.max(F.when(F.col("bought_id").isNotNull(), F.col("trade_date"))).alias("last_buy_date"))
     return df.select("account_id", "symbol", F.col("p.held").alias("quantity"), F.col("p.available").alias("available_quantity"), F.col("p.average_cost").alias("average_cost"), "last_buy_date").where("quantity > 0")
 
 
 def position_highs(fills: DataFrame, bars: DataFrame) -> DataFrame:
     """account_id, symbol, opened, highest_price: the day on which the holding last rose from zero, and the highest of its
-    purchase prices and QFQ closes from that day on.
+    purchase prices and QFQ closes from that day on. Takes fills or their ``daily``.
 
     Accounts that opened a symbol on the same day share one look at its bars.
     """
     keys = ["account_id", "symbol"]
-    bought = fills.where("status = 'FILLED' and side = 'BUY'")
-    opened = bought.where("held = quantity").groupBy(*keys).agg(F.max("trade_date").alias("opened"))
-    paid = bought.join(opened, keys).where("trade_date >= opened").groupBy(*keys, "opened").agg(F.max("price").alias("paid"))
+    days = _daily(fills).select(*keys, "trade_date", "paid", F.max("opened").over(Window.partitionBy(*keys)).alias("opened"))
+    paid = days.where("trade_date >= opened").groupBy(*keys, "opened").agg(F.max("paid").alias("paid"))
     closes = bars.where("adjust_type = 'QFQ'").select("symbol", "trade_date", "close")
-    tops = opened.select("symbol", "opened").distinct().join(closes, "symbol").where("trade_date >= opened").groupBy("symbol", "opened").agg(F.max("close").alias("top"))
+    tops = paid.select("symbol", "opened").distinct().join(closes, "symbol").where("trade_date >= opened").groupBy("symbol", "opened").agg(F.max("close").alias("top"))
     return paid.join(tops, ["symbol", "opened"], "left").select(*keys, "opened", F.greatest("paid", F.col("top").cast("decimal(18,4)")).alias("highest_price"))
 
 
 def cash_flow(fills: DataFrame, capital: str) -> DataFrame:
-    """One row an account: cash, realized profit and fees from its fills."""
-    good = fills.where("status = 'FILLED'")
-    change = F.sum(F.when(F.col("side") == "BUY", -F.col("net")).otherwise(F.col("net")))
-    return good.groupBy("account_id").agg(
-        (F.lit(capital).cast(MONEY) + change).cast(MONEY).alias("cash"), F.sum("realized").cast(MONEY).alias("realized_pnl"), F.sum("total_fee").cast(MONEY).alias("total_fees")
+    """One row an account: cash, realized profit and fees from its fills or their ``daily``."""
+    return _daily(fills).where("filled > 0").groupBy("account_id").agg(
+        (F.lit(capital).cast(MONEY) + F.sum("change")).cast(MONEY).alias("cash"), F.sum("gain").cast(MONEY).alias("realized_pnl"), F.sum("fees").cast(MONEY).alias("total_fees")
     )
 
 
@@ -210,12 +222,11 @@ def equity_curve(fills: DataFrame, bars: DataFrame, capital: str, days: int = 36
     A holding counts from a day with fills to its next one, at the newest QFQ close up to the snapshot's day (its cost where
     there is none), which is looked up once for all accounts.
     """
-    good = fills.where("status = 'FILLED'")
-    change = F.sum(F.when(F.col("side") == "BUY", -F.col("net")).otherwise(F.col("net")))
-    daily = good.groupBy("account_id", "trade_date").agg(change.alias("change"), F.sum("realized").alias("gain"))
+    good = _daily(fills).where("filled > 0")
+    moves = good.groupBy("account_id", "trade_date").agg(F.sum("change").alias("change"), F.sum("gain").alias("gain"))
     upto = Window.partitionBy("account_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     newest = Window.partitionBy("account_id").orderBy(F.desc("trade_date"))
-    df = daily.select("account_id", "trade_date", (F.lit(capital).cast(MONEY) + F.sum("change").over(upto)).cast(MONEY).alias("cash"), F.sum("gain").over(upto).cast(MONEY).alias("realized_pnl"))
+    df = moves.select("account_id", "trade_date", (F.lit(capital).cast(MONEY) + F.sum("change").over(upto)).cast(MONEY).alias("cash"), F.sum("gain").over(upto).cast(MONEY).alias("realized_pnl"))
     df = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max(7, min(1000, days))).drop("_n")
     held = _held_on(good, df.select("account_id", "trade_date"))
     wanted = held.select("symbol", "trade_date").distinct()
@@ -225,8 +236,8 @@ def equity_curve(fills: DataFrame, bars: DataFrame, capital: str, days: int = 36
 
 
 def _held_on(good: DataFrame, days: DataFrame) -> DataFrame:
-    """What each account holds at the end of its days, from its fills."""
-    state = good.groupBy("account_id", "symbol", "trade_date").agg(F.max_by(F.struct("held", "average_cost"), "order_id").alias("p"))
+    """What each account holds at the end of its days, from its ``daily`` with fills."""
+    state = good.select("account_id", "symbol", "trade_date", "p")
     later = F.lead("trade_date").over(Window.partitionBy("account_id", "symbol").orderBy("trade_date"))
     spans = state.select("account_id", "symbol", F.col("p.held").alias("quantity"), F.col("p.average_cost").alias("average_cost"), F.col("trade_date").alias("_from"), later.alias("_till"))
     inside = (F.col("trade_date") >= F.col("_from")) & (F.col("_till").isNull() | (F.col("trade_date") < F.col("_till")))

@@ -14,6 +14,7 @@ from .operators import score as S  # noqa: N812
 from .operators.indicators import latest, with_exact_indicators, with_indicators
 from .operators.normalize import normalize_universe
 from .plans import scan as P  # noqa: N812
+from .sources.files import cut
 from .sources.fixtures import NAMES, UNIVERSE, WIDE, bars, names, order_feed, raw_universe, wide_universe
 from .streaming import incremental
 
@@ -351,8 +352,14 @@ def tplus1_available(spark, d):
     return L.available_tomorrow(L.positions(L.replay(order_feed(spark, d))), pending, F.lit("1998-08-01").cast("date")).select("account_id", "symbol", "available_quantity")
 
 
-def marked_positions(spark, d):
-    return L.marked(L.positions(L.replay(order_feed(spark, d))), market.latest_bars(bars(spark, d)))
+def traded(spark, d):
+    """The feed's fills by day, computed once however often a query looks at them."""
+    return cut(L.daily(L.replay(order_feed(spark, d))))
+
+
+def marked_positions(spark, d, fills=None):
+    fills = L.replay(order_feed(spark, d)) if fills is None else fills
+    return L.marked(L.positions(fills), market.latest_bars(bars(spark, d)))
 
 
 @query(f"{O.LEDGER} select account_id, symbol, quantity, average_cost, last_price, market_value, unrealized_pnl, missing, coalesce(round(unrealized_pnl::double / nullif((average_cost * quantity)::double, 0), 8), 0) as pnl_rate from marked")
@@ -381,7 +388,8 @@ def order_freezes(spark, d):
     "(c.cash + coalesce(v.market_value, 0))::decimal(20,2) as total_asset, round((c.cash + coalesce(v.market_value, 0))::double / 100000000 - 1, 8) as total_return from cash c left join v using (account_id) left join fz using (account_id)"
 )
 def account_summary(spark, d):
-    return L.account_summary(L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL), marked_positions(spark, d), CAPITAL, pending_orders(spark, d))
+    fills = traded(spark, d)
+    return L.account_summary(L.cash_flow(fills, CAPITAL), marked_positions(spark, d, fills), CAPITAL, pending_orders(spark, d))
 
 
 @query(
@@ -395,8 +403,8 @@ def account_summary(spark, d):
 def purchase_gate(spark, d):
     """The gates of every purchase in the feed against the state after all fills."""
     wanted = L.validated(L.with_fees(order_feed(spark, d))).where("side = 'BUY' and reject_reason is null")
-    cash = L.cash_flow(L.replay(order_feed(spark, d)), CAPITAL)
-    return L.gate_purchases(wanted, cash, marked_positions(spark, d), pending_orders(spark, d), max_positions=24).select("order_id", "refused")
+    fills = traded(spark, d)
+    return L.gate_purchases(wanted, L.cash_flow(fills, CAPITAL), marked_positions(spark, d, fills), pending_orders(spark, d), max_positions=24).select("order_id", "refused")
 
 
 _HIGHS = (
@@ -408,7 +416,7 @@ _HIGHS = (
 
 @query(f"{O.LEDGER}, {_HIGHS} select * from highs")
 def position_highs(spark, d):
-    return L.position_highs(L.replay(order_feed(spark, d)), bars(spark, d))
+    return L.position_highs(traded(spark, d), bars(spark, d))
 
 
 _RISK = f"{_HIGHS}, top_ as (select marked.*, highest_price as top, (average_cost * 0.95)::decimal(18,4) as stop_, (average_cost * 1.08)::decimal(18,4) as target_ from marked join highs using (account_id, symbol))"
@@ -423,8 +431,9 @@ _RISK = f"{_HIGHS}, top_ as (select marked.*, highest_price as top, (average_cos
 )
 def risk_events(spark, d):
     kind = "decimal(18,4)"
-    highs = L.position_highs(L.replay(order_feed(spark, d)), bars(spark, d))
-    df = marked_positions(spark, d).join(highs, ["account_id", "symbol"], "left").withColumns(
+    fills = traded(spark, d)
+    highs = L.position_highs(fills, bars(spark, d))
+    df = marked_positions(spark, d, fills).join(highs, ["account_id", "symbol"], "left").withColumns(
         {
             "stop_loss": (F.col("average_cost") * F.lit("0.95").cast("decimal(4,2)")).cast(kind),
             "target_price": (F.col("average_cost") * F.lit("1.08").cast("decimal(4,2)")).cast(kind), "trailing_pct": F.lit(None).cast("decimal(8,4)"), "last_price": F.when(~F.col("missing"), F.col("last_price")),
@@ -445,7 +454,7 @@ def risk_events(spark, d):
     "(cash + coalesce(market_value, 0))::decimal(20,2) as total_asset, round((cash + coalesce(market_value, 0))::double / 100000000 - 1, 8) as total_return from cum left join vl using (account_id, trade_date) where k <= 90"
 )
 def equity_curve(spark, d):
-    return L.equity_curve(L.replay(order_feed(spark, d)), bars(spark, d), CAPITAL, 90)
+    return L.equity_curve(traded(spark, d), bars(spark, d), CAPITAL, 90)
 
 
 @query(
@@ -456,11 +465,11 @@ def equity_curve(spark, d):
 )
 def position_details(spark, d):
     """The view with names, plans and trailing stops; two thirds of the orders have a plan."""
-    fills, orders = L.replay(order_feed(spark, d)), order_feed(spark, d).where("side = 'BUY' and order_id % 3 > 0")
-    source = fills.where("status = 'FILLED' and side = 'BUY'").groupBy("account_id", "symbol").agg(F.max_by("order_id", F.struct("trade_date", "order_id")).alias("source_plan_id"))
+    fills, orders = traded(spark, d), order_feed(spark, d).where("side = 'BUY' and order_id % 3 > 0")
+    source = fills.where("bought_id is not null").groupBy("account_id", "symbol").agg(F.max_by("bought_id", "trade_date").alias("source_plan_id"))
     ladder = price_ladder(F.col("price"))
     plans = orders.select(F.col("order_id").alias("plan_id"), ladder["stop_loss"].alias("stop_loss"), ladder["target1"].alias("target1"), F.when(F.col("order_id") % 2 == 0, "OPEN").otherwise("ORDER_CREATED").alias("status"))
-    df = L.position_details(marked_positions(spark, d).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names(spark, d), plans)
+    df = L.position_details(marked_positions(spark, d, fills).join(source, ["account_id", "symbol"], "left"), L.position_highs(fills, bars(spark, d)), names(spark, d), plans)
     return df.select("account_id", "symbol", "name", "quantity", "market_value", "highest_price", "trailing_stop_price", "stop_loss", "target_price", "plan_status")
 
 

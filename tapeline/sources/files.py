@@ -12,6 +12,18 @@ BAR_SCHEMA = (
 UNIVERSE_SCHEMA = "symbol string, name string, exchange string, board string, is_st boolean, is_active boolean"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared checkpoint folder; without that setting a local session takes a temporary folder, and
+    a cluster, whose machines have none in common, is an error."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or "file:///tmp/checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def write_csv_cache(bars: DataFrame, folder: str, source: str) -> None:
     """One folder of CSV files; where the bars come from is a column."""
     bars.withColumn("data_source", F.lit(source)).write.mode("overwrite").option("header", True).csv(folder)
