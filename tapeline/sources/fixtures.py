@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.apart import number_apart
+
 _SYMBOL = """concat(case cast({key} % 10 as int) when 0 then '000' when 1 then '001' when 2 then '002' when 3 then '601'
                    when 4 then '603' when 5 then '605' when 6 then '300' when 7 then '688' else '600' end,
               lpad(cast({key} as varchar(10)), 3, '0'))"""
@@ -119,5 +121,8 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of accounts in order, see ``operators.events``."""
-    return from_table(spark, sf_dir, EVENTS, "orders")
+    """Events of accounts in order, see ``operators.events``; the rows of ``EVENTS``, numbered without a task that sorts an account."""
+    head, tail = EVENTS.rsplit("row_number() over (partition by account_id order by day, stage, k) as seq", 1)
+    rows = from_table(spark, sf_dir, f"{head}stage, k{tail}", "orders")
+    placed = number_apart(rows, ["account_id"], [(F.col("day"), False), (F.col("stage"), False)], [F.col("k")], "_n")
+    return placed.select("account_id", (F.col("_n") + 1).cast("int").alias("seq"), *[c for c in rows.columns if c not in ("account_id", "stage", "k")])
