@@ -98,8 +98,10 @@ def look_up(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, places: np.
     return np.where(prints[at] == own, places[at].astype(np.int64), -1)
 
 
-#: Runs of letters and digits, and of other ASCII characters, in text whose ASCII letters are lower case.
-RUNS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
+#: What a byte of a text belongs to: white space 0, which is dropped, or a word. In runs, of text whose ASCII letters are lower case,
+#: letters, digits and other than ASCII bytes are told from the rest.
+WORD_KINDS = np.array([0 if x in b" \t\n\r\f\v" else 1 for x in range(256)], np.uint8)
+RUN_KINDS = np.array([2 if k and x < 0x80 and not (97 <= x <= 122 or 48 <= x <= 57) else k for x, k in enumerate(WORD_KINDS.tolist())], np.uint8)
 BAR = b"|"
 #: How the vocabulary marks a token that ends a word.
 WORD_END = "</w>"
@@ -124,6 +126,19 @@ def letters(run: bytes) -> bool:
     return run.isalpha() if run.isascii() else run.decode().isalpha() and lower(run).isalpha()
 
 
+def _parts(texts: list[bytes], kinds: np.ndarray) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The different stretches of one kind of byte in some texts, the number of each stretch in order, and where each text and the end start among those."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    kind = kinds[data]
+    edge = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1))  # the last byte is white space, so a part has an edge behind it
+    own = np.flatnonzero(kind[edge])
+    start = edge[own]
+    offsets = np.append(0, np.cumsum(edge[own + 1] - start)) if len(own) else np.zeros(1, np.int64)
+    parts = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(data[kind != 0])]).dictionary_encode()
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return parts.dictionary.to_pylist(), parts.indices, np.append(0, np.searchsorted(start, ends))
+
+
 class Encoder:
     """Ids of whole texts, from those of their runs; the ids of runs already seen are kept, in a table of bounded size.
 
@@ -185,19 +200,28 @@ class Encoder:
         memo.update(zip(parts, map(data.__getitem__, map(slice, (4 * start).tolist(), (4 * end).tolist())), strict=True))
         return True
 
-    def _by(self, memo: dict[bytes, bytes], split: list[list[bytes]], by_run: bool) -> list[bytes | None]:
-        """The ids of split texts; None for one with a run that isn't plain."""
-        known = memo.get
-        ids = [list(map(known, parts)) for parts in split]
-        missing = {p for parts, own in zip(split, ids, strict=True) if None in own for p, x in zip(parts, own, strict=True) if x is None}
+    def _by(self, memo: dict[bytes, bytes], texts: list[bytes], by_run: bool) -> list[bytes | None]:
+        """The ids of texts by their runs, or by their words; None for one with a run that isn't plain.
+
+        Parts are numbered by Arrow, so Python looks only at the different ones of these texts.
+        """
+        parts, index, first = _parts(texts, RUN_KINDS if by_run else WORD_KINDS)
+        ids = list(map(memo.get, parts))
+        missing = {p for p, x in zip(parts, ids, strict=True) if x is None}
         if missing:
             if len(memo) + len(missing) > MEMO:  # the table starts anew, with these texts' parts
-                missing = set().union(*split)
+                missing = set(parts)
             self._learn(memo, missing, by_run)
-            new = memo.__getitem__
-            ids = [map(new, parts) if None in own else own for parts, own in zip(split, ids, strict=True)]
-        bad = self.unsafe if by_run else ()
-        return [None if bad and not bad.isdisjoint(parts) else b"".join(own) for parts, own in zip(split, ids, strict=True)]
+            ids = list(map(memo.__getitem__, parts))
+        found = pa.array(ids, pa.large_binary()).take(index)
+        at = np.frombuffer(found.buffers()[1], np.int64, len(index) + 1)[first].tolist() if len(index) else [0] * len(first)
+        data = memoryview(found.buffers()[2] or b"")
+        good = np.ones(len(texts), bool)
+        if by_run and self.unsafe:
+            bad = np.fromiter(map(self.unsafe.__contains__, parts), bool, len(parts))
+            upto = np.append(0, np.cumsum(bad[index.to_numpy()]))
+            good = upto[first[1:]] == upto[first[:-1]]
+        return [bytes(data[x:y]) if yes else None for x, y, yes in zip(at[:-1], at[1:], good.tolist(), strict=True)]
 
     def _groups(self, texts: list[bytes]):
         """A few texts at a time, so that what is learnt at once is bounded too."""
@@ -205,7 +229,7 @@ class Encoder:
         for i, text in enumerate(texts):
             group.append(i)
             size += len(text)
-            if size > 1 << 20 or i == len(texts) - 1:
+            if size > 1 << 23 or i == len(texts) - 1:
                 yield group
                 group, size = [], 0
 
@@ -214,10 +238,10 @@ class Encoder:
         last, out = np.array([end], "<u4").tobytes(), [b""] * len(texts)
         for group in self._groups(texts):
             easy = [i for i in group if b"'" not in texts[i] and b"<|" not in texts[i]]
-            for i, ids in zip(easy, self._by(self.runs, [RUNS.findall(texts[i].lower()) for i in easy], True), strict=True):
+            for i, ids in zip(easy, self._by(self.runs, [texts[i].lower() for i in easy], True), strict=True):
                 out[i] = ids
             hard = [i for i in set(group) - set(easy)] + [i for i in easy if out[i] is None]
-            for i, ids in zip(hard, self._by(self.words, [texts[i].split() for i in hard], False), strict=True):
+            for i, ids in zip(hard, self._by(self.words, [texts[i] for i in hard], False), strict=True):
                 out[i] = ids
         return [x + last for x in out]
 
