@@ -25,13 +25,14 @@ def rename_headers(raw: DataFrame) -> DataFrame:
     return raw.withColumnsRenamed({k: v for k, v in renamed.items() if k != v})
 
 
-def normalize_bars(raw: DataFrame, sequence: str, min_rows: int = 80) -> DataFrame:
+def normalize_bars(raw: DataFrame, sequence: str, min_rows: int = 80, listing: str | None = None) -> DataFrame:
     """symbol, trade_date and numbers as doubles, by date; raw also has ``symbol`` and ``provider``.
 
     Headers are renamed, bad values become null, missing optional numbers 0. The provider ``tencent`` gives volume as
     amount when it has no volume; ``sina`` gives turnover as a share if no row of the symbol is above 1.5. Rows without a
     required value go, of equal dates the last one by ``sequence`` stays, symbols with fewer than ``min_rows`` bars go.
-    A missing required column is an error.
+    Where symbols have bars of several listings, ``listing`` names the column that tells those apart: dates are equal within one listing
+    then, the rest is by symbol as before. A missing required column is an error.
     """
     df = rename_headers(raw)
     if "volume" not in df.columns and "amount" in df.columns:
@@ -46,7 +47,7 @@ def normalize_bars(raw: DataFrame, sequence: str, min_rows: int = 80) -> DataFra
     df = df.withColumn("turnover_rate", F.when((F.col("provider") == "sina") & (largest <= 1.5), F.col("turnover_rate") * 100).otherwise(F.col("turnover_rate")))
     # NaN is missing too
     df = df.dropna(subset=list(REQUIRED))
-    newest = Window.partitionBy("symbol", "trade_date").orderBy(F.desc_nulls_last(sequence))
+    newest = Window.partitionBy("symbol", *([listing] if listing else []), "trade_date").orderBy(F.desc_nulls_last(sequence))
     df = df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
     df = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_rows") >= min_rows)
     return df.select("symbol", "provider", "trade_date", *NUMBERS)
