@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import of_day
+
 #: Bars of a block; the weights of an exponential average of alpha up to 0.45 stay in range over so many.
 BLOCK = 1024
 
@@ -44,7 +46,7 @@ def rank_apart(results: DataFrame) -> DataFrame:
 def numbered_apart(bars: DataFrame, name: str = "n") -> DataFrame:
     """The place of each bar among its symbol's, from 0; a task holds a symbol's bars of 1,024 days at most."""
     period = F.floor(F.unix_date("trade_date") / BLOCK)
-    return number_apart(bars, ["symbol"], [(period, False)], [F.col("trade_date")], name)
+    return number_apart(bars, ["symbol"], [(period, False)], [F.col("trade_date"), *of_day(bars)], name)
 
 
 def ewm_apart(rows: DataFrame, averages: dict[str, tuple[Column, float, int]]) -> DataFrame:

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 LONGEST = 3000
 
 
+def of_day(bars: DataFrame) -> list[Column]:
+    """What puts bars of one symbol and day in order, as a symbol's dates may repeat: the prices, then every other column.
+
+    So the order of a symbol's bars is whole, and results don't depend on how rows come to a task.
+    """
+    known = [c for c in ("close", "high", "low", "open", "volume", "amount") if c in bars.columns]
+    others = [c for c, kind in bars.dtypes if c not in (*known, "symbol", "trade_date") and "map<" not in kind and "variant" not in kind]
+    return [F.col(f"`{c}`") for c in known + others]
+
+
 def by_date():
-    return Window.partitionBy("symbol").orderBy("trade_date")
+    """A symbol's bars in order; they are ``numbered``."""
+    return Window.partitionBy("symbol").orderBy("n")
 
 
 def last(n: int, skip: int = 0):
@@ -24,13 +35,14 @@ def last(n: int, skip: int = 0):
 
 def tail(bars: DataFrame, n: int) -> DataFrame:
     """The last n bars of each symbol; a rank filter, which Spark applies before the shuffle too."""
-    newest = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    newest = Window.partitionBy("symbol").orderBy(F.desc("trade_date"), *[c.desc() for c in of_day(bars)])
     return bars.withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= n).drop("_newest")
 
 
 def numbered(bars: DataFrame) -> DataFrame:
     """Adds n, the bar's place from 0, and n_bars."""
-    return bars.withColumns({"n": F.row_number().over(by_date()) - 1, "n_bars": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    order = Window.partitionBy("symbol").orderBy("trade_date", *of_day(bars))
+    return bars.withColumns({"n": F.row_number().over(order) - 1, "n_bars": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
 
 
 def ewm(value: Column, alpha: float, n: Column) -> Column:

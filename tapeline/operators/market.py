@@ -42,8 +42,8 @@ def history(bars: DataFrame, fetched: DataFrame, symbol: str, n: int, as_of: dat
 
 
 def latest_bars(bars: DataFrame) -> DataFrame:
-    """The newest QFQ bar of each symbol, by an aggregate that is combined before the shuffle."""
-    newest = F.max_by(F.struct("trade_date", "close"), "trade_date")
+    """The newest QFQ bar of each symbol, the one of the highest close on a day with several, by an aggregate that is combined before the shuffle."""
+    newest = F.max(F.when(F.col("trade_date").isNotNull(), F.struct("trade_date", "close")))
     return bars.where("adjust_type = 'QFQ'").groupBy("symbol").agg(newest.alias("b")).select("symbol", F.col("b.trade_date").alias("latest_date"), F.col("b.close").alias("latest_price"))
 
 
