@@ -18,6 +18,11 @@ def half_up(value: Column, digits: int, precision: int = 18) -> Column:
     return F.round(value, digits).cast(f"decimal({precision},{digits})")
 
 
+def by_value(value: Column, digits: int) -> Column:
+    """A double rounded by its own value, as the SQL does; ``F.round`` goes by its shortest digits, which may show a half that the value isn't."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def price_ladder(price: Column) -> dict[str, Column]:
     """Entry band, stop and targets around a price, each to two digits."""
     return {k: half_up(price * dec(v, 2), 2) for k, v in LADDER.items()}

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prices import by_value
 from .folds import fold_sorted
 from .indicators import by_date, last, numbered, tail
 
@@ -33,11 +34,6 @@ def _d(text: str) -> Column:
     return F.lit(text).cast("decimal(12,6)")
 
 
-def _rounded(value: Column, digits: int) -> Column:
-    """A double rounded by its own value, as the SQL does; ``F.round`` goes by its shortest digits, which may show a half that the value isn't."""
-    return F.round(value * 10.0**digits) / 10.0**digits
-
-
 def backtest_signals(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """symbol, signal_n, signal_date, entry: bars on the fixed grid that close above their mean of 20, with the next open."""
     stride = max(2, rules.hold)
@@ -114,8 +110,8 @@ def backtest_trades(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     exits = backtest_exits(bars, rules)
     folded = fold_sorted(exits, ["symbol"], ["signal_n"], lambda _: _Capital(rules), _Capital.trade, _TRADE)
-    share = _rounded((F.col("peak") - F.col("capital")).cast("double") / F.col("peak").cast("double"), 6)
-    return folded.withColumns({"trade_return": _rounded(F.col("pnl").cast("double") / (F.col("entry") * F.col("quantity")).cast("double"), 6), "drawdown": share})
+    share = by_value((F.col("peak") - F.col("capital")).cast("double") / F.col("peak").cast("double"), 6)
+    return folded.withColumns({"trade_return": by_value(F.col("pnl").cast("double") / (F.col("entry") * F.col("quantity")).cast("double"), 6), "drawdown": share})
 
 
 def backtest_summary(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -132,11 +128,11 @@ def backtest_summary(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     zero = F.lit(0.0)
     return able.join(done, "symbol", "left").select(
         "symbol",
-        _rounded(F.coalesce("final_capital", F.lit(capital)), 4).alias("final_capital"),
-        _rounded(F.coalesce(F.col("final_capital") / capital - 1, zero), 6).alias("total_return"),
+        by_value(F.coalesce("final_capital", F.lit(capital)), 4).alias("final_capital"),
+        by_value(F.coalesce(F.col("final_capital") / capital - 1, zero), 6).alias("total_return"),
         F.coalesce("max_drawdown", zero).alias("max_drawdown"),
-        _rounded(F.coalesce(F.col("wins") / F.col("trades"), zero), 6).alias("win_rate"),
-        _rounded(F.coalesce(F.when(F.col("gross_loss") == 0, F.col("gross_win")).otherwise(F.try_divide("gross_win", "gross_loss")), zero), 6).alias("profit_loss_ratio"),
+        by_value(F.coalesce(F.col("wins") / F.col("trades"), zero), 6).alias("win_rate"),
+        by_value(F.coalesce(F.when(F.col("gross_loss") == 0, F.col("gross_win")).otherwise(F.try_divide("gross_win", "gross_loss")), zero), 6).alias("profit_loss_ratio"),
         F.coalesce("trades", F.lit(0)).cast("bigint").alias("trade_count"),
     )
 

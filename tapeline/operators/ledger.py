@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prices import RATES, fees, half_up, lots
+from ..functions.prices import RATES, by_value, fees, half_up, lots
 from .folds import fold_sorted
 from .risk import trailing_price
 
@@ -149,7 +149,7 @@ def marked(positions_: DataFrame, latest: DataFrame) -> DataFrame:
     """Positions with last price (their cost where there is none), market value and unrealized profit."""
     df = _marked(positions_.join(latest.select("symbol", F.col("latest_price")), "symbol", "left"))
     cost = (F.col("average_cost") * F.col("quantity").cast("decimal(12,0)")).cast("double")
-    return df.withColumn("pnl_rate", F.coalesce(F.round(F.try_divide(F.col("unrealized_pnl").cast("double"), F.nullif(cost, F.lit(0.0))), 8), F.lit(0.0)))
+    return df.withColumn("pnl_rate", F.coalesce(by_value(F.try_divide(F.col("unrealized_pnl").cast("double"), F.nullif(cost, F.lit(0.0))), 8), F.lit(0.0)))
 
 
 def position_details(marked_: DataFrame, highs: DataFrame, universe: DataFrame, plans: DataFrame, trailing: str = "0.04") -> DataFrame:
@@ -205,7 +205,7 @@ def _with_asset(df: DataFrame, capital: str) -> DataFrame:
     """Adds total asset and return to cash and market value, which is 0 where there is no position."""
     df = df.withColumns({c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("market_value", "unrealized_pnl")} | {"positions": F.coalesce("positions", F.lit(0))})
     df = df.withColumn("total_asset", (F.col("cash") + F.col("market_value")).cast(MONEY))
-    return df.withColumn("total_return", F.round(F.col("total_asset").cast("double") / float(capital) - 1, 8))
+    return df.withColumn("total_return", by_value(F.col("total_asset").cast("double") / float(capital) - 1, 8))
 
 
 def account_summary(cash: DataFrame, marked_: DataFrame, capital: str, frozen: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prices import by_value
 from ..operators.backtest import Rules, backtest_summary, failed_symbols, local_bars
 from ..operators.normalize import active_universe
 from ..operators.score import MIN_BARS, dynamic_analysis
@@ -109,7 +110,7 @@ def validate_scan(results: DataFrame, bars: DataFrame, top_n: int = 20, hold: in
 def validation_summary(validated: DataFrame) -> DataFrame:
     """One row a task: means over successes (0 without any), counts, and how many gained."""
     good = F.col("status") == "SUCCESS"
-    mean = lambda c: F.round(F.coalesce(F.avg(F.when(good, F.col(c))), F.lit(0.0)), 8)
+    mean = lambda c: by_value(F.coalesce(F.avg(F.when(good, F.col(c))), F.lit(0.0)), 8)
     return validated.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("total_symbols"), F.count_if(good).alias("success_symbols"), F.count_if(~good).alias("failed_symbols"),
         mean("total_return").alias("avg_total_return"), mean("win_rate").alias("avg_win_rate"), mean("max_drawdown").alias("avg_max_drawdown"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import oracle as O  # noqa: N812
-from .functions.prices import price_ladder, suggested_weight
+from .functions.prices import by_value, price_ladder, suggested_weight
 from .functions.symbols import exchange_symbol
 from .operators import backtest as B  # noqa: N812
 from .operators import ledger as L  # noqa: N812
@@ -44,7 +44,7 @@ def scanned(spark, d):
 
 
 def rounded(*names: str, digits: int = 6):
-    return [F.round(n, digits).alias(n) for n in names]
+    return [by_value(F.col(n), digits).alias(n) for n in names]
 
 
 def sql_rounded(*names: str, digits: int = 6) -> str:
