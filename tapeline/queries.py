@@ -491,7 +491,7 @@ _DELTA = "select symbol, trade_date, open, high, low, (close + 1)::decimal(18,4)
 @query(f"{O.BASE}, dl as ({_DELTA}) select b.symbol, b.trade_date, coalesce(dl.close, b.close)::decimal(18,4) as close, b.volume from bars b left join (select * from (select *, row_number() over (partition by symbol order by trade_date desc) as k from dl) where k <= 90) dl using (symbol, trade_date, adjust_type)")
 def bars_upsert(spark, d):
     base = bars(spark, d).withColumn("close", F.col("close").cast("decimal(18,4)"))
-    delta = base.where("trade_date >= date '1998-06-01'").withColumn("close", (F.col("close") + 1).cast("decimal(18,4)"))
+    delta = base.where("trade_date >= date '1998-06-01'").select(*incremental.KEYS, (F.col("close") + 1).cast("decimal(18,4)").alias("close"))
     return incremental.incremental_update(base, delta).select("symbol", "trade_date", "close", "volume")
 
 

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.indicators import tail
-from ..operators.merge import upsert
+from ..operators.merge import correct, upsert
 
 KEYS = ["symbol", "trade_date", "adjust_type"]
 
 
 def incremental_update(base: DataFrame, delta: DataFrame, window: int = 90) -> DataFrame:
-    """base with the last bars (90 of each symbol) of delta over it."""
-    return upsert(base, tail(delta, window), KEYS)
+    """base with the last bars (90 of each symbol) of delta over it. Bars that share a symbol and day are bars of their own, see ``correct``;
+    columns that delta lacks stay as they are."""
+    return correct(base, tail(delta, window), KEYS)
 
 
 def update_counters(base: DataFrame, delta: DataFrame, wanted: DataFrame, window: int = 90) -> DataFrame:

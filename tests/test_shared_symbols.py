@@ -59,3 +59,21 @@ def test_bars_of_one_day_have_an_order(spark, shared, name):
     columns, want = from_sql(shared, in_whole_order(entry.oracle_sql()[name]))
     assert sorted((plain(r) for r in got.select(*columns).collect()), key=repr) == sorted(map(plain, want), key=repr)
     assert want
+
+
+def test_upsert_keeps_every_bar_of_a_shared_symbol(spark, shared):
+    """A bar whose symbol and day several suppliers have takes each one's new close, as the SQL's join does."""
+    got = entry.queries()["bars_upsert"](spark, shared.rsplit("/", 1)[0])
+    columns, want = from_sql(shared, in_whole_order(entry.oracle_sql()["bars_upsert"]))
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+    assert len({r[:2] for r in want}) < len(want)
+
+
+def test_corrections(spark):
+    from tapeline.operators.merge import correct
+
+    base = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3), (None, "d", 4)], "k int, x string, y int")
+    delta = spark.createDataFrame([(1, "p"), (1, None), (3, "q"), (None, "r")], "k int, x string")
+    got = sorted(map(tuple, correct(base, delta, ["k"]).collect()), key=repr)
+    assert got == sorted([(1, "p", 1), (1, None, 1), (1, "p", 2), (1, None, 2), (2, "c", 3), (3, "q", None), (None, "d", 4), (None, "r", None)], key=repr)
+    assert sorted(map(tuple, correct(base, delta.where("false"), ["k"]).collect()), key=repr) == sorted(map(tuple, base.collect()), key=repr)
