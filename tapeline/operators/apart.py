@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import of_day
+from .merge import parted
 
 #: Bars of a block; the weights of an exponential average of alpha up to 0.45 stay in range over so many.
 BLOCK = 1024
@@ -49,30 +50,36 @@ def numbered_apart(bars: DataFrame, name: str = "n") -> DataFrame:
     return number_apart(bars, ["symbol"], [(period, False)], [F.col("trade_date"), *of_day(bars)], name)
 
 
-def ewm_apart(rows: DataFrame, averages: dict[str, tuple[Column, float, int]]) -> DataFrame:
+def ewm_apart(rows: DataFrame, averages: dict[str, tuple[Column, float, int]], part: Column | None = None, place: Column | None = None) -> DataFrame:
     """Adds exponential averages to rows with symbol and n: y = (1 - alpha) y + alpha x from y = x at a first n, null before.
 
-    ``averages`` names (x, alpha, first). A block's average is a closed form over its own rows plus the decayed average at the end of the
-    block before. That end is a sum over the ends of earlier blocks, each a block more decayed: a scan of the table of blocks, in steps that double.
+    ``averages`` names (x, alpha, first). Rows of one symbol and ``part`` share a task, in blocks by their ``place`` in it, from 0; without
+    those a part is a block. A block's average is a closed form over its own rows plus the decayed average at the end of the
+    block before. That end is a sum over the ends of earlier blocks, each more decayed: a scan of the table of blocks, in steps that double.
+    Only that table moves if the rows are shuffled by symbol and part already.
     """
-    j, own = F.col("n") % BLOCK, Window.partitionBy("symbol", "_block").orderBy("n")
-    running = own.rowsBetween(Window.unboundedPreceding, 0)
-    df = rows.withColumn("_block", F.floor(F.col("n") / BLOCK))
+    least = BLOCK if part is None else 1  # rows of a block that another follows
+    part, place = (F.floor(F.col("n") / BLOCK), F.col("n") % BLOCK) if part is None else (part, place)
+    df = rows.withColumns({"_part": part, "_sub": F.floor(place / BLOCK).cast("int"), "_at": place % BLOCK})
+    j, running = F.col("_at"), Window.partitionBy("symbol", "_part", "_sub").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for name, (x, alpha, first) in averages.items():
         weight = F.when(F.col("n") == first, x).when(F.col("n") > first, x * alpha).otherwise(F.lit(0.0))
         local[f"_l_{name}"] = F.sum(weight * F.pow(F.lit(1 - alpha), -j)).over(running) * F.pow(F.lit(1 - alpha), j)
     df = df.withColumns(local)
-    ends = df.groupBy("symbol", "_block").agg(*[F.max_by(c, "n").alias(c) for c in local])
-    blocks = Window.partitionBy("symbol").orderBy("_block")
+    keeps = {name: 1 - alpha for name, (_, alpha, _) in averages.items()}
+    ends = df.groupBy("symbol", "_part", "_sub").agg(*[F.max_by(c, "n").alias(c) for c in local], F.count(F.lit(1)).alias("_k"))
+    ends = ends.withColumns({f"_d_{name}": F.pow(F.lit(keep), F.col("_k")) for name, keep in keeps.items()})
+    blocks = Window.partitionBy("symbol").orderBy("_part", "_sub")
     # sums over twice as many blocks in each step, until what is left of the first can't be told
-    decay = {f"_l_{name}": (1 - alpha) ** BLOCK for name, (_, alpha, _) in averages.items()}
-    reach = max(max(1, math.ceil(math.log(5e-324) / math.log(d))) if d > 0 else 1 for d in decay.values())
+    reach = max(max(1, math.ceil(math.log(5e-324) / math.log(keep) / least)) if keep > 0 else 1 for keep in keeps.values())
     for step in range(math.ceil(math.log2(reach))):
-        ends = ends.withColumns({c: F.col(c) + F.coalesce(F.lag(c, 1 << step).over(blocks), F.lit(0.0)) * d ** (1 << step) for c, d in decay.items()})
-    starting = ends.select("symbol", "_block", *[F.coalesce(F.lag(f"_l_{name}", 1).over(blocks), F.lit(0.0)).alias(f"_s_{name}") for name in averages])
-    found = df.join(starting, ["symbol", "_block"])
-    y = {name: F.when(F.col("n") >= first, F.col(f"_l_{name}") + F.pow(F.lit(1 - alpha), j + 1) * F.col(f"_s_{name}")) for name, (_, alpha, first) in averages.items()}
+        before = lambda c: F.coalesce(F.lag(c, 1 << step).over(blocks), F.lit(0.0))  # noqa: B023, E731
+        ends = ends.withColumns({f"_l_{name}": F.col(f"_l_{name}") + before(f"_l_{name}") * F.col(f"_d_{name}") for name in keeps} | {f"_d_{name}": F.col(f"_d_{name}") * before(f"_d_{name}") for name in keeps})
+    starts = ends.select("symbol", "_part", F.struct("_sub", *[F.coalesce(F.lag(f"_l_{name}", 1).over(blocks), F.lit(0.0)).alias(name) for name in keeps]).alias("_start"))
+    found = df.join(starts.groupBy("symbol", "_part").agg(F.sort_array(F.collect_list("_start")).alias("_starts")), ["symbol", "_part"])
+    start = F.get("_starts", F.col("_sub"))
+    y = {name: F.when(F.col("n") >= first, F.col(f"_l_{name}") + F.pow(F.lit(1 - alpha), j + 1) * start[name]) for name, (_, alpha, first) in averages.items()}
     return found.withColumns(y).select(*rows.columns, *averages)
 
 
@@ -80,19 +87,25 @@ def averages_of_history(bars: DataFrame) -> DataFrame:
     """symbol, trade_date, n, ema12, ema26, macd, macd_hist, rsi14, atr14 of every bar of histories of any length, as ``with_indicators``
     defines them on a tail, but from each symbol's first bar on.
 
-    What a block's first bar needs of the bar before it, its close, comes from a table of one row a block.
+    Bars are shuffled once, by symbol and 1,024 days. What such a part needs of those before it, the number of bars and the last close,
+    and the averages where its blocks start, come from tables of one row a part.
     """
     alpha, close = 1 / 14, F.col("close").cast("double")
-    df = numbered_apart(bars.select("symbol", "trade_date", "high", "low", "close")).withColumn("_block", F.floor(F.col("n") / BLOCK))
-    last = df.groupBy("symbol", "_block").agg(F.max_by("close", "n").alias("_edge")).withColumn("_block", F.col("_block") + 1)
-    own = Window.partitionBy("symbol", "_block").orderBy("n")
-    df = df.join(last, ["symbol", "_block"], "left").withColumn("before", F.coalesce(F.lag("close").over(own), "_edge"))
+    part = F.coalesce(F.floor(F.unix_date("trade_date") / BLOCK), F.lit(1 << 40)).alias("_part")  # bars without a day come last
+    df = parted(bars.select("symbol", "trade_date", "high", "low", "close", part), ["symbol", "_part"])
+    own = Window.partitionBy("symbol", "_part").orderBy("trade_date", *of_day(df.drop("_part")))
+    df = df.withColumns({"_j": F.row_number().over(own) - 1, "_lag": F.lag("close").over(own)})
+    parts = Window.partitionBy("symbol").orderBy("_part")
+    # the number of bars by their last place, as a count would need none of the columns, and Spark would shuffle the bars once more without them
+    known = df.groupBy("symbol", "_part").agg((F.max("_j") + 1).alias("_k"), F.max_by("close", "_j").alias("_last"))
+    known = known.select("symbol", "_part", (F.sum("_k").over(parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before"), F.lag("_last").over(parts).alias("_edge"))
+    df = df.join(known, ["symbol", "_part"]).withColumns({"n": F.col("_before") + F.col("_j"), "before": F.coalesce("_lag", "_edge")})
     change = F.col("close") - F.col("before")
     high, low, before = F.col("high").cast("double"), F.col("low").cast("double"), F.col("before").cast("double")
-    df = df.select("symbol", "trade_date", "n", close.alias("_c"), F.greatest(change.cast("double"), F.lit(0.0)).alias("_gain"), F.greatest((-change).cast("double"), F.lit(0.0)).alias("_loss"), F.greatest(high - low, F.abs(high - before), F.abs(low - before)).alias("_range"))
+    df = df.select("symbol", "trade_date", "n", "_part", "_j", close.alias("_c"), F.greatest(change.cast("double"), F.lit(0.0)).alias("_gain"), F.greatest((-change).cast("double"), F.lit(0.0)).alias("_loss"), F.greatest(high - low, F.abs(high - before), F.abs(low - before)).alias("_range"))
     first = {"ema12": (F.col("_c"), 2 / 13, 0), "ema26": (F.col("_c"), 2 / 27, 0), "gain14": (F.col("_gain"), alpha, 1), "loss14": (F.col("_loss"), alpha, 1), "range14": (F.col("_range"), alpha, 0)}
-    df = ewm_apart(df, first).withColumn("macd", F.col("ema12") - F.col("ema26"))
-    df = ewm_apart(df, {"signal": (F.col("macd"), 0.2, 0)})
+    df = ewm_apart(df, first, F.col("_part"), F.col("_j")).withColumn("macd", F.col("ema12") - F.col("ema26"))
+    df = ewm_apart(df, {"signal": (F.col("macd"), 0.2, 0)}, F.col("_part"), F.col("_j"))
     strength = F.try_divide("gain14", F.nullif("loss14", F.lit(0.0)))
     return df.select(
         "symbol", "trade_date", "n", "ema12", "ema26", "macd", (F.col("macd") - F.col("signal")).alias("macd_hist"),

@@ -77,3 +77,30 @@ def test_ranks_with_ties(spark):
 def test_empty(spark, long_bars):
     none = long_bars.where("false")
     assert apart.averages_of_history(none).count() == 0 and apart.numbered_apart(none).count() == 0
+
+
+def test_histories_are_shuffled_once(spark):
+    """The bars move once, by symbol and period; everything else that moves is a row a period."""
+    n = F.col("id")
+    close = (50 + 10 * F.sin(n / 9)).cast("decimal(12,4)")
+    bars = spark.range(40_000).select((n % 10).cast("string").alias("symbol"), F.date_add(F.lit("1990-01-01").cast("date"), (n / 10).cast("int")).alias("trade_date"), close.alias("close")).withColumns({"high": F.col("close"), "low": F.col("close")})
+    none, store = spark._jvm.java.util.ArrayList(), spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    apart.averages_of_history(bars).write.format("noop").mode("overwrite").save()
+    assert 40_000 <= moved() - before < 50_000
+
+
+def test_parts_of_many_blocks(spark):
+    """A part of several blocks, parts of one row, and one that is empty of earlier rows."""
+    sizes = [3, 1, 5000, 1, 1, 2500]
+    rows = [("s", n, part, place, float(np.sin(n / 5))) for n, (part, place) in enumerate((p, i) for p, size in enumerate(sizes) for i in range(size))]
+    df = spark.createDataFrame(rows, "symbol string, n long, p long, place long, x double").repartition(5)
+    got = apart.ewm_apart(df, {"fast": (F.col("x"), 0.2, 0), "late": (F.col("x"), 1 / 14, 5)}, F.col("p"), F.col("place")).orderBy("n").toPandas()
+    x = pd.Series([r[4] for r in rows])
+    assert np.allclose(got["fast"], x.ewm(alpha=0.2, adjust=False).mean(), rtol=1e-9, atol=1e-12)
+    assert got["late"][:5].isna().all() and np.allclose(got["late"][5:], x[5:].ewm(alpha=1 / 14, adjust=False).mean(), rtol=1e-9, atol=1e-12)
